@@ -11,15 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .quality import quality_rules
+from .secret_scan import secret_spans
+from .simhash import near_duplicates
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_rules": op5_quality_rules,
+        "op7_simhash": op7_simhash,
+        "op9_secret_spans": op9_secret_spans,
     }
 
 
