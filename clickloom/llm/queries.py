@@ -10,21 +10,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .licenses import license_scan
 from .packing import pack_documents
 from .quality import quality_rules
 from .secret_scan import secret_spans
 from .simhash import near_duplicates
 from .suffix_tree import language_scores
+from .toxicity import toxicity_scores
+from .warc import archive_pages
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,8 +54,11 @@ def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
+        "op4_licenses": op4_licenses,
         "op5_quality_rules": op5_quality_rules,
+        "op6_warc": op6_warc,
         "op7_simhash": op7_simhash,
         "op8_suffix_tree": op8_suffix_tree,
         "op9_secret_spans": op9_secret_spans,
