@@ -43,8 +43,8 @@ SEVERE = (
 ).split()
 MILD = (
     "stupid dumb pathetic worthless disgusting trash garbage loser losers clown clowns fool fools ugly hate hateful liar liars pig pigs "
-    "useless ridiculous crap sick kill die hell damn nasty coward cowards creep freak lunatic crazy idiotic moronic despicable "
-    "stupide nul minable degoutant pathetique menteur dumm erbaermlich wertlos ekelhaft verlierer luegner estupido patetico "
+    "useless ridiculous crap nasty coward cowards creep freak lunatic crazy idiotic moronic despicable "
+    "stupide minable degoutant pathetique menteur dumm erbaermlich wertlos ekelhaft verlierer luegner estupido patetico "
     "inutil asqueroso basura perdedor mentiroso payaso"
 ).split()
 SECOND = "you your yours yourself u ur ya youre tu te toi ton ta tes vous votre du dich dir dein deine ihr euch usted tus ti".split()
@@ -52,7 +52,7 @@ LEET = str.maketrans("013457@$!|+", "oieastasiit")
 DISGUISED = re.compile(r"(?<![^\W\d_])[a-z]+(?:[0-9@$!|+*]+[a-z]+)+(?![^\W\d_])")
 APART = re.compile(r"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 FEATURES = (
-    "severe mild disguised severe_any mild_any near_second second capitals capital_words exclaim question other_punctuation "
+    "severe mild disguised severe_any hits lexicon near_second second capitals capital_words exclaim question other_punctuation "
     "digits obfuscated apart repeated_letters log_words"
 ).split()
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +96,8 @@ def features(text: str | None) -> list[float]:
         mild * per,
         disguised * per,
         float(severe + disguised > 0),
-        float(min(mild, 3)),
+        float(min(severe + mild + disguised, 4)),
+        (severe + mild + disguised) * per,
         near * per,
         min(1.0, _SECOND.search(low) is not None) * 1.0,
         kinds[65:91].sum() / n,
