@@ -69,6 +69,14 @@ def wide(source: str, a: str | None, s: str | None) -> str:
     return f"SELECT t.serp_id, t.query_id AS q, {pick('d', 't.doc_id')}, {pick('c', 't.click')}, {pick('a', va)}, {pick('s', vs)} FROM {source} t{joins} GROUP BY t.serp_id, t.query_id"
 
 
+def nested(levels: list[list[str]], source: str) -> str:
+    """SELECTs in each other, as a column may use those of earlier levels alone."""
+    sql = f"SELECT * FROM {source}"
+    for columns in levels:
+        sql = f"SELECT *, {', '.join(columns)} FROM ({sql})"
+    return sql
+
+
 class Cascade:
     """SQL of CCM or DBN with the public values in columns t1, t2, t3 (DBN: t1)."""
 
@@ -81,32 +89,29 @@ class Cascade:
     def step(self, r: int) -> str:
         return f"((1 - a{r}) * t1 + a{r} * ((1 - a{r}) * t2 + a{r} * t3))" if self.kind == "ccm" else f"(t1 * (1 - a{r}) + t1 * a{r} * (1 - s{r}))"
 
-    def chain(self, start: int) -> list[str]:
-        """Columns p{start}_{i} and x{start}_{i}: flags from ``start`` on, parameters from rank 0 on."""
-        out = [f"1::DOUBLE AS x{start}_0"]
-        for i in range(10 - start):
-            x, c = f"x{start}_{i}", f"c{start + i}"
-            out.append(f"CASE WHEN {c} = 1 THEN a{i} * {x} ELSE 1 - a{i} * {x} END AS p{start}_{i}")
-            out.append(f"CASE WHEN {c} = 1 THEN {self.after(i)} ELSE {x} * t1 * (1 - a{i}) / p{start}_{i} END AS x{start}_{i + 1}")
+    def levels(self, starts: range) -> list[list[str]]:
+        """Columns p{s}_{i} and x{s}_{i} (flags from rank s on, parameters from rank 0 on), examination m0.. and
+        chance of a click from a rank on k0.., in groups that need earlier groups alone."""
+        out = [[f"1::DOUBLE AS x{s}_0" for s in starts] + ["1::DOUBLE AS m0", "0::DOUBLE AS k10"]]
+        for i in R:
+            now = [s for s in starts if i < 10 - s]
+            hit = [f"CASE WHEN c{s + i} = 1 THEN a{i} * x{s}_{i} ELSE 1 - a{i} * x{s}_{i} END AS p{s}_{i}" for s in now]
+            out.append([*hit, f"a{9 - i} + (1 - a{9 - i}) * t1 * k{10 - i} AS k{9 - i}", f"m{i} * {self.step(i)} AS m{i + 1}"])
+            out.append([f"CASE WHEN c{s + i} = 1 THEN {self.after(i)} ELSE x{s}_{i} * t1 * (1 - a{i}) / p{s}_{i} END AS x{s}_{i + 1}" for s in now])
         return out
 
-    def walk(self) -> list[str]:
-        """Examination m0.., chance of a click from a rank on k0..k10, last click, tails T0..T9."""
-        out = ["1::DOUBLE AS m0", "0::DOUBLE AS k10"]
-        out += [f"m{r} * {self.step(r)} AS m{r + 1}" for r in range(9)]
-        out += [f"a{r} + (1 - a{r}) * t1 * k{r + 1} AS k{r}" for r in reversed(R)]
-        out.append("CASE " + " ".join(f"WHEN c{r} = 1 THEN {r}" for r in reversed(R)) + " ELSE 10 END AS last_rank")
-        for s in R:
-            out += self.chain(s)
-        out += [" * ".join(f"p{r + 1}_{i}" for i in range(9 - r)) + f" AS T{r}" for r in range(9)] + ["1::DOUBLE AS T9"]
-        return out
+    def walk(self) -> list[list[str]]:
+        """All starts, the last click and the tails tail0..tail9."""
+        last = "CASE " + " ".join(f"WHEN c{r} = 1 THEN {r}" for r in reversed(R)) + " ELSE 10 END AS last_rank"
+        tails = [" * ".join(f"p{r + 1}_{i}" for i in range(9 - r)) + f" AS tail{r}" for r in range(9)]
+        return [*self.levels(R), [last, *tails, "1::DOUBLE AS tail9"]]
 
     def terms(self) -> list[str]:
         """For each rank: attractiveness (an, ad), satisfaction (sn, sd), public (n1, e1, ...)."""
         out = []
         for r in R:
             e = f"(CASE WHEN {r} >= last_rank THEN 1 ELSE 0 END)"
-            x, t, a, s = f"x0_{r}", f"T{r}", f"a{r}", f"s{r}"
+            x, t, a, s = f"x0_{r}", f"tail{r}", f"a{r}", f"s{r}"
             miss = f"CASE WHEN {r} >= last_rank THEN (1 - m{r}) * {a} / (1 - m{r} * k{r}) ELSE 0 END"
             if self.kind == "ccm":
                 again = f"CASE WHEN {r} = last_rank THEN {a} / (1 - {self.after(r)} * k{r + 1}) ELSE 0 END"
@@ -137,7 +142,7 @@ class Cascade:
         sql = f",\ng0 AS (SELECT {pub})"
         for i in range(1, k + 1):
             a, s = (f"a{i - 1}", f"s{i - 1}" if self.kind == "dbn" else None) if i > 1 else (None, None)
-            sql += f",\nw{i} AS ({wide(source, a, s)}),\nv{i} AS (SELECT *, {', '.join(self.walk())} FROM w{i} CROSS JOIN g{i - 1}),\nu{i} AS (SELECT *, {', '.join(self.terms())} FROM v{i})"
+            sql += f",\nw{i} AS ({wide(source, a, s)}),\nv{i} AS ({nested(self.walk(), f"w{i} CROSS JOIN g{i - 1}")}),\nu{i} AS (SELECT *, {', '.join(self.terms())} FROM v{i})"
             rows = lambda n, d, w="TRUE": " UNION ALL ".join(f"SELECT q, d{r} AS d, {n}{r} AS x, {d}{r} AS y FROM u{i} WHERE {w.format(r)}" for r in R)
             sql += f",\na{i} AS (SELECT q AS query_id, d AS doc_id, {clamp('((1 + sum(x)) / (2.0 + sum(y)))')} AS v FROM ({rows('an', 'ad')}) GROUP BY 1, 2)"
             if self.kind == "dbn":
@@ -149,11 +154,10 @@ class Cascade:
 
     def scored(self, source: str, k: int) -> str:
         """Rows (serp_id, rank, p, f): conditional and full probabilities of the flags."""
-        chain = ", ".join(self.chain(0) + ["1::DOUBLE AS m0"] + [f"m{r} * {self.step(r)} AS m{r + 1}" for r in range(9)])
         full = lambda r: f"CASE WHEN c{r} = 1 THEN a{r} * m{r} ELSE 1 - a{r} * m{r} END"
         rows = " UNION ALL ".join(f"SELECT serp_id, {r} AS rank, p0_{r} AS p, {full(r)} AS f FROM tv" for r in R)
         s = f"s{k}" if self.kind == "dbn" else None
-        return f",\ntw AS ({wide(source, f'a{k}', s)}),\ntv AS (SELECT *, {chain} FROM tw CROSS JOIN g{k}),\nscored AS ({rows})"
+        return f",\ntw AS ({wide(source, f'a{k}', s)}),\ntv AS ({nested(self.levels(range(1)), f"tw CROSS JOIN g{k}")}),\nscored AS ({rows})"
 
 
 def pbm_scored(source: str, k: int) -> str:
@@ -178,7 +182,7 @@ def ubm_scored(source: str, k: int) -> str:
     return f""",
 tw AS ({wide(source, f"a{k}", None)}),
 gl AS (SELECT list(v ORDER BY slot) AS g FROM g{k}),
-tf AS (SELECT *, {", ".join(columns)} FROM tw CROSS JOIN gl),
+tf AS ({nested([[c] for c in columns], "tw CROSS JOIN gl")}),
 fl AS ({rows}),
 tc AS (SELECT *, coalesce(max(CASE WHEN click = 1 THEN rank END) OVER (PARTITION BY serp_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS prev FROM {source}),
 cl AS (SELECT t.serp_id, t.rank, CASE WHEN t.click = 1 THEN coalesce(a.v, 0.5) * g.v ELSE 1 - coalesce(a.v, 0.5) * g.v END AS p
@@ -233,7 +237,7 @@ count(*) AS n FROM part WHERE p_partkey % 7 < 3 GROUP BY 1""",
         once = LOG + c.fit("imp", 1)
         rows = lambda x: " UNION ALL ".join(f"SELECT serp_id, {r} AS rank, {x(r)} FROM v1" for r in R)
         out[f"{m}_exam_car"] = once + " " + rows(lambda r: f"round(m{r}, 6) AS exam, round(k{r}, 6) AS car")
-        out[f"{m}_tail"] = once + " " + rows(lambda r: f"round(ln(T{r}), 6) AS log_tail")
+        out[f"{m}_tail"] = once + " " + rows(lambda r: f"round(ln(tail{r}), 6) AS log_tail")
         out[f"{m}_attractiveness_2"] = LOG + c.fit("imp", 2) + " " + atr.format("a2")
         public = " UNION ALL ".join(f"SELECT {j} AS slot, round(t{j + 1}, 6) AS value FROM g2" for j in range(c.n))
         out["ccm_tau_2" if m == "ccm" else "dbn_gamma_2"] = LOG + c.fit("imp", 2) + " " + public
