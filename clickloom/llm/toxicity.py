@@ -49,7 +49,7 @@ MILD = (
 ).split()
 SECOND = "you your yours yourself u ur ya youre tu te toi ton ta tes vous votre du dich dir dein deine ihr euch usted tus ti".split()
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
-DISGUISED = re.compile(r"(?<![^\W\d_])[a-z]+(?:[0-9@$!|+*]+[a-z]+)+(?![^\W\d_])")
+DISGUISED = re.compile(r"(?<![^\W_])(?=[a-z]*[0-9@$!|+*][a-z0-9@$!|+*]*[a-z])[a-z0-9@$!|+*]{3,}")
 APART = re.compile(r"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 FEATURES = (
     "severe mild disguised severe_any hits lexicon near_second second capitals capital_words exclaim question other_punctuation "
