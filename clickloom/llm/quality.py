@@ -104,13 +104,11 @@ def cell_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smo
     counts = marked.select("t", F.explode("cells").alias("cell")).groupBy("cell").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("cell"))
     filled = staged(every.join(counts, "cell", "left").na.fill(0), "cells")
-    total = filled.agg(F.sum("t").alias("nt"), F.sum("r").alias("nr"))
-    return filled.join(F.broadcast(total)).select(
-        "cell",
-        F.when(F.col("nt") == 0, F.lit(0.0))
-        .otherwise(F.log((F.col("t") + smoothing) / (F.col("nt") + smoothing * buckets)) - F.log((F.col("r") + smoothing) / (F.col("nr") + smoothing * buckets)))
-        .alias("ratio"),
-    )
+    nt, nr = filled.agg(F.sum("t"), F.sum("r")).first()
+    if not nt:
+        return filled.select("cell", F.lit(0.0).alias("ratio"))
+    share = lambda c, n: F.log((F.col(c) + smoothing) / (n + smoothing * buckets))
+    return filled.select("cell", (share("t", nt) - share("r", nr)).alias("ratio"))
 
 
 def quality_rules(
