@@ -78,4 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the one operator that it can express whole; the others are held against plain versions in the tests."""
+    return {
+        "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 AND page_id IS NOT NULL GROUP BY h)
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)""",
+    }
