@@ -50,6 +50,7 @@ MILD = (
 SECOND = "you your yours yourself u ur ya youre tu te toi ton ta tes vous votre du dich dir dein deine ihr euch usted tus ti".split()
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
 DISGUISED = re.compile(r"(?<![^\W_])(?=[a-z]*[0-9@$!|+*][a-z0-9@$!|+*]*[a-z])[a-z0-9@$!|+*]{3,}")
+OBFUSCATED = re.compile(r"(?<![^\W\d_])[a-z]+(?:[0-9@$!|+*]+[a-z]+)+(?![^\W\d_])")
 APART = re.compile(r"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 FEATURES = (
     "severe mild disguised severe_any hits lexicon near_second second capitals capital_words exclaim question other_punctuation "
@@ -78,9 +79,8 @@ def features(text: str | None) -> list[float]:
         else:
             mild += 1
         near += _SECOND.search(low, max(0, m.start() - WINDOW), m.end() + WINDOW) is not None
-    obfuscated = disguised = 0
+    obfuscated, disguised = len(OBFUSCATED.findall(low)), 0
     for m in DISGUISED.finditer(low):
-        obfuscated += 1
         disguised += m[0].replace("*", "").translate(LEET) in _PLAIN
     apart = 0
     for m in APART.finditer(low):
