@@ -10,7 +10,11 @@
 3. Every document is searched whole: windows of neighbouring passages (two for benchmark passages of at most
    ``SHORT`` words, four for longer ones) are projected and compared by cosine with all
    benchmark passages, in blocks of ``query_block`` queries.
-4. A candidate is checked exactly: the longest common subsequence of the benchmark passage and
+4. Cosines in a fixed rank can't tell thousands of passages apart, so what they leave out is searched by
+   shared words, which loses no copy: a subsequence of m of a passage's n words has, of its n - m + k
+   rarest words, at least k.  Stretches that hold so many (k is a third of m) are candidates too; their cosine is that
+   of the stretch itself.
+5. A candidate is checked exactly: the longest common subsequence of the benchmark passage and all
    stretches of the window (with ``MARGIN`` words on both sides) that are a quarter longer than the
    passage.  It is a leak if the subsequence covers
    ``exact`` (0.8) of the passage, or covers ``paraphrase`` (0.6) and the answer, the last third of
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +146,8 @@ def _products(passages: DataFrame, q: np.ndarray) -> np.ndarray:
 class LatentIndex:
     """Projection of weighted cells into the latent space, and the benchmark passages in it."""
 
-    def __init__(self, weights: np.ndarray, items: list[tuple[int, list[bytes], list[bytes]]]):
+    def __init__(self, weights: np.ndarray, items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray):
+        self.idf = idf
         self.items = sorted(items, key=lambda x: len(x[1]))
         self.n_short = sum(len(w) <= SHORT for _, w, _ in items)
         self.weights = np.vstack([weights, np.zeros((1, weights.shape[1]), np.float32)])  # the last row pads
@@ -181,6 +187,11 @@ class LatentIndex:
                 for k, i, j, value in zip(text.tolist(), (used[rows] - first[text]).tolist(), columns.tolist(), values.tolist()):
                     yield k, i * BLOCK, (i + width) * BLOCK, at + j, value
 
+    def cosine(self, words: list[bytes], j: int) -> float:
+        """The cosine of one stretch and a benchmark passage."""
+        x = self.weights[cells(words)].sum(axis=0)
+        return float(x @ self.latent[j] / max(float(np.linalg.norm(x)), 1e-12))
+
 
 def fit_index(
     docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, rounds: int = 2, seed: int = 11
@@ -221,7 +232,7 @@ def fit_index(
     q = np.random.default_rng(seed).standard_normal((CELLS, min(rank, CELLS)))
     for _ in range(rounds):
         q, _ = np.linalg.qr(_products(passages, q))
-    return LatentIndex((idf[:, None] * q).astype(np.float32), items)
+    return LatentIndex((idf[:, None] * q).astype(np.float32), items, idf)
 
 
 def _masks(words: list[bytes]) -> dict[bytes, int]:
@@ -250,17 +261,103 @@ class _Query:
         self.masks, self.answer_masks = _masks(words), _masks(answer)
         self.distinct = self.masks.keys()
 
-    def covered(self, stretch: list[bytes], answer: bool = False) -> float:
-        """Share of the passage (or answer) in its longest common subsequence with a part of ``stretch`` a quarter longer."""
+    def covered(self, stretch: list[bytes], answer: bool = False, least: float = 0.0) -> float:
+        """Share of the passage (or answer) in its longest common subsequence with a part of ``stretch`` a quarter longer.
+
+        A part may begin at its first common word, so no other beginnings count.  Shares under ``least`` may come out as 0.
+        """
         masks, n = (self.answer_masks, self.n_answer) if answer else (self.masks, self.n)
-        size, step = n + n // 4 + 2, max(1, n // 8)
-        last = max(0, len(stretch) - size)
-        return max(common_subsequence(masks, n, stretch[at : at + size]) for at in [*range(0, last, step), last]) / n
+        size, best, need = n + n // 4 + 2, 0, max(1, _least_words(n, least))
+        there = [w in masks for w in stretch]
+        for at, here in enumerate(there):
+            if here and sum(there[at : at + size]) >= max(need, best + 1):
+                best = max(best, common_subsequence(masks, n, stretch[at : at + size]))
+                if best == n:
+                    break
+        return best / n
+
+
+def _least_words(n: int, share: float) -> int:
+    """The least m with m / n >= share."""
+    m = max(0, int(share * n) - 1)
+    while m / n < share:
+        m += 1
+    return m
+
+
+class _Seeds:
+    """The rarest words of each benchmark passage: a copy of at least ``least`` of passage j holds ``matches[j]`` of them."""
+
+    def __init__(self, index: LatentIndex, least: list[float]):
+        self.matches, self.sizes, posted = [], [], {}
+        for j, ((_, words, _), share) in enumerate(zip(index.items, least)):
+            n = len(words)
+            m = _least_words(n, share)
+            k = max(1, m // 3)
+            order = np.argsort(-index.idf[cells(words)], kind="stable")
+            for w in {words[i] for i in order[: n - m + k]}:
+                posted.setdefault(w, []).append(j)
+            self.matches.append(k)
+            self.sizes.append(n + n // 4 + 2)
+        self.ids = {w: i for i, w in enumerate(posted)}
+        self.counts = np.array([len(x) for x in posted.values()], np.int64)
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.passages = np.array([j for x in posted.values() for j in x], np.int64)
+        self.matches, self.sizes = np.array(self.matches, np.int64), np.array(self.sizes, np.int64)
+
+    def stretches(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, passage, first, last): where stretches may begin that hold enough of the passage's rarest words."""
+        gap = int(self.sizes.max())
+        lengths = np.array([len(w) for w in texts], np.int64)
+        first = np.concatenate([[0], np.cumsum(lengths + gap)])  # gaps keep stretches within their text
+        word = np.fromiter(map(self.ids.get, chain.from_iterable(texts), repeat(-1)), np.int64, int(lengths.sum()))
+        at = np.flatnonzero(word >= 0)
+        place, word = at + np.repeat(np.arange(len(texts)) * gap, lengths)[at], word[at]
+        times = self.counts[word]
+        passage = self.passages[np.arange(times.sum()) + np.repeat(self.begin[word] - np.cumsum(times) + times, times)]
+        keys = np.sort(passage * (first[-1] + gap) + np.repeat(place, times))  # by passage, then place
+        passage, place = np.divmod(keys, first[-1] + gap)
+        ends = np.arange(len(keys)) + self.matches[passage] - 1
+        at = np.flatnonzero(ends < len(keys))
+        at = at[keys[ends[at]] - keys[at] < self.sizes[passage[at]]]
+        at = at[passage[ends[at]] == passage[at]]
+        text = np.searchsorted(first, place[at], "right") - 1
+        low = np.maximum(place[ends[at]] - self.sizes[passage[at]] + 1, first[text])
+        yield from zip(text.tolist(), passage[at].tolist(), (low - first[text]).tolist(), (place[at] - first[text]).tolist())
 
 
 def _search(index: LatentIndex, cosine: float, exact: float, paraphrase: float):
     """A function from several texts to the leaks of each."""
     queries = [_Query(*x) for x in index.items]
+    shares = [1.0 if q.n < 8 else paraphrase for q in queries]
+    needs = [_least_words(q.n, share) for q, share in zip(queries, shares)]
+    seeds = _Seeds(index, shares)
+
+    def search_words(texts: list[list[bytes]], best: list[dict[int, dict]]) -> None:
+        """Adds to ``best`` what stretches with enough of a passage's rarest words hold."""
+        gap = int(seeds.sizes.max())
+        parts = [(k, at) for k, words in enumerate(texts) for at in range(0, len(words), GROUP_WORDS)]  # bounds what a very long text takes
+        at, done = None, -1
+        for part, j, low, high in seeds.stretches([texts[k][at : at + GROUP_WORDS + gap] for k, at in parts]):
+            k, begin = parts[part]
+            q, words, size = queries[j], texts[k], int(seeds.sizes[j])
+            if (part, j) != at:
+                at, done = (part, j), -1
+            low, high = begin + low, begin + high
+            low, done = max(low, done + 1), max(done, high)
+            masks, known = q.masks, best[k].get(q.item_id)
+            there = [w in masks for w in words[low : high + size]]
+            for i in range(high - low + 1):
+                if not there[i] or sum(there[i : i + size]) < needs[j]:
+                    continue
+                stretch = words[low + i : low + i + size]
+                covered = common_subsequence(masks, q.n, stretch) / q.n
+                if covered < shares[j] or (known is not None and covered <= known["lcs"]):
+                    continue
+                answer = q.covered(words[max(0, low + i - PASSAGE) : low + i + size + MARGIN + PASSAGE], answer=True)
+                if covered >= exact or answer >= 0.6:
+                    known = {"item_id": q.item_id, "cosine": index.cosine(stretch, j), "lcs": covered, "answer": answer, "word": low + i}
+                    best[k][q.item_id] = known
 
     def search(texts: list[list[bytes]]) -> list[list[dict]]:
         best: list[dict[int, dict]] = [{} for _ in texts]
@@ -270,10 +367,10 @@ def _search(index: LatentIndex, cosine: float, exact: float, paraphrase: float):
             low = max(0, begin - MARGIN)
             if (k, begin) != at:
                 at, there = (k, begin), frozenset(words[low : end + MARGIN])
-            least = 1.0 if q.n < 8 else paraphrase
+            least = shares[j]
             if q.n - (len(q.distinct) - len(q.distinct & there)) < least * q.n:
                 continue  # the words of the window cannot cover enough
-            covered = q.covered(words[low : end + MARGIN])
+            covered = q.covered(words[low : end + MARGIN], least=least)
             if covered < least:
                 continue
             answer = q.covered(words[low : end + MARGIN + PASSAGE], answer=True)
@@ -281,6 +378,7 @@ def _search(index: LatentIndex, cosine: float, exact: float, paraphrase: float):
                 continue
             if q.item_id not in best[k] or covered > best[k][q.item_id]["lcs"]:
                 best[k][q.item_id] = {"item_id": q.item_id, "cosine": value, "lcs": covered, "answer": answer, "word": low}
+        search_words(texts, best)
         return [[x[i] for i in sorted(x)] for x in best]
 
     return search

@@ -384,6 +384,35 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+def test_decontamination_finds_every_copy_of_a_large_benchmark(spark):
+    rng = np.random.default_rng(19)
+    vocabulary = ["".join(rng.choice(list("aeioubdglmnrst"), int(n))) for n in rng.integers(3, 9, 3000)]
+    share = 1 / np.arange(3, 3003)
+    words = lambda n: [str(w) for w in rng.choice(vocabulary, n, p=share / share.sum())]
+    items = [words(int(n)) for n in rng.integers(8, 130, 1500)]
+    texts = [words(int(n)) for n in rng.integers(80, 200, 66)]
+    for i, text in enumerate(texts[:60]):
+        copy = items[20 * i] if i % 3 else [w for w in items[20 * i] if rng.random() > 0.2]
+        at = int(rng.integers(0, len(text)))
+        text[at:at] = copy
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontaminate.contaminated(documents(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+
+    expected: dict = {}
+    spelled = [[w.encode() for w in t] for t in texts]
+    for item_id, passage, answer in decontaminate._item_passages(benchmark):
+        masks, n = decontaminate._masks(passage), len(passage)
+        size = n + n // 4 + 2
+        for k, text in enumerate(spelled):
+            if decontaminate.common_subsequence(masks, n, text) / n < 0.8:
+                continue  # the whole text holds less
+            best = max(decontaminate.common_subsequence(masks, n, text[at : at + size]) / n for at in range(len(text)))
+            if best >= 0.8:
+                expected[k, item_id] = max(best, expected.get((k, item_id), 0))
+    assert {(i, 20 * i) for i in range(60) if i % 3} <= set(expected) <= set(found)
+    assert all(found[x] == y for x, y in expected.items())
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
