@@ -40,8 +40,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 LONG_STRETCH = 4096
 
 
-def encoder(tokenizer: str):
-    """A function from a text to its ids under the ``tokenizers`` file, without special tokens.
+def encoder(tokenizer: str, added_tokens: bool = False):
+    """A function from a text to its ids under the ``tokenizers`` file, without special tokens around it.
+
+    With ``added_tokens`` the file's added tokens are found in the text, as ``tokenizers`` does by default; without,
+    their characters are encoded like any others.
 
     A byte-level BPE file whose merges stand in the order of their ids is the same
     rule as a rank table, and ``tiktoken`` applies rank tables about four times
@@ -52,7 +55,7 @@ def encoder(tokenizer: str):
 
     path = tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)
     general = Tokenizer.from_file(path)
-    general.encode_special_tokens = True
+    general.encode_special_tokens = not added_tokens
     slow = lambda text: general.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -61,9 +64,12 @@ def encoder(tokenizer: str):
         return slow
     import tiktoken
 
+    added = [x["content"] for x in spec.get("added_tokens") or ()] if added_tokens else []
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if any(x in text for x in added):
+            return slow(text)
         if len(text) > LONG_STRETCH and (max(map(len, text.split()), default=0) > LONG_STRETCH or " " * LONG_STRETCH in text or text.isspace()):
             return slow(text)
         try:
@@ -97,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
     """Pieces of at most ``capacity`` tokens of each document, with the checksum of their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added_tokens=True)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -131,6 +131,18 @@ def test_fast_encoder_equals_the_general_one():
         assert list(fast(t)) == general.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_hold_the_ids_of_the_untouched_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> x", "a<|endoftext|>b <|endoftext|><|endoftext|>", "<|endoftext |>", "plain text", "<|endoftext|>" + "x" * 9000, ""]
+    found = {r["doc_id"]: r for r in packing.pieces(documents(spark, texts), capacity=100_000).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        assert (found[i]["ids_crc32"], found[i]["length"], found[i]["doc_tokens"]) == (zlib.crc32(ids.tobytes()), len(ids), len(ids))
+
+
 # html
 
 
