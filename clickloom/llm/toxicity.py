@@ -1,12 +1,18 @@
 """Toxicity scores: gradient-boosted trees over dense features with isotonic calibration.
 
-Features of a whole text (``FEATURES``): densities of a mild and a severe lexicon and of
-their disguised spellings, nearness of second-person words to lexicon words, shares
+The lexicon is learned from the training labels: for each whole word and each word beginning of
+``STEMS`` letters it is counted in how many toxic and in how many other documents it occurs, and
+entries whose log-odds are above ``LEAST_ODDS`` beyond doubt (``DOUBT`` standard errors) stay, the ``max_entries``
+surest of them.  Beginnings catch inflected and compound words that no training document holds.
+
+Features of a whole text (``FEATURES``): densities of lexicon words in three bands of their
+log-odds, of distinct ones and of disguised spellings, nearness of second-person words to lexicon words, shares
 of capitals, of words in capitals, of punctuation, and rates of obfuscation
 (letters replaced by digits or signs, letters drawn apart).  Trees are fitted by
 ``pyspark.ml`` on training labels; one fifth of those (by a hash of the id) is
-kept from the trees and calibrates their margin by isotonic regression.  A share of
-one thousandth of the trees' own probability is mixed in, so that equal steps
+kept from the trees and calibrates their margin by isotonic regression.  So that no row's own label reaches its
+features, a training row's features come from the lexicon of the other four fifths; other rows use the lexicon of all.
+A share of one thousandth of the trees' own probability is mixed in, so that equal steps
 of the isotonic fit keep their order.
 
 Training uses at most ``max_train`` labelled documents, those with the least hash of the
@@ -14,7 +20,8 @@ id; this bounds the broadcast that picks their texts (16 bytes each).  Everythin
 covers all documents.
 
 Defined cases: a null or empty text has all features 0 and a score like any other; an
-id labelled more than once counts as toxic if any label says so; a null id is never
+id labelled more than once counts as toxic if any label says so; of a training id that several rows carry the least text is
+learned; a null id is never
 trained on and is not held out; repeated rows give a row each; an empty table
 gives an empty result; without labels of both kinds every score is the share of toxic
 labels (0 without labels).  Extra columns are ignored.
@@ -22,10 +29,14 @@ labels (0 without labels).  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -34,114 +45,234 @@ from pyspark.sql import functions as F
 
 from .common import held_out, shared_dir, staged
 
-# Insults in English, French, German and Spanish.
-SEVERE = (
-    "idiot idiots moron morons scum imbecile imbeciles cretin retard retarded bastard bastards bitch bitches asshole assholes "
-    "whore slut fuck fucking fucker shit shitty bullshit cunt dick prick wanker dumbass jackass degenerate vermin subhuman "
-    "parasite filth connard connards salope pute encule merde ordure abruti cretine debile arschloch scheisse hurensohn schlampe "
-    "wichser missgeburt trottel vollidiot abschaum dummkopf imbecil cabron puta puto gilipollas mierda pendejo hijoputa escoria maricon"
-).split()
-MILD = (
-    "stupid dumb pathetic worthless disgusting trash garbage loser losers clown clowns fool fools ugly hate hateful liar liars pig pigs "
-    "useless ridiculous crap nasty coward cowards creep freak lunatic crazy idiotic moronic despicable "
-    "stupide minable degoutant pathetique menteur dumm erbaermlich wertlos ekelhaft verlierer luegner estupido patetico "
-    "inutil asqueroso basura perdedor mentiroso payaso"
-).split()
-SECOND = "you your yours yourself u ur ya youre tu te toi ton ta tes vous votre du dich dir dein deine ihr euch usted tus ti".split()
-LEET = str.maketrans("013457@$!|+", "oieastasiit")
-DISGUISED = re.compile(r"(?<![^\W_])(?=[a-z]*[0-9@$!|+*][a-z0-9@$!|+*]*[a-z])[a-z0-9@$!|+*]{3,}")
-OBFUSCATED = re.compile(r"(?<![^\W\d_])[a-z]+(?:[0-9@$!|+*]+[a-z]+)+(?![^\W\d_])")
+SECOND = frozenset(
+    "you your yours yourself u ur ya youre tu te toi ton ta tes vous votre du dich dir dein deine ihr euch usted tus ti".split()
+)
+LEET = str.maketrans("013457@$!|+", "oieastasiit", "*")
+DISGUISED = re.compile(r"(?<![^\W_])(?:[a-z]++[0-9@$!|+*]|[0-9@$|+]++[a-z])[a-z0-9@$!|+*]*+")
+OBFUSCATED = re.compile(r"(?<![^\W\d_])[a-z]++(?:[0-9@$!|+*]++[a-z]++)++(?![^\W\d_])")
 APART = re.compile(r"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 FEATURES = (
-    "severe mild disguised severe_any hits lexicon near_second second capitals capital_words exclaim question other_punctuation "
-    "digits obfuscated apart repeated_letters log_words"
+    "strong middle weak distinct distinct_share hits surest odds disguised near_second second capitals capital_words exclaim question "
+    "other_punctuation digits obfuscated apart repeated_letters log_words"
 ).split()
 _WORD = re.compile(r"[^\W\d_]+")
-_PLAIN = {w: 2 for w in MILD} | {w: 1 for w in SEVERE}
-_LEXICON = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(_PLAIN, key=len, reverse=True)) + r")(?![^\W\d_])")
-_SECOND = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(SECOND, key=len, reverse=True)) + r")(?![^\W\d_])")
-_SHOUTED = re.compile(r"(?<![^\W\d_])[A-Z]{3,}(?![^\W\d_])")
+_SHOUTED = re.compile(r"(?<![^\W\d_])[A-Z]{3,}+(?![^\W\d_])")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
-WINDOW = 40
+#: Lengths of the word beginnings that may enter the lexicon; an entry for a whole word ends in WHOLE.
+STEMS, WHOLE = range(3, 9), "="
+#: Words between a lexicon word and a second-person word that still count as near.
+NEAR = 6
+#: An entry occurs in so many toxic documents at least, and its log-odds less DOUBT standard errors exceed LEAST_ODDS.
+LEAST_DOCUMENTS, LEAST_ODDS, DOUBT = 3, math.log(2.0), 1.64
+STRONG, MIDDLE = 3.5, 2.0
+FOLDS = 5
+FLUSH = 200_000
+#: Words whose weight a task remembers.
+REMEMBERED = 200_000
+
+
+def entries(word: str) -> Iterator[str]:
+    """The lexicon entries that a word meets: itself and its beginnings."""
+    yield word + WHOLE
+    for n in STEMS:
+        if n < len(word):
+            yield word[:n]
+
 
+class Lexicon:
+    """Log-odds by entry; a word has the largest of the entries it meets, 0 where it meets none."""
 
-def features(text: str | None) -> list[float]:
+    def __init__(self, odds: dict[str, float]):
+        self.odds, self.known = odds, {}
+
+    def weight(self, word: str) -> float:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[word] = max((self.odds.get(e, 0.0) for e in entries(word)), default=0.0)
+        return found
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of one text, in the order of ``FEATURES``."""
     text = text or ""
     if not text:
         return [0.0] * len(FEATURES)
     low = text.lower()
-    n_words = max(1, low.count(" ") + low.count("\n") + 1)
-    severe = mild = near = 0
-    for m in _LEXICON.finditer(low):
-        if _PLAIN[m[0]] == 1:
-            severe += 1
-        else:
-            mild += 1
-        near += _SECOND.search(low, max(0, m.start() - WINDOW), m.end() + WINDOW) is not None
-    obfuscated, disguised = len(OBFUSCATED.findall(low)), 0
+    words = _WORD.findall(low)
+    counts = Counter(words)
+    strong = middle = weak = 0
+    surest = odds = 0.0
+    hit = {}
+    for word, times in counts.items():
+        if w := lexicon.weight(word):
+            hit[word] = w
+            odds += w * times
+            surest = max(surest, w)
+            if w >= STRONG:
+                strong += times
+            elif w >= MIDDLE:
+                middle += times
+            else:
+                weak += times
+    second = sum(counts[w] for w in SECOND if w in counts)
+    near = 0
+    if hit and second:
+        at = np.array([i for i, w in enumerate(words) if w in SECOND])
+        for i, w in enumerate(words):
+            if w in hit:
+                j = np.searchsorted(at, i - NEAR)
+                near += j < len(at) and at[j] <= i + NEAR
+    disguised = apart = 0
     for m in DISGUISED.finditer(low):
-        disguised += m[0].replace("*", "").translate(LEET) in _PLAIN
-    apart = 0
+        disguised += lexicon.weight(m[0].translate(LEET)) >= STRONG
     for m in APART.finditer(low):
         apart += 1
-        disguised += re.sub(r"[^a-z]", "", m[0]) in _PLAIN
+        disguised += lexicon.weight(re.sub(r"[^a-z]", "", m[0])) >= STRONG
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     kinds = np.bincount(raw, minlength=256)
-    n, per = len(raw), 100 / n_words
+    n, n_words = len(raw), max(1, len(words))
+    per = 100 / n_words
     exclaim, question = kinds[ord("!")], kinds[ord("?")]
     punctuation = kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum() - exclaim - question
+    hits = strong + middle + weak + disguised
     return [
-        severe * per,
-        mild * per,
+        strong * per,
+        middle * per,
+        weak * per,
+        float(min(len(hit) + disguised, 12)),
+        len(hit) / max(1, len(counts)),
+        float(min(hits, 12)),
+        surest,
+        odds / n_words,
         disguised * per,
-        float(severe + disguised > 0),
-        float(min(severe + mild + disguised, 4)),
-        (severe + mild + disguised) * per,
         near * per,
-        min(1.0, _SECOND.search(low) is not None) * 1.0,
+        float(second > 0),
         kinds[65:91].sum() / n,
         len(_SHOUTED.findall(text)) * per,
         exclaim * per,
         question * per,
         punctuation / n,
         kinds[48:58].sum() / n,
-        obfuscated * per,
+        len(OBFUSCATED.findall(low)) * per,
         apart * per,
-        (_DRAWN.search(low) is not None) * 1.0,
-        float(np.log1p(n_words)),
+        float(_DRAWN.search(low) is not None),
+        math.log1p(n_words),
     ]
 
 
-def _of_batch(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(x) for x in texts])
+def log_odds(toxic: float, other: float, n_toxic: float, n_other: float) -> tuple[float, float]:
+    """Log-odds of an entry by documents, and how many of them are beyond doubt."""
+    odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
+    return odds, odds - DOUBT * math.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+
+
+def _sure(toxic: Column, other: Column, n_toxic: int, n_other: int) -> Column:
+    """The log-odds beyond doubt as a column; null where they do not suffice."""
+    odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((other + 0.5) / (n_other + 1))
+    sure = odds - DOUBT * F.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+    return F.when((toxic >= LEAST_DOCUMENTS) & (sure > LEAST_ODDS), sure)
+
 
+def entry_counts(train: DataFrame) -> DataFrame:
+    """(entry, fold, toxic, other): documents of ``train`` (text, label, fold) by the lexicon entries they hold."""
 
-def with_features(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with the vector column ``__features``."""
-    return docs.withColumn("__features", array_to_vector(F.pandas_udf(_of_batch, "array<double>")(text.cast("string"))))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(found)
+            entry, fold, label = zip(*keys) if keys else ((), (), ())
+            times = [found[k] for k in keys]
+            columns = [
+                pa.array(entry, pa.string()),
+                pa.array(fold, pa.int32()),
+                pa.array([t if x else 0 for t, x in zip(times, label)], pa.int64()),
+                pa.array([0 if x else t for t, x in zip(times, label)], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["entry", "fold", "toxic", "other"])
+
+        for batch in batches:
+            for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = set(_WORD.findall((text.as_py() or "").lower()))
+                found.update((e, fold, label > 0) for e in {e for w in words for e in entries(w)})
+                if len(found) > FLUSH:
+                    yield flush()
+                    found = Counter()
+        yield flush()
+
+    partial = train.select("text", "label", "fold").mapInArrow(count, "entry string, fold int, toxic long, other long")
+    return partial.groupBy("entry", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def learn_lexicons(train: DataFrame, max_entries: int = 4096) -> list[dict[str, float]]:
+    """Lexicons without each fold in turn, and last that of all of ``train`` (text, label, fold).
+
+    The driver gets the ``max_entries`` surest entries alone.
+    """
+    size = np.zeros((2, FOLDS))
+    for r in train.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
+        size[int(r["label"] == 0), r["fold"]] += r["n"]
+    every = size.sum(axis=1)
+    of = lambda name, f: F.sum(F.when(F.col("fold") == f, F.col(name)).otherwise(0)).alias(f"{name}{f}")
+    table = entry_counts(train).groupBy("entry").agg(
+        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), *[of(k, f) for k in ("toxic", "other") for f in range(FOLDS)]
+    )
+    parts = [(F.lit(0), F.lit(0), 0.0, 0.0)] + [(F.col(f"toxic{f}"), F.col(f"other{f}"), size[0, f], size[1, f]) for f in range(FOLDS)]
+    sure = [_sure(F.col("toxic") - t, F.col("other") - o, every[0] - nt, every[1] - no) for t, o, nt, no in parts]
+    rows = table.withColumn("sure", F.greatest(*sure)).where("sure is not null").orderBy(F.desc("sure"), "entry").limit(max_entries).collect()
+    found: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    for r in rows:
+        for f in range(FOLDS + 1):
+            t, o = r["toxic"] - (r[f"toxic{f}"] if f < FOLDS else 0), r["other"] - (r[f"other{f}"] if f < FOLDS else 0)
+            n = every - size[:, f] if f < FOLDS else every
+            odds, least = log_odds(t, o, n[0], n[1])
+            if t >= LEAST_DOCUMENTS and least > LEAST_ODDS:
+                found[f][r["entry"]] = odds
+    return found
+
+
+def with_features(docs: DataFrame, text: Column, lexicons: list[dict[str, float]], fold: Column | None = None) -> DataFrame:
+    """``docs`` with the vector column ``__features``, from the lexicon numbered ``fold`` (the last where none is given)."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+
+    def of_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = [Lexicon(x) for x in shared.value]
+        for texts, folds in batches:
+            yield pd.Series([features(t, known[f]) for t, f in zip(texts, folds)], dtype=object)
+
+    of_batches.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    vector = F.pandas_udf(of_batches, "array<double>")(text.cast("string"), F.lit(-1) if fold is None else fold)
+    return docs.withColumn("__features", array_to_vector(vector))
 
 
 class ToxicityModel:
-    """Fitted trees and calibration; ``share`` stands for both where the labels are of one kind."""
+    """Lexicons, fitted trees and calibration; ``share`` stands for all of them where the labels are of one kind."""
 
-    def __init__(self, trees, isotonic, share: float):
-        self.trees, self.isotonic, self.share = trees, isotonic, share
+    def __init__(self, lexicons, trees, isotonic, share: float):
+        self.lexicons, self.trees, self.isotonic, self.share = lexicons, trees, isotonic, share
 
-    def transform(self, docs: DataFrame) -> DataFrame:
-        """Adds ``__score`` to rows with ``__features``."""
+    def score(self, docs: DataFrame, text: Column) -> DataFrame:
+        """Adds ``__score``."""
         if self.trees is None:
             return docs.withColumn("__score", F.lit(self.share))
+        return self.of_features(with_features(docs, text, self.lexicons[-1:]))
+
+    def of_features(self, docs: DataFrame) -> DataFrame:
         out = self.trees.transform(docs).withColumn("__margin", vector_to_array("__raw")[1])
         own = vector_to_array("__probability")[1]
         out = self.isotonic.transform(out)
         mixed = 0.999 * F.col("__calibrated") + 0.001 * own
         return out.withColumn("__score", F.least(F.greatest(mixed, F.lit(0.0)), F.lit(1.0))).drop(
-            "__raw", "__probability", "__prediction", "__margin", "__calibrated"
+            "__features", "__raw", "__probability", "__prediction", "__margin", "__calibrated"
         )
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, trees: int = 20, depth: int = 4, seed: int = 7) -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, max_train: int = 40_000, max_entries: int = 4096, trees: int = 20, depth: int = 4, seed: int = 7
+) -> ToxicityModel:
     """Fit on the labelled documents whose id's crc32 does not leave remainder 1 when divided by 3."""
     spark = docs.sparkSession
     shared_dir(spark)
@@ -153,15 +284,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, tr
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_train)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(F.broadcast(labelled), "id")
-    train = staged(with_features(texts, F.col("text")).select("id", "label", "__features"), "features")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fold = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(FOLDS)).cast("int")
+    train = staged(texts.join(F.broadcast(labelled), "id").groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("fold", fold), "labelled")
     n, toxic = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if toxic in (0, n):
-        return ToxicityModel(None, None, toxic / n if n else 0.0)
-    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(5))
-    fit, rest = train.where(part != 0), train.where(part == 0)
+        return ToxicityModel(None, None, None, toxic / n if n else 0.0)
+    lexicons = learn_lexicons(train, max_entries)
+    rows = staged(with_features(train, F.col("text"), lexicons, F.col("fold")).select("id", "label", "fold", "__features"), "features")
+    fit, rest = rows.where("fold > 0"), rows.where("fold = 0")
     if fit.agg(F.count_distinct("label")).first()[0] < 2 or rest.count() < 20:
-        fit = rest = train
+        fit = rest = rows
     gbt = GBTClassifier(
         featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=10, maxBins=64, seed=seed
     )
@@ -169,15 +302,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, tr
     model = gbt.fit(fit.repartition(4, "id").sortWithinPartitions("id"))
     margins = model.transform(rest).select("label", vector_to_array("__raw")[1].alias("__margin"))
     isotonic = IsotonicRegression(featuresCol="__margin", labelCol="label", predictionCol="__calibrated").fit(margins)
-    return ToxicityModel(model, isotonic, toxic / n)
+    return ToxicityModel(lexicons, model, isotonic, toxic / n)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text)."""
     model = fit_toxicity(docs, labels, **options)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    scored = model.transform(with_features(rows, F.col("text")).drop("text"))
-    return scored.select(
+    return model.score(rows, F.col("text")).select(
         "doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
     )
 
@@ -186,4 +318,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **opt
     """``docs`` without the rows scored ``threshold`` or more; all columns stay."""
     model = fit_toxicity(docs, labels, **options)
     rows = docs.select(F.struct("*").alias("row"))
-    return model.transform(with_features(rows, F.col("row.text"))).where(F.col("__score") < threshold).select("row.*")
+    return model.score(rows, F.col("row.text")).where(F.col("__score") < threshold).select("row.*")

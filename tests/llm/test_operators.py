@@ -11,20 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import components, decontaminate, html_text, licenses, packing, quality, secret_scan, simhash, suffix_tree, toxicity, warc
+from clickloom.llm import components, decontaminate, html_text, licenses, packing, quality, secret_scan, simhash, suffix_tree, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, n long, word string"
-WORDS = "the of and ering thanble shtion onre edha wher inon estin lyou atre thon nded heing ousto erver".split()
-
-
-def documents(spark, texts, ids=None):
-    """Rows with columns whose names operators use themselves."""
-    rows = [((ids or range(len(texts)))[i], t, "en", f"src{i % 5}", len(t or ""), 1.0, "row", 5, "w") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-def sentence(rng, n):
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "a", "er", "x9", "."]) for _ in range(n))
+from .tables import SCHEMA, documents, sentence
 
 
 @pytest.fixture(scope="module")
@@ -46,33 +35,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# toxicity
-
-
-def test_toxicity(spark):
-    rng = np.random.default_rng(2)
-    texts = [sentence(rng, 60) + (" you stupid idiot " + sentence(rng, 5) if i % 4 == 0 else "") for i in range(400)]
-    docs = documents(spark, [*texts, None, "", "you are an 1d10t, a st*pid m0ron"])
-    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(300)] + [(None, 1, 1)], "doc_id long, toxic int, quality int")
-    rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels, trees=5).collect()}
-    assert len(rows) == 403 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows.values())
-    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
-    assert all(rows[i]["predicted"] == int(i % 4 == 0) for i in range(400))
-    kept = toxicity.drop_toxic(docs, labels, trees=5)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {i for i in range(400) if i % 4}
-
-
-def test_toxicity_features_see_disguise():
-    at = toxicity.FEATURES.index("disguised")
-    assert toxicity.features("what an 1d10t")[at] > 0 and toxicity.features("what an i d i o t here")[at] > 0 and toxicity.features("the year 2019")[at] == 0
-
-
-def test_toxicity_without_labels(docs, empty, spark):
-    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
-    assert {r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()} == {0.0}
-    assert toxicity.toxicity_scores(empty, labels).count() == 0
-
-
 # packing
 
 
