@@ -5,14 +5,13 @@
 2. Remnant lengths are counted in classes of ``grain`` tokens (rounded up), so the
    histogram has at most ``capacity / grain`` rows whatever the corpus holds.
 3. The linear program over cutting patterns is solved on that histogram: a
-   knapsack dynamic program prices the next pattern until none improves the bound.
+   knapsack dynamic program prices new patterns until none improves or the Lagrangian bound is met.
    Pattern counts are rounded down, and what is left over (less than one
    sequence for each pattern of the basis) is packed best-fit, largest first.
 4. Pieces are ranked within their class in a distributed way (ranks within salted
-   groups plus the offsets of the groups), and the rank tells the sequence.
+   groups, whose number grows with the class, plus the offsets of the groups), and the rank tells the sequence.
 
-Only histograms and patterns reach the driver; their sizes depend on ``capacity``
-and ``salts`` alone.
+Only the histogram and patterns reach the driver; their sizes depend on ``capacity`` alone.
 
 Defined cases: a null or empty text is one piece that holds the end id; repeated
 rows and null ids are packed like any other row; an empty table gives an empty
@@ -67,13 +66,13 @@ def encoder(tokenizer: str, added_tokens: bool = False):
     added = [x["content"] for x in spec.get("added_tokens") or ()] if added_tokens else []
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> list[int] | np.ndarray:
         if any(x in text for x in added):
             return slow(text)
         if len(text) > LONG_STRETCH and (max(map(len, text.split()), default=0) > LONG_STRETCH or " " * LONG_STRETCH in text or text.isspace()):
             return slow(text)
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode_to_numpy(text, disallowed_special=())
         except (ValueError, UnicodeError):
             return slow(text)
 
@@ -107,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END_ID], "<u4")
+                ids = np.append(np.asarray(encode(text.as_py() or ""), "<u4"), np.array([END_ID], "<u4"))
                 for at in range(0, len(ids), capacity):
                     part = ids[at : at + capacity]
                     rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
@@ -118,8 +117,11 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: ``value[s]`` for an item of size s; the best total and its counts."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the best total of each capacity and the item taken last there (0: none).
+
+    ``value[s]`` is that of an item of size s.
+    """
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         sums = best[c - 1 :: -1] + value[1 : c + 1]
@@ -128,71 +130,136 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
             best[c], last[c] = sums[s], s + 1
         else:
             best[c] = best[c - 1]
-    counts, c = np.zeros(capacity + 1, np.int64), capacity
+    return best, last
+
+
+def pattern_of(last: np.ndarray, c: int) -> np.ndarray:
+    """The counts by size of the best pattern of capacity ``c``."""
+    counts = np.zeros(len(last), np.int64)
     while c > 0:
         if last[c]:
             counts[last[c]] += 1
             c -= last[c]
         else:
             c -= 1
-    return float(best[capacity]), counts
+    return counts
+
 
+class _Master:
+    """The restricted linear program: least number of sequences over the patterns found so far, by revised simplex.
 
-def column_generation(need: np.ndarray, capacity: int, gap: float = 2e-4) -> list[tuple[np.ndarray, int]]:
-    """Patterns (counts by size, times) that hold ``need[s]`` items of each size s exactly."""
+    Demands are raised by tiny different amounts, so that no step is of length zero for long.
+    """
+
+    def __init__(self, sizes: np.ndarray, need: np.ndarray, capacity: int, pool: np.ndarray, seed: int = 5):
+        fit = (capacity // sizes).astype(float)
+        self.pool, self.basis, self.inverse = pool, np.diag(fit), np.diag(1 / fit)
+        self.x = need * (1 + 1e-7 * np.random.default_rng(seed).random(len(need))) / fit
+
+    def solve(self) -> np.ndarray:
+        """Pivot until no pattern of the pool improves; the duals."""
+        for _ in range(50 * len(self.x)):
+            duals = self.inverse.sum(axis=0)
+            gain = self.pool @ duals
+            j = int(gain.argmax())
+            if gain[j] <= 1 + 1e-7:
+                break
+            column = self.inverse @ self.pool[j]
+            rows = np.nonzero(column > 1e-9)[0]
+            leave = rows[np.argmin(self.x[rows] / column[rows])]
+            step = max(self.x[leave] / column[leave], 0.0)
+            self.x -= step * column
+            self.x[leave] = step
+            pivot = self.inverse[leave] / column[leave]
+            self.inverse -= np.outer(column, pivot)
+            self.inverse[leave] = pivot
+            self.basis[leave] = self.pool[j]
+        return self.inverse.sum(axis=0)
+
+
+def column_generation(
+    need: np.ndarray, capacity: int, gap: float = 1e-4, rounds: int = 500, columns: int = 64, smoothing: float = 0.6, pool_rows: int = 4096
+) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """Patterns (counts by size, times) that hold ``need[s]`` items of each size s exactly, and a lower bound of their number.
+
+    The pool starts with the patterns of best fit.  A round prices patterns at duals smoothed towards those of the best
+    bound (at the duals themselves if that finds none), and adds the best pattern with each of ``columns`` sizes.  It stops
+    when no pattern improves, when the Lagrangian bound is within ``gap`` of the program's value, or after ``rounds``.
+    Pattern counts are rounded down, what is left is packed best-fit; if best fit of everything needs fewer
+    sequences, that is returned.
+    """
     sizes = np.nonzero(need)[0]
-    m = len(sizes)
-    if m == 0:
-        return []
-    # start: one pattern of equal items for each size, so the inverse of the basis is diagonal
-    fit = capacity // sizes
-    basis = np.zeros((m, capacity + 1), np.int64)
-    basis[np.arange(m), sizes] = fit
-    inverse, x = np.diag(1.0 / fit), need[sizes] / fit
-    for _ in range(40 * m):
-        duals = inverse.sum(axis=0)
-        value = np.full(capacity + 1, -np.inf)
-        value[sizes] = duals
-        total, pattern = best_pattern(value, capacity)
-        if total <= 1 + gap:  # then the bound sum(duals * need) / total is within the gap
+    if len(sizes) == 0:
+        return [], 0.0
+    plain, want = best_fit(need, capacity), need[sizes].astype(float)
+    master = _Master(sizes, want, capacity, np.array([p[sizes] for p, _ in plain], float))
+    stable = sizes / capacity  # the duals of the volume bound
+    bound = float(stable @ want)
+    for _ in range(rounds):
+        duals = master.solve()
+        if master.x.sum() <= bound * (1 + gap):
+            break
+        for weight in (smoothing, 0.0):
+            prices = weight * stable + (1 - weight) * duals
+            value = np.full(capacity + 1, -np.inf)
+            value[sizes] = prices
+            best, last = knapsack(value, capacity)
+            if best[capacity] > 0 and prices @ want / best[capacity] > bound:
+                bound, stable = float(prices @ want / best[capacity]), prices / best[capacity]
+            found = []
+            for s in sizes[np.argsort(-(prices + best[capacity - sizes]), kind="stable")[:columns]]:
+                pattern = pattern_of(last, capacity - s)
+                pattern[s] += 1
+                found.append(pattern[sizes].astype(float))
+            new = np.unique(np.array(found), axis=0)
+            new = new[new @ duals > 1 + 1e-7]
+            if len(new):
+                break
+        if not len(new):
             break
-        column = inverse @ pattern[sizes]
-        rows = np.nonzero(column > 1e-9)[0]
-        leave = rows[np.argmin(x[rows] / column[rows])]
-        step = max(x[leave] / column[leave], 0.0)
-        x -= step * column
-        x[leave] = step
-        pivot = inverse[leave] / column[leave]
-        inverse -= np.outer(column, pivot)
-        inverse[leave] = pivot
-        basis[leave] = pattern
-    left, found = need.copy(), []
-    for pattern, times in zip(basis, np.floor(np.maximum(x, 0) + 1e-7).astype(np.int64)):
+        master.pool = np.vstack([master.pool[np.argsort(-(master.pool @ duals), kind="stable")[:pool_rows]], new])
+    left, packed = need.copy(), []
+    for row, times in zip(master.basis, np.floor(np.maximum(master.x, 0) + 1e-6).astype(np.int64)):
+        pattern = np.zeros(capacity + 1, np.int64)
+        pattern[sizes] = np.rint(row)
         used = pattern > 0
         times = min(int(times), int((left[used] // pattern[used]).min()))
-        if times:
-            found.append((pattern, times))
+        if times > 0:
+            packed.append((pattern, times))
             left -= times * pattern
-    return found + best_fit(left, capacity)
+    packed += best_fit(left, capacity)
+    return min(packed, plain, key=lambda x: sum(t for _, t in x)), bound
 
 
 def best_fit(need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit, largest first, for what rounding leaves: less than one sequence for each size."""
-    room: list[list[np.ndarray]] = [[] for _ in range(capacity + 1)]
+    """Patterns and times of best fit, largest first; equal sequences are filled together, so its time depends on the sizes alone."""
+    room: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(capacity + 1)]
     for size in np.nonzero(need)[0][::-1]:
-        for _ in range(int(need[size])):
-            free = next((r for r in range(size, capacity + 1) if room[r]), None)
-            pattern = room[free].pop() if free is not None else np.zeros(capacity + 1, np.int64)
-            pattern[size] += 1
-            room[(capacity if free is None else free) - size].append(pattern)
-    return [(p, 1) for r in room for p in r]
+        left, at = int(need[size]), int(size)
+        while left:
+            while at <= capacity and not room[at]:
+                at += 1
+            opened = at > capacity
+            pattern, times = (np.zeros(capacity + 1, np.int64), left) if opened else room[at].pop()
+            free = min(at, capacity)
+            each = free // size
+            # a sequence that takes an item stays the tightest until it takes no more
+            for items, n in ((each, min(times, left // each)), (left % each, 1)):
+                if items and n and times and left:
+                    filled = pattern.copy()
+                    filled[size] += items
+                    room[free - items * size].append((filled, n))
+                    left, times = left - items * n, times - n
+            if times and not opened:
+                room[at].append((pattern, times))
+    return [x for r in room for x in r]
 
 
 def _layout(need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For ranked items of each class: where the class begins, and the runs of ranks (begin, first sequence, items a sequence)."""
     per_class: list[list[tuple[int, int, int]]] = [[] for _ in need]
     sequence = 0
-    for pattern, times in column_generation(need, capacity):
+    for pattern, times in column_generation(need, capacity)[0]:
         for size in np.nonzero(pattern)[0]:
             per_class[size].append((int(pattern[size]) * times, sequence, int(pattern[size])))
         sequence += times
@@ -202,37 +269,38 @@ def _layout(need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np
     return begin, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if runs else n, first, each
 
 
-def pack(cut: DataFrame, capacity: int = 2048, grain: int = 4, salts: int = 128) -> DataFrame:
-    """``cut`` (doc_id, start, length, ...) with ``sequence_id`` and the gapless ``offset`` in it."""
+def pack(cut: DataFrame, capacity: int = 2048, grain: int = 4, group_rows: int = 100_000) -> DataFrame:
+    """``cut`` (doc_id, start, length, ...) with ``sequence_id`` and the gapless ``offset`` in it.
+
+    Ranks are counted in groups of about ``group_rows`` pieces of a class, however many pieces there are.
+    """
     top = capacity // grain
-    salted = staged(
-        cut.select(
-            "*",
-            F.ceil(F.col("length") / grain).cast("int").alias("class"),
-            F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int").alias("salt"),
-        ),
-        "pieces",
+    rows = staged(
+        cut.select("*", F.ceil(F.col("length") / grain).cast("int").alias("class"), F.monotonically_increasing_id().alias("piece")), "pieces"
     )
-    sizes = salted.groupBy("class", "salt").agg(F.count("*").alias("n")).collect()  # top * salts rows at most
-    grid = np.zeros((top + 1, salts), np.int64)
-    for r in sizes:
-        grid[r["class"], r["salt"]] = r["n"]
-    before = np.cumsum(grid, axis=1) - grid
-    begin, run, first, each = _layout(grid.sum(axis=1), top)
-
-    def place(cls: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
-        c = cls.to_numpy()
-        at = begin[c] + before[c, salt.to_numpy()] + rank.to_numpy() - 1
+    need = np.zeros(top + 1, np.int64)
+    for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect():  # top rows at most
+        need[r["class"]] = r["n"]
+    begin, run, first, each = _layout(need, top)
+    salts = F.get(F.array(*[F.lit(int(-(-n // group_rows))) for n in need]), F.col("class"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "piece"), salts))
+    sizes = salted.groupBy("class", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("class", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+
+    def place(cls: pd.Series, rank: pd.Series) -> pd.Series:
+        at = begin[cls.to_numpy()] + rank.to_numpy() - 1
         j = np.searchsorted(run, at, "right") - 1
         return pd.Series(first[j] + (at - run[j]) // each[j])
 
-    rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id", "start"))
-    within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start")
+    rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id", "start", "piece"))
+    within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "piece")
     return (
         salted.withColumn("rank", rank.cast("long"))
-        .withColumn("sequence_id", F.pandas_udf(place, "long")("class", "salt", "rank"))
+        .join(before, ["class", "salt"])
+        .withColumn("sequence_id", F.pandas_udf(place, "long")("class", F.col("rank") + F.col("before")))
         .withColumn("offset", F.coalesce(F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-        .drop("class", "salt", "rank")
+        .drop("class", "salt", "rank", "before", "piece")
     )
 
 

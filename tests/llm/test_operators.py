@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import components, decontaminate, html_text, licenses, packing, quality, secret_scan, simhash, suffix_tree, warc
+from clickloom.llm import components, decontaminate, html_text, licenses, quality, secret_scan, simhash, suffix_tree, warc
 
 from .tables import SCHEMA, documents, sentence
 
@@ -35,76 +35,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# packing
-
-
-def test_packing_round_trip(docs, texts):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    general = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = packing.pack_documents(docs, capacity=64).collect()
-    for i, t in enumerate(texts):
-        ids, at = general.encode(t or "", add_special_tokens=False).ids + [1], 0
-        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
-            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
-            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(part.tobytes()))
-            at += r["length"]
-        assert at == len(ids)
-    for s in {r["sequence_id"] for r in rows}:
-        at = 0
-        for r in sorted((r for r in rows if r["sequence_id"] == s), key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= 64
-
-
-def test_packing_of_repeated_rows_and_none(spark, empty):
-    rows = packing.pack_documents(documents(spark, ["one two three"] * 20, ids=[None] * 10 + [4] * 10), capacity=16).collect()
-    assert len(rows) == 20 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 20
-    assert packing.pack_documents(empty).count() == 0
-
-
-def test_column_generation_covers_the_need():
-    rng = np.random.default_rng(4)
-    need = np.zeros(65, np.int64)
-    need[1:] = rng.integers(0, 400, 64)
-    patterns = packing.column_generation(need, 64)
-    assert (sum(p * t for p, t in patterns) == need).all() and all(p @ np.arange(65) <= 64 for p, _ in patterns)
-    assert sum(t for _, t in patterns) <= 1.02 * (need @ np.arange(65)) / 64 + 2
-
-
-def test_knapsack_against_search():
-    value = np.full(11, -np.inf)
-    value[[2, 3, 7]] = 0.2, 0.35, 0.8
-    best = max(0.2 * a + 0.35 * b + 0.8 * c for a in range(6) for b in range(4) for c in range(2) if 2 * a + 3 * b + 7 * c <= 10)
-    total, counts = packing.best_pattern(value, 10)
-    assert math.isclose(total, best) and counts @ np.arange(11) <= 10
-
-
-def test_fast_encoder_equals_the_general_one():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    general = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    general.encode_special_tokens = True
-    fast = packing.encoder("byte_bpe_50k.json")
-    for t in ["", " ", "a  b\n\n c\t", "it's we'll 123 4567 ###!! ñ é 漢字 🙂", "<|endoftext|> x", "x" * 9000, " " * 9000 + "y", " 　 z"]:
-        assert list(fast(t)) == general.encode(t, add_special_tokens=False).ids
-
-
-def test_pieces_hold_the_ids_of_the_untouched_tokenizer(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["<|endoftext|> x", "a<|endoftext|>b <|endoftext|><|endoftext|>", "<|endoftext |>", "plain text", "<|endoftext|>" + "x" * 9000, ""]
-    found = {r["doc_id"]: r for r in packing.pieces(documents(spark, texts), capacity=100_000).collect()}
-    for i, t in enumerate(texts):
-        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4")
-        assert (found[i]["ids_crc32"], found[i]["length"], found[i]["doc_tokens"]) == (zlib.crc32(ids.tobytes()), len(ids), len(ids))
-
-
 # html
 
 
