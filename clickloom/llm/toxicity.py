@@ -58,18 +58,20 @@ FEATURES = (
 ).split()
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUTED = re.compile(r"(?<![^\W\d_])[A-Z]{3,}+(?![^\W\d_])")
+SIGNS = ".,;:!?\"'()[]-|"
+_LEET = re.compile(r"[@$!|+*]")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
 #: Lengths of the word beginnings that may enter the lexicon; an entry for a whole word ends in WHOLE.
 STEMS, WHOLE = range(3, 9), "="
-#: Words between a lexicon word and a second-person word that still count as near.
+#: Tokens between a lexicon word and a second-person word that still count as near.
 NEAR = 6
 #: An entry occurs in so many toxic documents at least, and its log-odds less DOUBT standard errors exceed LEAST_ODDS.
 LEAST_DOCUMENTS, LEAST_ODDS, DOUBT = 3, math.log(2.0), 1.64
 STRONG, MIDDLE = 3.5, 2.0
 FOLDS = 5
 FLUSH = 200_000
-#: Words whose weight a task remembers.
-REMEMBERED = 200_000
+#: Tokens whose counts a task remembers.
+REMEMBERED = 300_000
 
 
 def entries(word: str) -> Iterator[str]:
@@ -83,16 +85,36 @@ def entries(word: str) -> Iterator[str]:
 class Lexicon:
     """Log-odds by entry; a word has the largest of the entries it meets, 0 where it meets none."""
 
-    def __init__(self, odds: dict[str, float]):
-        self.odds, self.known = odds, {}
+    def __init__(self, odds: dict[str, float], room: int = REMEMBERED):
+        self.odds, self.known, self.room = odds, {}, room
+        self.heads = {e.rstrip(WHOLE)[: STEMS[0]] for e in odds}
 
     def weight(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = max((self.odds.get(e, 0.0) for e in entries(word)), default=0.0)
-        return found
+        if word[: STEMS[0]] not in self.heads:
+            return 0.0
+        return max((self.odds.get(e, 0.0) for e in entries(word)), default=0.0)
+
+    def token(self, token: str) -> tuple | None:
+        """(counts, hits, whether it may be part of letters drawn apart) of a token between white space; None for a plain word.
+
+        Counts: words, second-person words, words in capitals, disguised lexicon words, obfuscated words, drawn-out letters;
+        hits: (word, log-odds) of its lexicon words.
+        """
+        low = token.lower()
+        bare = low.strip(SIGNS)
+        alone = bare.isalpha() and len(bare) > 1 and token[1:] == low[1:] and not _LEET.search(low)
+        if alone and bare[: STEMS[0]] not in self.heads and bare not in SECOND and not _DRAWN.search(bare):
+            return None
+        words = [bare] if bare.isalpha() else _WORD.findall(low)
+        hits = [(w, x) for w in words if (x := self.weight(w))]
+        disguised = obfuscated = 0
+        if not bare.isalpha() or not low.isascii() or _LEET.search(low):
+            disguised = sum(self.weight(m[0].translate(LEET)) >= STRONG for m in DISGUISED.finditer(low))
+            obfuscated = len(OBFUSCATED.findall(low))
+        shouted = 0 if token == low else len(_SHOUTED.findall(token))
+        counts = (len(words), sum(w in SECOND for w in words), shouted, disguised, obfuscated, int(_DRAWN.search(low) is not None))
+        letter = len(words) > 0 and max(map(len, words)) == 1
+        return None if counts == (1, 0, 0, 0, 0, 0) and not hits and not letter else (counts, hits, letter)
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -100,65 +122,79 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     if not text:
         return [0.0] * len(FEATURES)
-    low = text.lower()
-    words = _WORD.findall(low)
-    counts = Counter(words)
-    strong = middle = weak = 0
+    tokens = text.split()
+    times = Counter(tokens)
+    n_words = second = shouted = disguised = obfuscated = drawn = 0
+    strong = middle = weak = apart = single = 0
     surest = odds = 0.0
-    hit = {}
-    for word, times in counts.items():
-        if w := lexicon.weight(word):
+    hit: dict[str, float] = {}
+    known = lexicon.known
+    for token, n in times.items():
+        found = known.get(token, 0)
+        if found == 0:
+            if len(known) >= lexicon.room:
+                known.clear()
+            found = known[token] = lexicon.token(token)
+        if found is None:
+            n_words += n
+            continue
+        counts, hits, letter = found
+        n_words += n * counts[0]
+        second += n * counts[1]
+        shouted += n * counts[2]
+        disguised += n * counts[3]
+        obfuscated += n * counts[4]
+        drawn += counts[5]
+        single += letter * n * counts[0]
+        for word, w in hits:
             hit[word] = w
-            odds += w * times
+            odds += w * n
             surest = max(surest, w)
             if w >= STRONG:
-                strong += times
+                strong += n
             elif w >= MIDDLE:
-                middle += times
+                middle += n
             else:
-                weak += times
-    second = sum(counts[w] for w in SECOND if w in counts)
+                weak += n
     near = 0
     if hit and second:
-        at = np.array([i for i, w in enumerate(words) if w in SECOND])
-        for i, w in enumerate(words):
-            if w in hit:
+        special = {t: x for t in times if (x := lexicon.token(t))}
+        at = np.array([i for i, t in enumerate(tokens) if t in special and special[t][0][1]])
+        for i, t in enumerate(tokens):
+            if t in special and (n := len(special[t][1])):
                 j = np.searchsorted(at, i - NEAR)
-                near += j < len(at) and at[j] <= i + NEAR
-    disguised = apart = 0
-    for m in DISGUISED.finditer(low):
-        disguised += lexicon.weight(m[0].translate(LEET)) >= STRONG
-    for m in APART.finditer(low):
-        apart += 1
-        disguised += lexicon.weight(re.sub(r"[^a-z]", "", m[0])) >= STRONG
+                near += n * (j < len(at) and at[j] <= i + NEAR)
+    if single >= 4:
+        for m in APART.finditer(text.lower()):
+            apart += 1
+            disguised += lexicon.weight(re.sub(r"[^a-z]", "", m[0])) >= STRONG
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     kinds = np.bincount(raw, minlength=256)
-    n, n_words = len(raw), max(1, len(words))
+    n, n_words = len(raw), max(1, n_words)
     per = 100 / n_words
     exclaim, question = kinds[ord("!")], kinds[ord("?")]
     punctuation = kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum() - exclaim - question
-    hits = strong + middle + weak + disguised
     return [
         strong * per,
         middle * per,
         weak * per,
         float(min(len(hit) + disguised, 12)),
-        len(hit) / max(1, len(counts)),
-        float(min(hits, 12)),
+        len(hit) / max(1, len(times)),
+        float(min(strong + middle + weak + disguised, 12)),
         surest,
         odds / n_words,
         disguised * per,
         near * per,
         float(second > 0),
         kinds[65:91].sum() / n,
-        len(_SHOUTED.findall(text)) * per,
+        shouted * per,
         exclaim * per,
         question * per,
         punctuation / n,
         kinds[48:58].sum() / n,
-        len(OBFUSCATED.findall(low)) * per,
+        obfuscated * per,
         apart * per,
-        float(_DRAWN.search(low) is not None),
+        float(drawn > 0),
         math.log1p(n_words),
     ]
 
@@ -239,7 +275,7 @@ def with_features(docs: DataFrame, text: Column, lexicons: list[dict[str, float]
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def of_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = [Lexicon(x) for x in shared.value]
+        known = [Lexicon(x, REMEMBERED // len(shared.value)) for x in shared.value]
         for texts, folds in batches:
             yield pd.Series([features(t, known[f]) for t, f in zip(texts, folds)], dtype=object)
 
@@ -292,14 +328,15 @@ def fit_toxicity(
         return ToxicityModel(None, None, None, toxic / n if n else 0.0)
     lexicons = learn_lexicons(train, max_entries)
     rows = staged(with_features(train, F.col("text"), lexicons, F.col("fold")).select("id", "label", "fold", "__features"), "features")
-    fit, rest = rows.where("fold > 0"), rows.where("fold = 0")
+    few = rows.coalesce(4)  # at most max_train short rows, read many times
+    fit, rest = few.where("fold > 0"), few.where("fold = 0")
     if fit.agg(F.count_distinct("label")).first()[0] < 2 or rest.count() < 20:
-        fit = rest = rows
+        fit = rest = few
     gbt = GBTClassifier(
         featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=10, maxBins=64, seed=seed
     )
     gbt.setRawPredictionCol("__raw").setProbabilityCol("__probability")
-    model = gbt.fit(fit.repartition(4, "id").sortWithinPartitions("id"))
+    model = gbt.fit(fit.sortWithinPartitions("id"))
     margins = model.transform(rest).select("label", vector_to_array("__raw")[1].alias("__margin"))
     isotonic = IsotonicRegression(featuresCol="__margin", labelCol="label", predictionCol="__calibrated").fit(margins)
     return ToxicityModel(lexicons, model, isotonic, toxic / n)
