@@ -128,21 +128,37 @@ def _item_passages(benchmark: DataFrame) -> list[tuple[int, list[bytes], list[by
 
 def _products(passages: DataFrame, q: np.ndarray) -> np.ndarray:
     """A'(A q) over the rows (cells, weights) of ``passages``: summed by cell blocks in Spark, CELLS x rank to the driver."""
-    shared = passages.sparkSession.sparkContext.broadcast(q.astype(np.float32))
+    shared = passages.sparkSession.sparkContext.broadcast(q)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, out = shared.value, np.zeros(shared.value.shape, np.float64)
+        q, out = shared.value, np.zeros(shared.value.shape, np.float32)
         for batch in batches:
-            for c, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = np.array(w)
-                np.add.at(out, c, np.outer(w, w @ q[c]))
+            for c, w in zip(batch.column(0), batch.column(1)):
+                c, w = c.values.to_numpy(), w.values.to_numpy().astype(np.float32)
+                out[c] += np.outer(w, w @ q[c])  # the cells of a row are distinct
         yield _parts(out)
 
-    found = _summed(passages.mapInArrow(multiply, PARTS), np.float64).reshape(CELLS, -1)
-    shared.unpersist()
+    found = _summed(passages.mapInArrow(multiply, PARTS), np.float32).reshape(CELLS, -1)
+    shared.destroy()
     return found
 
 
+def orthonormal(y: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """An orthonormal basis of the columns of ``y`` from their Gram matrix, twice; dependent columns go.
+
+    Works on a few rows at a time, so that the driver holds little besides ``y`` itself.
+    """
+    for _ in range(2):
+        gram = np.zeros((y.shape[1], y.shape[1]))
+        for at in range(0, len(y), rows):
+            part = y[at : at + rows].astype(np.float64)
+            gram += part.T @ part
+        values, vectors = np.linalg.eigh(gram)
+        used = values > 1e-9 * max(float(values[-1]), 1e-300)
+        y = y @ (vectors[:, used] / np.sqrt(values[used])).astype(np.float32)
+    return y
+
+
 class LatentIndex:
     """Projection of weighted cells into the latent space, and the benchmark passages in it."""
 
@@ -229,10 +245,11 @@ def fit_index(
     scale = float(np.sqrt(max(1, sample.count()) / len(queries)))
     own = docs.sparkSession.createDataFrame([(u.tolist(), (scale * x).tolist()) for u, x in queries], schema)
     passages = staged(sample.union(own).coalesce(8), "passages")
-    q = np.random.default_rng(seed).standard_normal((CELLS, min(rank, CELLS)))
+    q = np.random.default_rng(seed).standard_normal((CELLS, min(rank, CELLS)), np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(_products(passages, q))
-    return LatentIndex((idf[:, None] * q).astype(np.float32), items, idf)
+        q = orthonormal(_products(passages, q))
+    q *= idf[:, None].astype(np.float32)
+    return LatentIndex(q, items, idf)
 
 
 def _masks(words: list[bytes]) -> dict[bytes, int]:
