@@ -1,50 +1,61 @@
-"""Language-model scores from a probabilistic suffix tree.
-
-A text is its lower-cased (A-Z) words, each spelled in UTF-8 bytes and closed by a
-space, and one end symbol.  The tree's states are contexts: byte strings that end just
-before the next symbol and reach back to the start of the word at most ``depth``
-bytes.  A context is retained when
-
-* it is frequent: it precedes at least ``least_share`` of all symbols, which
-  bounds the tree by ``depth / least_share`` contexts whatever the corpus holds;
-* its next-symbol distribution diverges from that of its suffix (the context
-  without its first byte) by a likelihood-ratio statistic of at least ``divergence``;
-
-and suffixes of retained contexts are retained.  Distributions are smoothed by
-the one of the next shorter context (weight ``backoff``), down to an additive
-root.  A symbol is predicted by the longest retained suffix of what precedes it.
-
-The tree learns how words are spelled from all distinct training words, each
-counted once, as unseen words resemble types more than running text.  The state at the
-start of a word also knows whole words: their training frequencies, discounted by
-the share of first occurrences (types / (tokens + types)), which is what the spelled
-path gets.  So a word seen in training has both paths, an unseen word the spelled one, and the
-probabilities of all texts still sum to 1.
-
-Since no context crosses the start of a word, each distinct word is scored once.  Words among the ``head`` most frequent reach the tasks as a table of that size;
-the others are joined.  Vocabulary and counts are Spark tables throughout.
+"""Language-model scores from a probabilistic suffix tree over tokens.
+
+A text is its lower-cased (A-Z) words and one end token.  The tree's states are contexts of one to
+``depth`` preceding tokens (the start of a text is one).  A context is retained when it precedes at least
+``least`` training tokens and its next-token distribution diverges from that of its suffix (the context without its first
+token): the log-likelihood that it gains over the suffix, in nats, exceeds ``divergence`` and what its
+followers cost, ``follower_cost`` times the log of the vocabulary for each distinct one.  A token is predicted by the longest
+retained suffix of what precedes it.  A state with n occurrences and t distinct followers gives t / (n + t) to the
+distribution of the longest retained context among its own suffixes, down to the root of single tokens.  The
+root gives types / (tokens + types) to the spelling of words, chains of up to three bytes before (learned from distinct words, those of a
+stretch of texts at a time), which is how unseen words get their share; so the probabilities of all texts sum to 1.
+
+The work is laid out so that no table of counts is ever in one place:
+
+* Documents are dealt into blocks of about ``block_bytes`` and written once, bucketed by block, so that all later
+  passes find a block where it lies.
+* A block hashes its tokens and n-grams, combines equal ones, and sends the sorted distinct keys with their counts
+  to key ranges.  A range adds the counts up and answers each block with the totals in the order of its keys.
+* With these, each block adds up the divergence of the contexts it holds; ranges add up again and answer
+  with the number of followers of retained contexts.  Then each block scores its documents whole.
+
+A key range holds about ``range_keys`` keys at any size of the corpus; a frequent key is one entry for each block.
+Tokens are told apart by 64 bits of XXH64, n-grams by 20 bits more than it takes to number them all (at most 64), so
+about one n-gram in a million shares its key.  Divergences and followers are added up in steps of 1 / 16.  The
+driver gets the counts of byte chains (a few ten thousand; 2 * 2**21 at most) and totals.
 
 Defined cases: a null or empty text has the end token only; repeated rows count
 and give a row each; a null id is a training row; an empty table gives an empty
 result; without training rows all counts are zero and the scores stay finite
-(the base score then is 0 per token, its log of 0.5 / 0.5).
+(the base score then is 0 per token, its log of 0.5 / 0.5).  A very long text makes its block longer, at some 80 bytes of memory a token.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, staged
+from .common import held_out, shared_dir, staged
 
-END = 256  # the end symbol; symbols 0 to 255 are bytes
-SYMBOLS = 257
-FLUSH = 200_000
+CONTEXTS, WORDS, GRAMS = 0, 1, 2
+START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+STEP = 16
+#: Of the spelling: most bytes before, classes they are hashed into, weight of the shorter order, distinct words counted at once.
+ORDERS, CLASSES, PRIOR, TYPES = 3, 1 << 13, 5.0, 100_000
+MESSAGE = pa.schema(
+    [("family", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())]
+)
+SENT = "family int, range long, block long, n long, keys binary, counts binary, more binary"
+REPLY = pa.schema([("family", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("types", pa.int64())])
+ANSWERED = "family int, range long, block long, n long, counts binary, types long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,209 +63,325 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over (text, train): c counts training occurrences, 0 for words of other texts alone."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, other = Counter(), set()
-
-        def flush() -> pa.RecordBatch:
-            w = [*train, *(x for x in other if x not in train)]
-            c = [*train.values(), *[0] * (len(w) - len(train))]
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for text, in_train in zip(batch.column(0), batch.column(1).to_pylist()):
-                (train if in_train else other).update(tokens(text.as_py()))
-                if len(train) + len(other) > FLUSH:
-                    yield flush()
-                    train, other = Counter(), set()
-        yield flush()
-
-    partial = docs.select(F.col("text").cast("string"), "train").mapInArrow(count, "word binary, c long")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def context_counts(words: DataFrame, depth: int) -> DataFrame:
-    """(context, symbol, c) over the distinct training words, for contexts of every length from 0 to ``depth``; a word's start is a space."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = [*found]
-            columns = [pa.array([k[:-1] for k in keys], pa.binary()), pa.array([k[-1] for k in keys], pa.int32()), pa.array([*found.values()], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["context", "symbol", "c"])
-
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                s = b" " + word + b" "
-                found.update([s[max(0, i - depth) : i + 1] for i in range(1, len(s))])
-                if len(found) > FLUSH:
-                    yield flush()
-                    found = Counter()
-        yield flush()
-
-    longest = words.where("c > 0").select("word").mapInArrow(spell, "context binary, symbol int, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
-    size = F.octet_length("context")
-    every = longest.select(F.explode(F.sequence(F.lit(0), size)).alias("n"), "context", "symbol", "c")
-    suffix = F.substring(F.col("context"), F.octet_length("context") - F.col("n") + 1, F.col("n"))
-    return every.select(suffix.alias("context"), "symbol", "c").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
-
-
-def retained_contexts(counts: DataFrame, n_symbols: int, least_share: float, divergence: float) -> DataFrame:
-    """(context, symbol, c) of the contexts that pass both tests, their suffixes and the root."""
-    totals = counts.groupBy("context").agg(F.sum("c").alias("n")).where(F.col("n") >= F.lit(max(1.0, least_share * n_symbols)))
-    frequent = staged(counts.join(totals, "context"), "contexts")
-    parent = F.substring(F.col("context"), F.lit(2), F.octet_length("context"))
-    upper = frequent.select(F.col("context").alias("parent"), "symbol", F.col("c").alias("pc"), F.col("n").alias("pn"))
-    ratio = F.col("c") * F.log((F.col("c") / F.col("n")) / (F.col("pc") / F.col("pn")))
-    kept = (
-        frequent.where(F.octet_length("context") > 0)
-        .withColumn("parent", parent)
-        .join(upper, ["parent", "symbol"])
-        .groupBy("context")
-        .agg((2 * F.sum(ratio)).alias("g"))
-        .where(F.col("g") >= divergence)
-    )
-    size = F.octet_length("context")
-    closed = kept.select(F.explode(F.sequence(F.lit(0), size)).alias("k"), "context").select(
-        F.substring(F.col("context"), size - F.col("k") + 1, F.col("k")).alias("context")
-    )
-    return frequent.join(closed.distinct(), "context", "left_semi").select("context", "symbol", "c")
-
-
-class SuffixTree:
-    """Smoothed log10 next-symbol distributions of the retained contexts."""
-
-    def __init__(self, rows: list[tuple[bytes, int, int]], n_end: int, depth: int, backoff: float):
-        counts: dict[bytes, dict[int, int]] = {}
-        for context, symbol, c in rows:
-            counts.setdefault(bytes(context), {})[symbol] = c
-        for context in (b"", b" "):  # the end symbol stands where a word could start
-            if context in counts or context == b"":
-                counts.setdefault(context, {})[END] = n_end
-        self.depth, self.states = depth, {}
-        for context in sorted(counts, key=len):  # a suffix before what extends it
-            own, n = counts[context], sum(counts[context].values())
-            weight = backoff / (n + backoff)
-            shorter = context[1:] if context else None
-            self.states[context] = ({}, math.log10(weight), shorter)
-            seen = {s: math.log10((1 - weight) * c / n + weight * 10 ** self.log(shorter, s)) for s, c in own.items() if c}
-            self.states[context] = (seen, math.log10(weight), shorter)
-
-    def log(self, context: bytes | None, symbol: int) -> float:
-        """log10 of the probability of ``symbol`` in the state ``context``; uniform above the root."""
-        total = 0.0
-        while context is not None:
-            seen, weight, context = self.states[context]
-            if symbol in seen:
-                return total + seen[symbol]
-            total += weight
-        return total - math.log10(SYMBOLS)
-
-    def state(self, before: bytes) -> bytes:
-        """The longest retained suffix of the symbols before."""
-        while before not in self.states:
-            before = before[1:]
-        return before
-
-    def word(self, word: bytes) -> float:
-        """log10 probability of a word and the space that closes it, from its start."""
-        s = b" " + word + b" "
-        return sum(self.log(self.state(s[max(0, i - self.depth) : i]), s[i]) for i in range(1, len(s)))
-
-    def end(self) -> float:
-        return self.log(self.state(b" "), END)
-
-
-def train_tree(words: DataFrame, n_end: int, depth: int = 6, least_share: float = 1e-5, divergence: float = 40.0, backoff: float = 2.0) -> SuffixTree:
-    """The tree over a (word, c) table; its size is bounded by ``depth / least_share`` contexts."""
-    counts = staged(context_counts(words, depth), "symbols")
-    n_symbols = counts.where(F.octet_length("context") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    kept = retained_contexts(counts, n_symbols, least_share, divergence)
-    rows = [(bytes(r[0]), r[1], r[2]) for r in kept.collect()]
-    root = [(b"", r[0], r[1]) for r in counts.where(F.octet_length("context") == 0).select("symbol", "c").collect()] if not any(c == b"" for c, _, _ in rows) else []
-    return SuffixTree(rows + root, n_end, depth, backoff)
-
-
-def language_scores(docs: DataFrame, head: int = 65_536, **tree_options) -> DataFrame:
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Keys of contexts (or tokens) followed by tokens."""
+    x = (context * np.uint64(0x9E3779B97F4A7C15)) ^ ((token << np.uint64(31)) | (token >> np.uint64(33)))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def to_bytes(values: np.ndarray) -> bytes:
+    """Non-negative integers as planes of equally significant bytes; planes of zeros at the end are left out."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = np.nonzero(planes.any(axis=1))[0]
+    return planes[: used[-1] + 1 if len(used) else 0].tobytes()
+
+
+def from_bytes(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+class Block:
+    """The tokens of a block of documents: for each token its keys by order, as places among the block's distinct keys."""
+
+    def __init__(self, texts: pa.ChunkedArray, train: np.ndarray, depth: int, bits: int):
+        parts, self.types = [], set()
+        for text in texts:
+            w = tokens(text.as_py())
+            self.types.update(w)
+            parts += [np.array([START]), hashes(w), np.array([END])]
+        self.lengths = np.array([len(p) for p in parts[1::3]], np.int64) + 1  # with the end token
+        token = np.concatenate(parts)
+        size = self.lengths + 1  # with the start
+        self.doc = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)  # 0 at the start
+        self.train = train[self.doc]
+        self.is_word = (self.place > 0) & (self.place < size[self.doc] - 1)
+        self.token = token
+        shift = np.uint64(64 - bits)
+        grams, keys = [token], token
+        for _ in range(depth):
+            before = np.concatenate([keys[:1], keys[:-1]])
+            keys = followed(before, token)
+            grams.append(keys >> shift if bits < 64 else keys)
+        self.grams = grams  # grams[k] ends at its position and has k + 1 tokens; valid where place >= k
+        self.depth, self.bits = depth, bits
+
+    def keys(self, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """All keys of a family, and for each whether it counts as a training occurrence."""
+        if family == WORDS:
+            return self.token[self.is_word], self.train[self.is_word]
+        found = [(self.grams[k][self.place >= k], self.train[self.place >= k]) for k in range(1, self.depth + 1)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def counts(self, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys in order, and how often each occurs in training texts."""
+        keys, train = self.keys(family)
+        every, known = np.sort(keys), np.sort(keys[train])
+        every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+        return every, np.searchsorted(known, every, "right") - np.searchsorted(known, every, "left")
+
+    def placed(self, totals: dict[int, np.ndarray], n_train: int) -> list[np.ndarray]:
+        """For each order k the training occurrences of the k tokens that end at each position; order 0 are all tokens."""
+        n = len(self.token)
+        word = np.full(n, n_train, np.float64)  # starts and ends occur once a training text
+        keys, place = np.unique(self.keys(WORDS)[0], return_inverse=True)
+        word[self.is_word] = totals[WORDS][place]
+        found, at = [word], 0
+        keys, place = np.unique(self.keys(GRAMS)[0], return_inverse=True)
+        for k in range(1, self.depth + 1):
+            valid = self.place >= k
+            total = np.zeros(n, np.float64)
+            total[valid] = totals[GRAMS][place[at : at + int(valid.sum())]]
+            at += int(valid.sum())
+            found.append(total)
+        return found
+
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that have k tokens before them, and the keys of these as contexts."""
+        at = np.nonzero(self.place >= k)[0]
+        return at, followed(np.full(len(at), k, np.uint64), self.grams[k - 1][at - 1]) >> np.uint64(64 - self.bits)
+
+
+def _messages(block: int, family: int, keys: np.ndarray, counts: np.ndarray, more: np.ndarray | None, bits: int, ranges: int) -> Iterator[tuple]:
+    """The sorted keys cut into ranges."""
+    width = -(-(1 << bits) // ranges)
+    ends = np.searchsorted(keys, np.array([min((r + 1) * width, (1 << bits) - 1) for r in range(ranges - 1)], np.uint64)) if ranges > 1 else []
+    at = 0
+    for r, end in enumerate([*map(int, ends), len(keys)]):
+        if end > at:
+            steps = np.diff(keys[at:end], prepend=np.uint64(0))
+            yield family, r, block, end - at, to_bytes(steps), to_bytes(counts[at:end]), None if more is None else to_bytes(more[at:end])
+            at = end
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _gathered(table: pa.Table, more: bool = False):
+    """The messages of a range: blocks, sizes, the place of each entry among the distinct keys, and the sums by key."""
+    steps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("keys")]
+    sizes, keys, sums, others = [], [], [], []
+    for x, c, m, n in zip(steps, table.column("counts"), table.column("more"), table.column("n").to_pylist()):
+        keys.append(np.cumsum(from_bytes(x, n)))
+        sums.append(from_bytes(c.as_py(), n))
+        if more:
+            others.append(from_bytes(m.as_py(), n))
+        sizes.append(n)
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = lambda parts: np.bincount(place, np.concatenate(parts).astype(np.float64), len(distinct))
+    return table.column("block").to_pylist(), sizes, place, total(sums), total(others) if more else None
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """Answers each block of a range with the total counts of its keys."""
+    blocks, sizes, place, total, _ = _gathered(table)
+    family, key_range, at, rows = table.column("family")[0].as_py(), table.column("range")[0].as_py(), 0, []
+    for i, (block, n) in enumerate(zip(blocks, sizes)):
+        rows.append((family, key_range, block, n, to_bytes(total[place[at : at + n]]), 0 if i else int((total > 0).sum())))
+        at += n
+    return _rows(rows, REPLY)
+
+
+def _exchange(sent: DataFrame, answer) -> DataFrame:
+    return sent.groupBy("family", "range").applyInArrow(answer, ANSWERED)
+
+
+def spelt_codes(types: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 1 to 3: where in the joined words it holds, and class of the bytes before and byte, of a word and the space after it.
+
+    Words are joined by spaces; a word's history begins with the space before it.
+    """
+    raw = np.frombuffer(b" " + b" ".join(types) + b" ", np.uint8).astype(np.int64)
+    size = np.array([len(x) + 1 for x in types], np.int64)
+    place = np.arange(len(raw) - 1) - np.repeat(np.cumsum(size) - size, size)
+    for order in range(1, ORDERS + 1):
+        at = np.nonzero(place >= order - 1)[0]
+        history = raw[at]
+        for i in range(1, order):
+            history = history | raw[at - i] << 8 * i
+        yield at, history if order == 1 else (history * 0x9E3779B1 >> 7) & (CLASSES - 1), raw[at + 1]
+
+
+class Spelling:
+    """Byte chains of distinct words: a byte given up to three before it (in CLASSES classes), each order smoothed by the shorter one."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.counts = np.zeros(ORDERS * CLASSES * 256, np.float32)
+        self.counts[codes] = counts
+        self.totals = self.counts.reshape(ORDERS, CLASSES, 256).sum(axis=2)
+
+    def log10(self, types: list[bytes]) -> np.ndarray:
+        """log10 probability of each word and the space that closes it."""
+        if not types:
+            return np.zeros(0)
+        size = np.array([len(x) + 1 for x in types], np.int64)
+        p = np.full(int(size.sum()), 1 / 256)
+        for order, (at, classes, byte) in enumerate(spelt_codes(types)):
+            own = self.counts[(order * CLASSES + classes) * 256 + byte]
+            p[at] = (own + PRIOR * p[at]) / (self.totals[order, classes] + PRIOR)
+        return np.add.reduceat(np.log10(p), np.cumsum(size) - size)
+
+
+def language_scores(
+    docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 2.0, follower_cost: float = 0.6, block_bytes: int = 8 << 20, range_keys: int = 2_000_000
+) -> DataFrame:
     """Base and suffix-tree scores of each row of ``docs`` (doc_id, text); rows whose id's remainder is 1 are held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "held_out", held_out(F.col("doc_id"), 5)
     )
-    vocabulary = staged(word_counts(rows.select("text", (~F.col("held_out")).alias("train"))), "vocabulary")
-    n_end = rows.where(~F.col("held_out")).count()
-    n_words, distinct = vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_train, v = n_words + n_end, distinct + (n_end > 0)
-    tree = train_tree(vocabulary, int(n_end > 0), **tree_options)
-    shared_tree = spark.sparkContext.broadcast(tree)
-    fresh = (v + 1) / (n_train + v + 1)  # the weight of the spelled path
-
-    def smoothed(c: int, spelled: float) -> float:
-        return math.log10((1 - fresh) * c / max(n_train, 1) + fresh * 10**spelled) if c else math.log10(fresh) + spelled
-
-    base = lambda c: math.log10((c + 0.5) / (n_train + 0.5 * (v + 1)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared_tree.value
-        for batch in batches:
-            scores = pa.array([smoothed(c, model.word(w)) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=["word", "c", "score"])
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spelling codes (0 and up), and totals: bytes (-1), texts (-2), training texts (-3), training words (-4)."""
+        total, types = np.zeros(4, np.int64), set()
 
-    scored = staged(vocabulary.mapInArrow(score, "word binary, c long, score double"), "scored")
-    top = scored.orderBy(F.desc("c"), "word").limit(head).collect()
-    shared_head = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"] > 0, base(r["c"]), r["score"]) for r in top})
-    end = (int(n_end > 0), base(n_end), smoothed(n_end, tree.end()))
+        def flush() -> pa.RecordBatch:
+            codes = [(order * CLASSES + c) * 256 + b for order, (_, c, b) in enumerate(spelt_codes(sorted(types)))] if types else [np.zeros(0, np.int64)]
+            used, n = np.unique(np.concatenate(codes), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n, pa.int64())], names=["kind", "n"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the end and the head's words; the other words of each text with their counts."""
-        known = shared_head.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text in batch.column(2):
-                w = tokens(text.as_py())
-                n_known, base_sum, score_sum = end
-                rest, times = [], []
-                for x, k in Counter(w).items():
-                    if (e := known.get(x)) is not None:
-                        n_known += k * e[0]
-                        base_sum += k * e[1]
-                        score_sum += k * e[2]
-                    else:
-                        rest.append(x)
-                        times.append(k)
-                for column, value in zip(out, (len(w) + 1, n_known, base_sum, score_sum, rest, times)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            columns = [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(out, kinds))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"])
-
-    texts = staged(
-        rows.select("doc_id", "held_out", "text")
-        .mapInArrow(split, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>")
-        .withColumn("rid", F.monotonically_increasing_id()),
-        "texts",
-    )
-    tail = texts.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
+            for text, out in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = text.as_py() or ""
+                total[0] += len(text.encode("utf-8", "replace"))
+                total[1] += 1
+                if not out:
+                    w = tokens(text)
+                    types.update(w)
+                    total[2] += 1
+                    total[3] += len(w)
+                    if len(types) > TYPES:
+                        yield flush()
+                        types = set()
+        yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, -4], pa.int64()), pa.array(total, pa.int64())], names=["kind", "n"])
+
+    found = rows.select("text", "held_out").mapInArrow(survey, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).toArrow()
+    kinds, counted = (found.column(c).to_numpy() for c in ("kind", "n"))
+    n_bytes, n_rows, n_docs, n_words = (int(counted[kinds == -i].sum()) for i in range(1, 5))
+    if not n_rows:
+        return spark.createDataFrame([], SCORES)
+    codes, n_train = spark.sparkContext.broadcast((kinds[kinds >= 0], counted[kinds >= 0])), n_words + n_docs
+
+    n_tokens = max(1, n_bytes // 5)
+    bits = min(64, max(40, math.ceil(math.log2(n_tokens * depth)) + 20))
+    ranges = {WORDS: max(1, n_tokens // (4 * range_keys)), GRAMS: max(1, n_tokens * depth * 3 // (4 * range_keys))}
+    key_bits = {WORDS: 64, GRAMS: bits}
+    rid, per_block = F.monotonically_increasing_id(), max(1, block_bytes * n_rows // max(1, n_bytes))
+    block = F.xxhash64(F.shiftright(rid, 33), F.floor(rid.bitwiseAND(F.lit((1 << 33) - 1)) / per_block))
+    name = f"texts_{uuid.uuid4().hex}"
+    blocks = rows.withColumn("block", block).write.bucketBy(max(1, n_bytes // block_bytes), "block").option("compression", "zstd")
+    blocks.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    texts = spark.table(name)
+
+    def opened(table: pa.Table) -> Block:
+        return Block(table.column("text"), ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool), depth, bits)
+
+    def send(table: pa.Table) -> pa.Table:
+        own, number, rows = opened(table), table.column("block")[0].as_py(), []
+        for family in (WORDS, GRAMS):
+            keys, counts = own.counts(family)
+            rows += _messages(number, family, keys, counts, None, key_bits[family], ranges[family])
+        return _rows(rows, MESSAGE)
+
+    def received(table: pa.Table, family: int) -> np.ndarray:
+        """The answers of the ranges one after another."""
+        part = table.filter(pa.compute.equal(table.column("family"), family)).sort_by("range")
+        return np.concatenate([np.zeros(0), *(from_bytes(c.as_py(), n) for c, n in zip(part.column("counts"), part.column("n").to_pylist()))])
+
+    totals = staged(_exchange(texts.groupBy("block").applyInArrow(send, SENT), _totals), "totals")
+    distinct = totals.where(F.col("family") == WORDS).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    v = distinct + (n_docs > 0)
+    cost = follower_cost * math.log(max(2, v))
+
+    def diverge(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """Sends, for each context of a block that occurs often enough, the divergence and the followers found here."""
+        own, rows = opened(table), []
+        counts = [np.full(len(own.token), float(n_train)), *own.placed({f: received(answers, f) for f in (WORDS, GRAMS)}, n_docs)]
+        found = []
+        for k in range(1, depth + 1):
+            at, keys = own.contexts(k)
+            n = counts[k][at - 1]
+            at, keys, n = at[n >= least], keys[n >= least], n[n >= least]
+            distinct, place = np.unique(keys, return_inverse=True)
+            train = own.train[at]  # contexts of other texts are asked for and add nothing
+            at, place, n = at[train], place[train], n[train]
+            gain = np.log(counts[k + 1][at] / n) - np.log(counts[k][at] / counts[k - 1][at - 1])
+            followers = np.bincount(place, 1 / counts[k + 1][at], len(distinct))
+            gains = np.bincount(place, gain, len(distinct)) - cost * followers
+            found.append((distinct, np.rint(gains * STEP).astype(np.int64), np.rint(followers * STEP).astype(np.int64)))
+        keys, gains, followers = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(keys, kind="stable")
+        signed = (gains << 1) ^ (gains >> 63)  # small numbers of either sign in few bytes
+        number = table.column("block")[0].as_py()
+        return _rows([*_messages(number, CONTEXTS, keys[order], signed[order], followers[order], bits, ranges[WORDS])], MESSAGE)
+
+    def retained(table: pa.Table) -> pa.Table:
+        """Answers each block with the followers of the contexts that diverge enough, 0 for the others."""
+        signed = [from_bytes(c.as_py(), n).astype(np.int64) for c, n in zip(table.column("counts"), table.column("n").to_pylist())]
+        gains = np.concatenate([(x >> 1) ^ -(x & 1) for x in signed])
+        blocks, sizes, place, _, followers = _gathered(table, more=True)
+        kept = np.where(np.bincount(place, gains, len(followers)) > divergence * STEP, np.maximum(followers, STEP), 0)
+        key_range, at, rows = table.column("range")[0].as_py(), 0, []
+        for block, n in zip(blocks, sizes):
+            rows.append((CONTEXTS, key_range, block, n, to_bytes(kept[place[at : at + n]]), 0))
+            at += n
+        return _rows(rows, REPLY)
+
+    asked = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(diverge, SENT)
+    states = staged(_exchange(asked, retained), "states")
+    fresh = (v + 1) / (n_train + v + 1)
     denominator = n_train + 0.5 * (v + 1)
-    sums = (
-        tail.join(scored.withColumnRenamed("score", "s"), "word")
-        .groupBy("rid")
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / denominator)).alias("more_base"),
-            F.sum(F.col("k") * F.col("s")).alias("more_score"),
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = opened(table)
+        counts = own.placed({f: received(answers, f) for f in (WORDS, GRAMS)}, n_docs)
+        types = sorted(own.types)
+        names = hashes(types)
+        order = np.argsort(names)
+        spell = Spelling(*codes.value)
+        spelt = np.full(len(own.token), spell.log10([b""])[0])  # the end token is spelt as a word without bytes
+        if types:
+            spelt[own.is_word] = spell.log10(types)[order[np.searchsorted(names, own.token[own.is_word], sorter=order)]]
+        c = counts[0]
+        p = (1 - fresh) * c / max(1, n_train) + fresh * 10**spelt
+        log_p = np.where(c > 0, np.log10(np.maximum(p, 1e-300)), math.log10(fresh) + spelt)
+        followers, known = received(answers, CONTEXTS) / STEP, []
+        for k in range(1, depth + 1):
+            at, keys = own.contexts(k)
+            n = counts[k - 1][at - 1]
+            known.append((at[n >= least], keys[n >= least], n[n >= least]))
+        distinct = np.unique(np.concatenate([keys for _, keys, _ in known]))
+        for k, (at, keys, n) in enumerate(known, 1):
+            t = followers[np.searchsorted(distinct, keys)]
+            at, n, t = at[t > 0], n[t > 0], t[t > 0]
+            seen = counts[k][at] > 0
+            log_p[at] += np.log10(t / (n + t))
+            at, n, t = at[seen], n[seen], t[seen]
+            log_p[at] = np.log10(10 ** log_p[at] + counts[k][at] / (n + t))
+        real = own.place > 0
+        base = np.log10((c + 0.5) / denominator)
+        total = lambda x: np.bincount(own.doc[real], x[real], len(own.lengths))
+        return pa.table(
+            {
+                "doc_id": table.column("doc_id"),
+                "held_out": table.column("held_out"),
+                "n_tokens": pa.array(own.lengths, pa.int64()),
+                "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(own.lengths), n_train, np.int64)),
+                "base_score": pa.array(total(base)),
+                "score": pa.array(total(log_p)),
+            }
         )
-    )
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return texts.drop("words", "times").join(sums, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        plus("n_known", "more_known").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        plus("base", "more_base").alias("base_score"),
-        plus("score", "more_score").alias("score"),
-    )
+
+    answers = totals.union(states)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)

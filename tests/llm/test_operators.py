@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import components, decontaminate, html_text, licenses, quality, secret_scan, simhash, suffix_tree, warc
+from clickloom.llm import components, decontaminate, html_text, licenses, quality, secret_scan, simhash, warc
 
 from .tables import SCHEMA, documents, sentence
 
@@ -216,34 +216,6 @@ def test_repeated_and_null_ids_leave_one(spark):
     assert simhash.drop_near_duplicates(documents(spark, [t] * 3, ids=[None] * 3)).count() == 1
 
 
-# language model
-
-
-def test_language_scores(spark, docs, texts, empty):
-    rows = {r["doc_id"]: r for r in suffix_tree.language_scores(docs, head=20, least_share=0.001, divergence=1.0).collect()}
-    words = lambda t: (t or "").encode().lower().split()
-    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
-    counts = Counter(w for i in train for w in words(texts[i]))
-    n, v = sum(counts.values()) + len(train), len(counts) + 1
-    for i, t in enumerate(texts):
-        c = [counts[w] for w in words(t)] + [len(train)]
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in train, len(c), sum(x > 0 for x in c), n)
-        assert math.isclose(r["base_score"], sum(math.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in c), abs_tol=1e-6)
-        assert -math.inf < r["score"] < 0
-    same = {r["doc_id"]: r["score"] for r in suffix_tree.language_scores(docs, head=1, least_share=0.001, divergence=1.0).collect()}
-    assert all(math.isclose(same[i], rows[i]["score"], rel_tol=1e-9) for i in rows)
-    assert suffix_tree.language_scores(empty).count() == 0
-
-
-def test_states_are_distributions(spark):
-    words = spark.createDataFrame([(b"then", 5), (b"the", 9), (b"hen", 2), (b"ten", 1)], "word binary, c long")
-    tree = suffix_tree.train_tree(words, 1, depth=3, least_share=0.01, divergence=0.5)
-    assert len(tree.states) > 3
-    for state in tree.states:
-        assert math.isclose(sum(10 ** tree.log(state, s) for s in range(suffix_tree.SYMBOLS)), 1, rel_tol=1e-9)
-
-
 # secrets
 
 
