@@ -33,7 +33,6 @@ result; without training rows all counts are zero and the scores stay finite
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,19 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, shared_dir, staged
+from .common import held_out, staged
+from .exchange import MESSAGE, SENT, answers, exchanged, followed, in_blocks, messages, opened, places, received, rows_of
 
 CONTEXTS, WORDS, GRAMS = 0, 1, 2
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 STEP = 16
 #: Of the spelling: most bytes before, classes they are hashed into, weight of the shorter order, distinct words counted at once.
 ORDERS, CLASSES, PRIOR, TYPES = 3, 1 << 13, 5.0, 100_000
-MESSAGE = pa.schema(
-    [("family", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())]
-)
-SENT = "family int, range long, block long, n long, keys binary, counts binary, more binary"
-REPLY = pa.schema([("family", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("types", pa.int64())])
-ANSWERED = "family int, range long, block long, n long, counts binary, types long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -67,27 +61,6 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Keys of contexts (or tokens) followed by tokens."""
-    x = (context * np.uint64(0x9E3779B97F4A7C15)) ^ ((token << np.uint64(31)) | (token >> np.uint64(33)))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def to_bytes(values: np.ndarray) -> bytes:
-    """Non-negative integers as planes of equally significant bytes; planes of zeros at the end are left out."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = np.nonzero(planes.any(axis=1))[0]
-    return planes[: used[-1] + 1 if len(used) else 0].tobytes()
-
-
-def from_bytes(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 class Block:
     """The tokens of a block of documents: for each token its keys by order, as places among the block's distinct keys."""
 
@@ -150,51 +123,6 @@ class Block:
         return at, followed(np.full(len(at), k, np.uint64), self.grams[k - 1][at - 1]) >> np.uint64(64 - self.bits)
 
 
-def _messages(block: int, family: int, keys: np.ndarray, counts: np.ndarray, more: np.ndarray | None, bits: int, ranges: int) -> Iterator[tuple]:
-    """The sorted keys cut into ranges."""
-    width = -(-(1 << bits) // ranges)
-    ends = np.searchsorted(keys, np.array([min((r + 1) * width, (1 << bits) - 1) for r in range(ranges - 1)], np.uint64)) if ranges > 1 else []
-    at = 0
-    for r, end in enumerate([*map(int, ends), len(keys)]):
-        if end > at:
-            steps = np.diff(keys[at:end], prepend=np.uint64(0))
-            yield family, r, block, end - at, to_bytes(steps), to_bytes(counts[at:end]), None if more is None else to_bytes(more[at:end])
-            at = end
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def _gathered(table: pa.Table, more: bool = False):
-    """The messages of a range: blocks, sizes, the place of each entry among the distinct keys, and the sums by key."""
-    steps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("keys")]
-    sizes, keys, sums, others = [], [], [], []
-    for x, c, m, n in zip(steps, table.column("counts"), table.column("more"), table.column("n").to_pylist()):
-        keys.append(np.cumsum(from_bytes(x, n)))
-        sums.append(from_bytes(c.as_py(), n))
-        if more:
-            others.append(from_bytes(m.as_py(), n))
-        sizes.append(n)
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = lambda parts: np.bincount(place, np.concatenate(parts).astype(np.float64), len(distinct))
-    return table.column("block").to_pylist(), sizes, place, total(sums), total(others) if more else None
-
-
-def _totals(table: pa.Table) -> pa.Table:
-    """Answers each block of a range with the total counts of its keys."""
-    blocks, sizes, place, total, _ = _gathered(table)
-    family, key_range, at, rows = table.column("family")[0].as_py(), table.column("range")[0].as_py(), 0, []
-    for i, (block, n) in enumerate(zip(blocks, sizes)):
-        rows.append((family, key_range, block, n, to_bytes(total[place[at : at + n]]), 0 if i else int((total > 0).sum())))
-        at += n
-    return _rows(rows, REPLY)
-
-
-def _exchange(sent: DataFrame, answer) -> DataFrame:
-    return sent.groupBy("family", "range").applyInArrow(answer, ANSWERED)
-
-
 def spelt_codes(types: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each order from 1 to 3: where in the joined words it holds, and class of the bytes before and byte, of a word and the space after it.
 
@@ -276,37 +204,27 @@ def language_scores(
     bits = min(64, max(40, math.ceil(math.log2(n_tokens * depth)) + 20))
     ranges = {WORDS: max(1, n_tokens // (4 * range_keys)), GRAMS: max(1, n_tokens * depth * 3 // (4 * range_keys))}
     key_bits = {WORDS: 64, GRAMS: bits}
-    rid, per_block = F.monotonically_increasing_id(), max(1, block_bytes * n_rows // max(1, n_bytes))
-    block = F.xxhash64(F.shiftright(rid, 33), F.floor(rid.bitwiseAND(F.lit((1 << 33) - 1)) / per_block))
-    name = f"texts_{uuid.uuid4().hex}"
-    blocks = rows.withColumn("block", block).write.bucketBy(max(1, n_bytes // block_bytes), "block").option("compression", "zstd")
-    blocks.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    texts = spark.table(name)
-
-    def opened(table: pa.Table) -> Block:
+    texts = in_blocks(rows, n_rows, n_bytes, block_bytes)
+
+    def parsed(table: pa.Table) -> Block:
         return Block(table.column("text"), ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool), depth, bits)
 
     def send(table: pa.Table) -> pa.Table:
-        own, number, rows = opened(table), table.column("block")[0].as_py(), []
+        own, number, rows = parsed(table), table.column("block")[0].as_py(), []
         for family in (WORDS, GRAMS):
             keys, counts = own.counts(family)
-            rows += _messages(number, family, keys, counts, None, key_bits[family], ranges[family])
-        return _rows(rows, MESSAGE)
-
-    def received(table: pa.Table, family: int) -> np.ndarray:
-        """The answers of the ranges one after another."""
-        part = table.filter(pa.compute.equal(table.column("family"), family)).sort_by("range")
-        return np.concatenate([np.zeros(0), *(from_bytes(c.as_py(), n) for c, n in zip(part.column("counts"), part.column("n").to_pylist()))])
+            rows += messages(number, family, keys, counts, None, key_bits[family], ranges[family])
+        return rows_of(rows, MESSAGE)
 
-    totals = staged(_exchange(texts.groupBy("block").applyInArrow(send, SENT), _totals), "totals")
+    totals = staged(exchanged(texts.groupBy("block").applyInArrow(send, SENT)), "totals")
     distinct = totals.where(F.col("family") == WORDS).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     v = distinct + (n_docs > 0)
     cost = follower_cost * math.log(max(2, v))
 
-    def diverge(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def diverge(table: pa.Table, known: pa.Table) -> pa.Table:
         """Sends, for each context of a block that occurs often enough, the divergence and the followers found here."""
-        own, rows = opened(table), []
-        counts = [np.full(len(own.token), float(n_train)), *own.placed({f: received(answers, f) for f in (WORDS, GRAMS)}, n_docs)]
+        own = parsed(table)
+        counts = [np.full(len(own.token), float(n_train)), *own.placed({f: received(known, f) for f in (WORDS, GRAMS)}, n_docs)]
         found = []
         for k in range(1, depth + 1):
             at, keys = own.contexts(k)
@@ -323,28 +241,24 @@ def language_scores(
         order = np.argsort(keys, kind="stable")
         signed = (gains << 1) ^ (gains >> 63)  # small numbers of either sign in few bytes
         number = table.column("block")[0].as_py()
-        return _rows([*_messages(number, CONTEXTS, keys[order], signed[order], followers[order], bits, ranges[WORDS])], MESSAGE)
+        return rows_of([*messages(number, CONTEXTS, keys[order], signed[order], followers[order], bits, ranges[WORDS])], MESSAGE)
 
     def retained(table: pa.Table) -> pa.Table:
-        """Answers each block with the followers of the contexts that diverge enough, 0 for the others."""
-        signed = [from_bytes(c.as_py(), n).astype(np.int64) for c, n in zip(table.column("counts"), table.column("n").to_pylist())]
-        gains = np.concatenate([(x >> 1) ^ -(x & 1) for x in signed])
-        blocks, sizes, place, _, followers = _gathered(table, more=True)
-        kept = np.where(np.bincount(place, gains, len(followers)) > divergence * STEP, np.maximum(followers, STEP), 0)
-        key_range, at, rows = table.column("range")[0].as_py(), 0, []
-        for block, n in zip(blocks, sizes):
-            rows.append((CONTEXTS, key_range, block, n, to_bytes(kept[place[at : at + n]]), 0))
-            at += n
-        return _rows(rows, REPLY)
+        """Answers with the followers of the contexts that diverge enough, 0 for the others."""
+        n, place = places(table)
+        signed = np.concatenate(opened(table, "counts")).astype(np.int64)
+        gains = np.bincount(place, (signed >> 1) ^ -(signed & 1), n)
+        followers = np.bincount(place, np.concatenate(opened(table, "more")).astype(np.float64), n)
+        return answers(table, np.where(gains > divergence * STEP, np.maximum(followers, STEP), 0)[place])
 
     asked = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(diverge, SENT)
-    states = staged(_exchange(asked, retained), "states")
+    states = staged(exchanged(asked, retained), "states")
     fresh = (v + 1) / (n_train + v + 1)
     denominator = n_train + 0.5 * (v + 1)
 
-    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        own = opened(table)
-        counts = own.placed({f: received(answers, f) for f in (WORDS, GRAMS)}, n_docs)
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        own = parsed(table)
+        counts = own.placed({f: received(told, f) for f in (WORDS, GRAMS)}, n_docs)
         types = sorted(own.types)
         names = hashes(types)
         order = np.argsort(names)
@@ -355,7 +269,7 @@ def language_scores(
         c = counts[0]
         p = (1 - fresh) * c / max(1, n_train) + fresh * 10**spelt
         log_p = np.where(c > 0, np.log10(np.maximum(p, 1e-300)), math.log10(fresh) + spelt)
-        followers, known = received(answers, CONTEXTS) / STEP, []
+        followers, known = received(told, CONTEXTS) / STEP, []
         for k in range(1, depth + 1):
             at, keys = own.contexts(k)
             n = counts[k - 1][at - 1]
@@ -383,5 +297,4 @@ def language_scores(
             }
         )
 
-    answers = totals.union(states)
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    return texts.groupBy("block").cogroup(totals.union(states).groupBy("block")).applyInArrow(score, SCORES)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from clickloom.llm import suffix_tree
+from clickloom.llm import exchange, suffix_tree
 
 from .tables import SCHEMA, documents, sentence
 
@@ -152,7 +152,7 @@ def test_integers_as_bytes():
     rng = np.random.default_rng(5)
     for values in ([], [0], [0, 0, 0], [1, 255, 256, 2**40], rng.integers(0, 2**62, 50)):
         x = np.array(values, np.uint64)
-        assert (suffix_tree.from_bytes(suffix_tree.to_bytes(x), len(x)) == x).all()
+        assert (exchange.from_bytes(exchange.to_bytes(x), len(x)) == x).all()
 
 
 def test_nothing_to_learn_from(spark):
