@@ -1,41 +1,45 @@
 """Main text of web pages by a suffix array over the pages of a host.
 
-The pages of a host are gathered in groups (at most ``group_pages`` pages and ``group_chars``
-characters at once).  Their token streams are concatenated with a separator of its own after each
-page, and suffixes are sorted by prefix doubling as far as ``repeat`` tokens.  Neighbours in
-that order that share ``repeat`` tokens and come from distinct pages mark what they
-cover as repeated.
-
-Blocks then fall into three kinds.  In an element that declares itself a menu, header,
+Pages are parsed once, where they lie, into blocks.  In an element that declares itself a menu, header,
 footer, side bar, notice, advert, form, comment and the like they go, repeated or not: hosts with
-one page have nothing to compare.  In a declared article they stay, repeated or not: copies of
-an article repeat all of it.  All other blocks go where half of their
-tokens or more are repeated; they are not looked at when the page declares an article.  If
-nothing is left of a page without an article (a copy of another), its blocks of ten words or more stay, or else all.
+one page have nothing to compare.  The token streams of the other blocks make up the host's suffix array as deep as
+``repeat`` tokens: each position is a suffix, known by its host and its leading tokens, and the array is cut into ranges
+of these keys, each sorted in a task of its own (see ``exchange``), so that a host may hold any share of all
+pages.  Equal neighbours count the distinct pages that hold a run of tokens; pages of equal text count as one page
+together, each with its part.  Runs that continue each other make long repeated substrings.
+
+* A block of a declared article is boilerplate if nearly all of it (``covered``) lies in runs that stand on ``template``
+  of the host's distinct pages and on ``least_pages`` at least; it goes unless half of the article would go, as
+  then the article itself has been copied.  Other blocks of such a page go.
+* Without a declared article, blocks go where half of their tokens or more lie in runs that another page holds.  If
+  nothing is left (a copy of another page), blocks of ten words or more stay, or else all.
 
-Hosts with a large share of all pages (at least ``share``, so at most 1 / share hosts) are
-dealt into as many groups as they have pages for; the table of these hosts is the only
-thing that reaches the driver.
+Nothing but totals reaches the driver.
 
 Text: character references decoded, white space inside a block one space, trimmed,
 blocks joined by a line feed.
 
 Defined cases: null html gives an empty text; broken markup, open elements and cut pages are read as
 far as they go; a null url is a host of its own; repeated rows give a row each; an
-empty table gives an empty result.
+empty table gives an empty result; extra columns are ignored; a very long page makes its block of pages longer.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+from .exchange import MESSAGE, SENT, exchanged, followed, in_blocks, messages, received, rows_of
+
 DECLARED, ARTICLE, OPEN = 0, 1, 2
 # Elements without text of their own, elements that start a block, elements and names that are not main text.
 RAW = "script|style|title|noscript|template|svg|iframe|object|textarea|select|button|math|canvas|audio|video"
@@ -46,9 +50,11 @@ BLOCKS = set(
 ASIDE = set("nav aside footer form menu dialog head".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|newsletter|subscribe|popup|modal|sidebar|side-?bar|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|replies|respond|share|sharing|social|related|recommended|widget|pagination|"
-    r"toolbar|login|signup|search|disclaimer|copyright)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|newsletter|subscribe|popup|modal|sidebar|side-?bar|menu|nav|navbar|"
+    r"navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|replies|respond|sharing|widget|pagination|toolbar|disclaimer|copyright)(?:$|[\s_-])"
+    # these name a part only alone or with a word for a part of a page: "search-results" holds text
+    r"|(?:^|\s)(?:notices?|alert|share|social|related|recommended|login|signup|search)"
+    r"(?:[_-]?(?:box|bar|form|links?|buttons?|icons?|panel|block|list|area|posts?|articles?|stories|message))?(?:$|\s)",
     re.I,
 )
 MARKUP = re.compile(
@@ -124,88 +130,120 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return found
 
 
-def repeated(streams: list[list[int]], length: int) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a run of ``length`` tokens that another stream holds as well."""
-    page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
-    flat = np.full(len(page), -1, np.int64)
-    at = 0
-    for i, s in enumerate(streams):
-        flat[at : at + len(s)] = s
-        flat[at + len(s)] = -1 - i  # a separator of its own: no run crosses the end of a page
-        at += len(s) + 1
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    n, known = len(rank), 1
-    while known < length and n:
-        shift = min(known, length - known)
-        follow = np.full(n, -1, np.int64)
-        follow[: n - shift] = rank[shift:]
-        rank = np.unique(rank * (n + 2) + follow + 1, return_inverse=True)[1].astype(np.int64)
-        known += shift
-    order = np.argsort(rank, kind="stable")  # the suffixes in order, pages ascending within equal ones
-    covered = np.zeros(n + length + 1, np.int64)
-    if n:
-        first = np.nonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])[0]
-        last = np.r_[first[1:], n] - 1
-        shared = page[order[first]] != page[order[last]]
-        places = order[np.repeat(shared, last - first + 1)]
-        np.add.at(covered, places, 1)
-        np.add.at(covered, places + length, -1)
-    inside = np.cumsum(covered)[:n] > 0
-    ends = np.cumsum([len(s) + 1 for s in streams])
-    return [inside[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends)]
-
-
-def main_texts(pages: list[str | None], repeat: int = 6) -> list[str]:
-    """Main texts of a group of pages of one host."""
-    parsed, ids = [blocks(p) for p in pages], {}
-    streams = [[ids.setdefault(t, len(ids)) for _, text in page for t in text.split(" ")] for page in parsed]
-    found = []
-    for page, covered in zip(parsed, repeated(streams, repeat)):
-        if any(kind == ARTICLE for kind, _ in page):
-            found.append("\n".join(text for kind, text in page if kind == ARTICLE))
-            continue
-        at, unique, rest = 0, [], []
-        for kind, text in page:
-            n = text.count(" ") + 1
-            if kind == OPEN:
-                (unique if 2 * np.count_nonzero(covered[at : at + n]) < n else rest).append((n, text))
-            at += n
-        found.append("\n".join(text for _, text in unique or [x for x in rest if x[0] >= 10] or rest))
-    return found
-
-
-def html_text(pages: DataFrame, repeat: int = 6, share: float = 0.001, group_pages: int = 256, group_chars: int = 1 << 22) -> DataFrame:
+SIGNATURE, WINDOW, HOST = 1, 2, 3
+#: A distinct page counts as so many parts; pages of equal text share them.
+PARTS = 1 << 20
+
+
+class Pages:
+    """The token streams of a block of pages."""
+
+    def __init__(self, table: pa.Table, repeat: int, bits: int):
+        self.kinds, self.texts = (table.column(c).to_pylist() for c in ("kinds", "texts"))
+        hosts = table.column("host").to_pylist()
+        self.host = np.array([xxhash.xxh64_intdigest(h) for h in hosts], np.uint64)
+        self.signature = followed(self.host, np.array([xxhash.xxh64_intdigest("\n".join(t)) for t in self.texts], np.uint64))
+        self.windows = []
+        for host, texts in zip(self.host, self.texts):
+            tokens = [t for text in texts for t in text.split(" ")]
+            h = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+            key = np.full(max(0, len(h) - repeat + 1), host)
+            for i in range(repeat):
+                key = followed(key, h[i : len(key) + i])
+            self.windows.append(key >> np.uint64(64 - bits))
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct signatures in order, the place of each page's, and how many pages have them."""
+        keys, place = np.unique(self.signature, return_inverse=True)
+        return keys, place, np.bincount(place, minlength=len(keys))
+
+
+def _covered(pages: np.ndarray, n: int, least: float, repeat: int) -> np.ndarray:
+    """Which of n tokens lie in a run of ``repeat`` tokens that ``least`` pages hold; ``pages[i]`` hold that at i."""
+    steps = np.zeros(n + repeat + 1, np.int64)
+    at = np.nonzero(pages >= least)[0]
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + repeat, -1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def main_text(kinds: list[int], texts: list[str], pages: np.ndarray, host_pages: float, repeat: int, template: float, least_pages: int, covered: float) -> str:
+    """The main text of a page; ``pages[i]`` is the number of distinct pages of the host with the run of ``repeat`` tokens at i."""
+    sizes = [text.count(" ") + 1 for text in texts]
+    ends = np.cumsum(sizes)
+    inside = lambda least: [c[e - k : e].mean() for c in [_covered(pages, int(ends[-1]), least, repeat)] for e, k in zip(ends, sizes)]
+    if not texts:
+        return ""
+    if ARTICLE in kinds:
+        share = inside(max(least_pages, template * host_pages) - 0.01)
+        common = [kind == ARTICLE and x >= covered for kind, x in zip(kinds, share)]
+        gone, every = sum(n for n, c in zip(sizes, common) if c), sum(n for n, kind in zip(sizes, kinds) if kind == ARTICLE)
+        return "\n".join(text for kind, text, c in zip(kinds, texts, common) if kind == ARTICLE and not (c and 2 * gone < every))
+    share = inside(1.99)
+    unique = [text for text, x in zip(texts, share) if x < 0.5]
+    return "\n".join(unique or [text for text, n in zip(texts, sizes) if n >= 10] or texts)
+
+
+def html_text(
+    pages: DataFrame,
+    repeat: int = 6,
+    template: float = 0.3,
+    least_pages: int = 4,
+    covered: float = 0.9,
+    block_bytes: int = 16 << 20,
+    range_keys: int = 2_000_000,
+) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    least = max(group_pages + 1, share * pages.count())
-    large = sizes.where(F.col("n") >= least)
-    dealt = (
-        rows.join(F.broadcast(large), "host", "left")
-        .withColumn("salt", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / group_pages))).otherwise(0))
-        .drop("n")
-        .repartition("host", "salt")
-        .sortWithinPartitions("host", "salt", "page_id")
-    )
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, key, chars = [], None, 0
-
-        def flush() -> pa.RecordBatch:
-            texts = main_texts([x[2] for x in group], repeat)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            columns = [[x[0] for x in group], [x[1] for x in group], texts, [len(t) for t in texts]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "text", "n_chars"])
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, url, page, name, salt in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and ((name, salt) != key or len(group) >= group_pages or chars >= group_chars):
-                    yield flush()
-                    group, chars = [], 0
-                key, chars = (name, salt), chars + len(page or "")
-                group.append((page_id, url, page))
-        if group:
-            yield flush()
-
-    return dealt.select("page_id", "url", "html", "host", "salt").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+            found = [[(k, t) for k, t in blocks(x.as_py()) if k != DECLARED] for x in batch.column(3)]
+            kinds = pa.array([[k for k, _ in page] for page in found], pa.list_(pa.int32()))
+            texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], kinds, texts], names=["page_id", "url", "host", "kinds", "texts"])
+
+    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds array<int>, texts array<string>")
+    held = in_blocks(parsed, n_rows, n_bytes, block_bytes)
+    n_tokens = max(1, n_bytes // 5)
+    bits = min(64, max(40, math.ceil(math.log2(n_tokens)) + 20))
+    ranges = max(1, n_tokens // range_keys)
+
+    def number(table: pa.Table) -> int:
+        return table.column("block")[0].as_py()
+
+    def sign(table: pa.Table) -> pa.Table:
+        keys, _, n = Pages(table, repeat, bits).signatures()
+        return rows_of([*messages(number(table), SIGNATURE, keys, n, None, 64, ranges)], MESSAGE)
+
+    signed = staged(exchanged(held.groupBy("block").applyInArrow(sign, SENT)), "signatures")
+
+    def send(table: pa.Table, told: pa.Table) -> pa.Table:
+        own = Pages(table, repeat, bits)
+        copies = received(told, SIGNATURE)[own.signatures()[1]]
+        part = np.maximum(np.rint(PARTS / copies), 1)
+        once = [np.unique(w) for w in own.windows]
+        found = []
+        for family, key, parts in (
+            (WINDOW, np.concatenate(once), np.repeat(part, [len(w) for w in once])),
+            (HOST, own.host, part),
+        ):
+            keys, place = np.unique(key, return_inverse=True)
+            found += messages(number(table), family, keys, np.bincount(place, parts, len(keys)), None, bits if family == WINDOW else 64, ranges)
+        return rows_of(found, MESSAGE)
+
+    counted = staged(exchanged(held.groupBy("block").cogroup(signed.groupBy("block")).applyInArrow(send, SENT)), "windows")
+
+    def extract(table: pa.Table, told: pa.Table) -> pa.Table:
+        own = Pages(table, repeat, bits)
+        keys, n = np.unique(np.concatenate(own.windows)), received(told, WINDOW) / PARTS
+        hosts = (received(told, HOST) / PARTS)[np.unique(own.host, return_inverse=True)[1]]
+        texts = [
+            main_text(kinds, texts, n[np.searchsorted(keys, w)] if len(w) else np.zeros(0), host_pages, repeat, template, least_pages, covered)
+            for kinds, texts, w, host_pages in zip(own.kinds, own.texts, own.windows, hosts)
+        ]
+        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+
+    return held.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(extract, "page_id long, url string, text string, n_chars long")

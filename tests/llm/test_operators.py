@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import components, decontaminate, html_text, licenses, quality, secret_scan, simhash, warc
+from clickloom.llm import components, decontaminate, licenses, quality, secret_scan, simhash, warc
 
 from .tables import SCHEMA, documents, sentence
 
@@ -35,39 +35,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# html
-
-
-def test_html_text(spark):
-    page = (
-        "<!doctype html><html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li>Home</li></ul></nav>"
-        "<article><h1>Head &amp; more</h1><p>One <b>two</b><br>three&nbsp; four</p><div class='advert'>Buy</div><p>&lt;b&gt; &#233;</p>"
-        "<form>Name</form><section id=comments><p>nice</p></section></article><footer>&copy; x</footer></body></html>"
-    )
-    rows = [(1, "http://a.example/1", page), (2, None, None), (3, "http://a.example/3", ""), (4, "http://a.example/4", "<article><p>cut <a href='x"), (1, "http://a.example/1", page)]
-    got = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted(
-        [(1, "Head & more\nOne two three four\n<b> é", 36), (2, "", 0), (3, "", 0), (4, "cut", 3), (1, "Head & more\nOne two three four\n<b> é", 36)]
-    )
-
-
-def test_repeats_decide_where_no_article_is_declared():
-    own = ["alpha beta gamma delta number one here", "other words stand on this page two", "third page holds its very own text"]
-    pages = [f"<body><div>These are the shared words of every page on this host</div><div><p>{t}</p></div></body>" for t in own]
-    assert html_text.main_texts(pages) == own
-
-
-def test_repeated_against_all_pairs():
-    rng = np.random.default_rng(6)
-    streams = [[int(x) for x in rng.integers(0, 4, int(n))] for n in rng.integers(0, 60, 8)]
-    for length in (1, 3, 6):
-        runs = [{tuple(s[i : i + length]) for i in range(len(s) - length + 1)} for s in streams]
-        for k, (s, got) in enumerate(zip(streams, html_text.repeated(streams, length))):
-            others = set().union(*(r for j, r in enumerate(runs) if j != k))
-            covered = {i + d for i in range(len(s) - length + 1) if tuple(s[i : i + length]) in others for d in range(length)}
-            assert [i in covered for i in range(len(s))] == got.tolist()
-
-
 # licenses
 
 
