@@ -12,11 +12,56 @@ from clickloom.llm import toxicity
 
 from .tables import SCHEMA, documents, sentence
 
-PLAIN = toxicity.Lexicon({"idiot=": 5.0, "moron": 2.5, "tras": 1.0})
-
-
-def feature(text, name, lexicon=PLAIN):
-    return toxicity.features(text, lexicon)[toxicity.FEATURES.index(name)]
+ODDS = {b"idiot=": 5.0, b"moron": 2.5, b"tras": 1.0, "réeux".encode(): 4.0}
+KNOWN = toxicity.Lexicon(ODDS)
+WORD = rb"[a-z\x80-\xff]+"
+
+
+def feature(text, name):
+    return toxicity.features([text], KNOWN)[0][toxicity.FEATURES.index(name)]
+
+
+def weight(word):
+    """The largest log-odds of a word and of its beginnings of three to eight bytes."""
+    return max([ODDS.get(word + b"=", 0.0)] + [ODDS.get(word[:n], 0.0) for n in range(3, 9) if n < len(word)])
+
+
+def plain(text):
+    """The features of one text, word by word."""
+    if not text:
+        return {name: 0.0 for name in toxicity.FEATURES}
+    raw, low = text.encode(), text.lower().encode()
+    words = re.findall(WORD, low)
+    n, size = max(1, len(words)), len(raw)
+    per, w = 100 / n, [weight(x) for x in words]
+    second = [x.decode() in toxicity.SECOND for x in words]
+    leet = bytes.maketrans(b"013457@$!|+", b"oieastasiit")
+    disguised = obfuscated = 0
+    for token in re.split(rb"[ \t\n\v\f\r]+", low):
+        inner = any(
+            c in b"0123456789@$!|+*" and (
+                (97 <= p <= 122 and (97 <= q <= 122 or q in b"0123456789@$!|+*")) or (not (97 <= p <= 122 or p > 127) and 97 <= q <= 122)
+            )
+            for p, c, q in zip(b" " + token, token, token[1:] + b" ")
+        )
+        if inner:
+            disguised += sum(weight(m.replace(b"*", b"").translate(leet)) >= 3.5 for m in toxicity.DISGUISED.findall(token))
+            obfuscated += len(toxicity.OBFUSCATED.findall(token))
+    apart = re.findall(rb"(?<![a-z\x80-\xff])(?:[a-z][ .\-_*]){3,}[a-z](?![a-z\x80-\xff])", low)
+    disguised += sum(weight(re.sub(rb"[^a-z]", b"", m)) >= 3.5 for m in apart)
+    bands = [sum(x >= 3.5 for x in w), sum(2 <= x < 3.5 for x in w), sum(0 < x < 2 for x in w)]
+    distinct = len({x for x, y in zip(words, w) if y})
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    return {
+        "strong": bands[0] * per, "middle": bands[1] * per, "weak": bands[2] * per,
+        "distinct": min(distinct + disguised, 12), "distinct_share": distinct / n, "hits": min(sum(bands) + disguised, 12),
+        "surest": max(w, default=0.0), "odds": sum(w) / n, "disguised": disguised * per,
+        "near_second": sum(any(second[max(0, i - 6) : i + 7]) for i, y in enumerate(w) if y) * per, "second": any(second),
+        "capitals": count(range(65, 91)) / size, "capital_words": len(re.findall(rb"(?<![A-Za-z\x80-\xff])[A-Z]{3,}(?![A-Za-z\x80-\xff])", raw)) * per,
+        "exclaim": count(b"!") * per, "question": count(b"?") * per, "other_punctuation": count(b"\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~") / size,
+        "digits": count(b"0123456789") / size, "obfuscated": obfuscated * per, "apart": len(apart) * per,
+        "repeated_letters": bool(re.search(rb"([a-z])\1\1", low)), "log_words": math.log1p(n),
+    }
 
 
 def corpus(spark):
@@ -56,46 +101,35 @@ def test_lexicon_against_counts(spark):
         rows = [(t, i % 4 == 0) for i, t in enumerate(texts[:300]) if i % 5 != fold]
         counts: dict = {}
         for text, toxic in rows:
-            words = set(re.findall(r"[^\W\d_]+", text.lower()))
-            for e in {w + "=" for w in words} | {w[:n] for w in words for n in range(3, 9) if n < len(w)}:
+            words = set(re.findall(WORD, text.lower().encode()))
+            for e in {w + b"=" for w in words} | {w[:n] for w in words for n in range(3, 9) if n < len(w)}:
                 counts.setdefault(e, [0, 0])[0 if toxic else 1] += 1
         nt = sum(x for _, x in rows)
         no = len(rows) - nt
         expected = {}
         for e, (t, o) in counts.items():
             odds = math.log((t + 0.5) / (nt + 1)) - math.log((o + 0.5) / (no + 1))
-            if t >= 3 and odds - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (o + 0.5)) > math.log(2):
+            if t >= 3 and odds - toxicity.DOUBT * math.sqrt(1 / (t + 0.5) + 1 / (o + 0.5)) > math.log(2):
                 expected[e] = odds
         assert found[fold].keys() == expected.keys() and all(abs(found[fold][e] - x) < 1e-12 for e, x in expected.items())
-    assert {"idiot=", "flurb", "flur"} <= found[-1].keys()
+    assert {b"idiot=", b"flurb", b"flur"} <= found[-1].keys()
     least = toxicity.learn_lexicons(train, max_entries=3)
     assert all(len(x) <= 3 for x in least)
 
 
-def test_features_against_plain_counts():
-    text = "You IDIOT! you moronic trash? AAA trash, is it not: idiot..."
-    words = re.findall(r"[a-z]+", text.lower())
-    per = 100 / len(words)
-    expected = {
-        "strong": words.count("idiot") * per,
-        "middle": words.count("moronic") * per,
-        "weak": words.count("trash") * per,
-        "distinct": 3.0,
-        "distinct_share": 3 / len(set(text.split())),
-        "hits": 5.0,
-        "surest": 5.0,
-        "odds": (5.0 * 2 + 2.5 + 1.0 * 2) / len(words),
-        "near_second": 4 * per,
-        "capitals": sum(c.isupper() for c in text) / len(text),
-        "capital_words": 2 * per,
-        "exclaim": per,
-        "question": per,
-        "other_punctuation": sum(c in ",:..." for c in text) / len(text),
-        "repeated_letters": 1.0,
-        "log_words": math.log1p(len(words)),
-    }
-    for name, value in expected.items():
-        assert feature(text, name) == pytest.approx(value), name
+def test_features_against_the_plain_version():
+    rng = np.random.default_rng(4)
+    bits = ["idiot", "IDIOT!", "1d10t", "moronic,", "trash", "RÉEUXment", "réeux", "you", "You're", "tu", "i d i o t", "x.y.z.w", "a b", "AAA", "aaargh", "v2", "he11o", "pa$$word",
+            "50%", "!!", "?", "é", "—", "\n", "\t\t", "end.", "don't", "DEADbeef01", "m*o*r*o*n*s", "İx", "ß", "|", "one | two", "x1y2z3", "00ab00"]
+    texts = [" ".join(rng.choice(bits, int(n))) for n in rng.integers(1, 40, 300)]
+    texts += [sentence(rng, 50), None, "", " ", "idiot", "You IDIOT! you moronic trash? AAA trash, is it not: idiot...", "x" * 5000, "you " * 9 + "idiot"]
+    for at_once in (toxicity.AT_ONCE, 100):
+        toxicity.AT_ONCE, before = at_once, toxicity.AT_ONCE
+        found = toxicity.features(texts, KNOWN)
+        toxicity.AT_ONCE = before
+        for t, row in zip(texts, found):
+            for name, value in plain(t).items():
+                assert row[toxicity.FEATURES.index(name)] == pytest.approx(float(value), abs=1e-9), (name, t)
 
 
 def test_features_see_disguise():
