@@ -52,23 +52,33 @@ class ClickModel:
         raise NotImplementedError
 
 
-def private_maps(theta: DataFrame) -> DataFrame:
-    """(query_id, atr, sat): for each query the values of its documents as maps."""
-    pairs = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("doc_id", "v"))))
-    return (
-        theta.where(F.col("kind") != PUBLIC)
-        .select("kind", "query_id", "doc_id", value(F.col("num"), F.col("den")).alias("v"))
-        .groupBy("query_id")
-        .agg(pairs(ATTRACT).alias("atr"), pairs(SATISFY).alias("sat"))
-    )
+def private_values(theta: DataFrame) -> DataFrame:
+    """(query_id, doc_id, a, s): the values of each pair."""
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, value(F.col("num"), F.col("den"))))
+    return theta.where(F.col("kind") != PUBLIC).groupBy("query_id", "doc_id").agg(of(ATTRACT).alias("a"), of(SATISFY).alias("s"))
 
 
 def with_values(pages: DataFrame, theta: DataFrame) -> DataFrame:
-    """``pages`` with the arrays ``a`` and ``s`` of its documents' values; 0.5 for unseen pairs."""
-    of = lambda m: F.transform("docs", lambda d: F.coalesce(F.try_element_at(m, d), F.lit(0.5)))
-    none = F.create_map().cast("map<int,double>")
-    joined = pages.join(private_maps(theta), "query_id", "left")
-    return joined.withColumn("a", of(F.coalesce("atr", none))).withColumn("s", of(F.coalesce("sat", none))).drop("atr", "sat")
+    """``pages`` with the arrays ``a`` and ``s`` of its documents' values; 0.5 for unseen pairs.
+
+    Values are joined by query and document to the distinct document lists, so neither a query of many documents nor one of
+    many pages gathers in a row, and a list's ten ranks are put together again by map-side maxima.
+    """
+    lists = pages.select("query_id", "docs").distinct()
+    cells = lists.select("query_id", "docs", F.posexplode("docs").alias("rank", "doc_id"))
+    known = cells.join(private_values(theta), ["query_id", "doc_id"], "left")
+    at = lambda c: F.array(*[F.coalesce(F.max(F.when(F.col("rank") == r, F.col(c))), F.lit(0.5)) for r in range(RANKS)]).alias(c)
+    return pages.join(known.groupBy("query_id", "docs").agg(at("a"), at("s")), ["query_id", "docs"])
+
+
+def block(column: pa.Array, kind=float) -> np.ndarray:
+    """An array column of ten numbers a row as [rows, 10]."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, RANKS)
+
+
+def ranks(values: np.ndarray) -> pa.Array:
+    """[rows, 10] as an array column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * RANKS), pa.array(np.ascontiguousarray(values).ravel()))
 
 
 class _Separable(ClickModel):
@@ -145,10 +155,10 @@ class UBM(_Separable):
         if self.unset == "zero":
             return rows
         # every page has RANKS impressions; cells it does not meet hold the prior
-        pages = statistics.agg((F.sum("n") / RANKS).alias("pages"))
+        pages = (statistics.agg(F.sum("n")).first()[0] or 0) / RANKS
         met = statistics.groupBy("cell").agg(F.sum("n_cell").alias("met"))
         every = statistics.sparkSession.range(self.public).select(F.col("id").cast("int").alias("cell"))
-        unmet = every.join(met, "cell", "left").join(F.broadcast(pages)).select("cell", (F.col("pages") - F.coalesce("met", F.lit(0))).alias("k"))
+        unmet = every.join(met, "cell", "left").select("cell", (F.lit(pages) - F.coalesce("met", F.lit(0))).alias("k"))
         extra = unmet.select(
             F.lit(PUBLIC).alias("kind"), F.lit(None).cast("int").alias("query_id"), F.col("cell").alias("doc_id"),
             (F.col("k") * PRIOR_NUM).cast("double").alias("num"), (F.col("k") * PRIOR_DEN).cast("double").alias("den"),
@@ -249,10 +259,9 @@ class _Cascade(ClickModel):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q = np.array(batch.column(0).to_pylist(), np.int64)
-                block = lambda i, t: np.array(batch.column(i).to_pylist(), t).reshape(-1, RANKS)
-                docs, c, a, s = block(1, np.int64), block(2, np.int64), block(4, float), block(5, float)
-                n = np.array(batch.column(3).to_pylist(), float)
+                q, n = batch.column(0).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(float)
+                docs, c = block(batch.column(1), np.int64), block(batch.column(2), np.int64)
+                a, s = block(batch.column(4)), block(batch.column(5))
                 atr, sat, shared = self.entries(a, s, c, g)
                 kinds, queries, keys, nums, dens = [], [], [], [], []
                 for kind, pair in ((ATTRACT, atr), (SATISFY, sat)):

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.config import RANKS
-from clickloom.operators.models import with_values
+from clickloom.operators.models import block, ranks, with_values
 from clickloom.plans.em import Fitted
+from clickloom.plans.storage import written
 
 
 def score(serps: DataFrame, fitted: Fitted) -> DataFrame:
@@ -23,8 +24,8 @@ def score(serps: DataFrame, fitted: Fitted) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c, a, s = (np.array(batch.column(i).to_pylist(), float).reshape(-1, RANKS) for i in (1, 2, 3))
-            parts = [pa.array(p.tolist(), pa.list_(pa.float64())) for p in (model.conditional(a, s, c, g), model.full(a, s, c, g))]
+            c, a, s = (block(batch.column(i)) for i in (1, 2, 3))
+            parts = [ranks(model.conditional(a, s, c, g)), ranks(model.full(a, s, c, g))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["serp_id", "conditional", "full"])
 
     return pages.mapInArrow(run, "serp_id long, conditional array<double>, full array<double>")
@@ -40,15 +41,17 @@ def predict(serps: DataFrame, fitted: Fitted) -> DataFrame:
 
 
 def log_likelihood(scored: DataFrame) -> DataFrame:
-    """One row: mean over pages of the mean log conditional probability."""
-    total = F.aggregate("conditional", F.lit(0.0), lambda acc, p: acc + F.ln(p))
-    return scored.agg((F.sum(total) / (RANKS * F.count("*"))).alias("log_likelihood"), F.count("*").alias("n_serps"))
+    """One row: mean over pages of the mean log conditional probability; minus infinity where a probability is 0."""
+    total = F.aggregate("conditional", F.lit(0.0), lambda acc, p: acc + F.ln(p))  # null where ln(0) is
+    mean = F.when(F.count(total) == F.count("*"), F.sum(total) / (RANKS * F.count("*"))).when(F.count("*") > 0, F.lit(float("-inf")))
+    return scored.agg(mean.alias("log_likelihood"), F.count("*").alias("n_serps"))
 
 
 def perplexity_by_rank(scored: DataFrame) -> DataFrame:
-    """(rank, perplexity): 2 to minus the mean log2 full probability."""
+    """(rank, perplexity): 2 to minus the mean log2 full probability; infinity where a probability is 0."""
     rows = scored.select(F.posexplode("full").alias("rank", "p"))
-    return rows.groupBy("rank").agg(F.pow(F.lit(2.0), -F.avg(F.log2("p"))).alias("perplexity"))
+    mean = F.when(F.count(F.log2("p")) == F.count("*"), F.pow(F.lit(2.0), -F.avg(F.log2("p")))).otherwise(F.lit(float("inf")))
+    return rows.groupBy("rank").agg(mean.alias("perplexity"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -57,7 +60,9 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 
 def evaluate(serps: DataFrame, fitted: Fitted) -> DataFrame:
-    """(model, log_likelihood, perplexity, n_serps)."""
-    scored = score(serps, fitted)
-    both = log_likelihood(scored).join(F.broadcast(perplexity(scored)))
-    return both.select(F.lit(fitted.model.name).alias("model"), "log_likelihood", "perplexity", "n_serps")
+    """(model, log_likelihood, perplexity, n_serps); the scores are computed once and written."""
+    scored = written(score(serps, fitted), "scores")
+    mean = perplexity(scored).first()["perplexity"]
+    return log_likelihood(scored).select(
+        F.lit(fitted.model.name).alias("model"), "log_likelihood", F.lit(mean).cast("double").alias("perplexity"), "n_serps"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.clicks import last_click, previous_clicks, slot
 from clickloom.operators import prepare
-from clickloom.operators.models import ATTRACT, PUBLIC, SATISFY, make_model, with_values
+from clickloom.operators.models import ATTRACT, PUBLIC, SATISFY, block, make_model, ranks, with_values
 from clickloom.operators.score import evaluate, log_likelihood, perplexity, perplexity_by_rank, predict, score
 from clickloom.plans.em import Fitted, fit, initial
 from clickloom.plans.storage import written
@@ -78,8 +78,9 @@ def ubm_slots(spark, sf_dir):
 
 
 def train_test_counts(spark, sf_dir):
-    train, test = prepare.split(serps_from_orders(spark, sf_dir))
-    return train.agg(F.count("*").alias("n_train")).join(F.broadcast(test.agg(F.count("*").alias("n_test"))))
+    train, test = prepare.split(written(serps_from_orders(spark, sf_dir), "serps"))
+    part = lambda pages, is_train: pages.select(F.lit(is_train).alias("is_train"))
+    return part(train, True).union(part(test, False)).agg(F.count_if(F.col("is_train")).alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"))
 
 
 def test_filtered(spark, sf_dir):
@@ -92,7 +93,7 @@ def test_dropped(spark, sf_dir):
 
 
 def qd_dictionary_size(spark, sf_dir):
-    train, _ = prepare.split(serps_from_orders(spark, sf_dir, sparse=True))
+    train, _ = prepare.split(written(serps_from_orders(spark, sf_dir, sparse=True), "serps"))
     return prepare.query_doc_pairs(train).agg(F.count("*").alias("n_qd"))
 
 
@@ -148,9 +149,9 @@ def _recursions(kind: str, tail: bool):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                c, a, s = (np.array(batch.column(i).to_pylist(), float).reshape(-1, 10) for i in (1, 2, 3))
+                c, a, s = (block(batch.column(i)) for i in (1, 2, 3))
                 x, y = (np.log(model.tails(a, s, c, g)),) * 2 if tail else (lambda e, k: (e, k[:, :10]))(*model._forward(a, s, c, g))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v.tolist(), pa.list_(pa.float64())) for v in (x, y))], names=["serp_id", "x", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(ranks, (x, y))], names=["serp_id", "x", "y"])
 
         rows = pages.mapInArrow(run, "serp_id long, x array<double>, y array<double>")
         rows = rows.select("serp_id", F.posexplode(F.arrays_zip("x", "y")).alias("rank", "v"))
