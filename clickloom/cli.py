@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from clickloom.config import MODELS, POLICIES, RunOptions
 from clickloom.operators import prepare
@@ -33,9 +34,12 @@ def options(arguments: list[str] | None = None) -> RunOptions:
 def run(spark: SparkSession, o: RunOptions):
     """(fitted model, metrics table) of a run; parameters are written if a prefix is given."""
     serps, rejected = read_click_log(spark, o.raw_path, o.max_sessions)
-    train, test = prepare.split(written(serps, "serps"), o.test_share)
-    kept = written(prepare.filter_test(train, test), "test")
-    print(f"train {train.count()} pages, test {kept.count()} of {test.count()}, rejected {rejected.count()} lines")
+    read, tested = Observation("read"), Observation("tested")  # counted as the tables are written
+    pages = written(serps.observe(read, F.count(F.lit(1)).alias("n")), "serps")
+    train, test = prepare.split(pages, o.test_share)
+    kept = written(prepare.filter_test(train, test).observe(tested, F.count(F.lit(1)).alias("n")), "test")
+    n, n_train = read.get["n"], prepare.n_train(read.get["n"], o.test_share)
+    print(f"train {n_train} pages, test {tested.get['n']} of {n - n_train}, rejected {rejected.count()} lines")
     fitted = fit(make_model(o.model), train, o.iterations)
     write_parameters(fitted, o.output)
     return fitted, report(kept, fitted)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.plans.storage import written
+
 
 def n_train(n: int, test_share: float = 0.2) -> int:
     """Pages that train: n * (1 - share), halves rounded up; 0 of none."""
@@ -15,15 +17,13 @@ def split(serps: DataFrame, test_share: float = 0.2, by: str | None = None) -> t
     """Head and tail of the pages in arrival order.
 
     The place of the cut is found by counting, not by a global sort: pages are ranked within ranges of
-    ``serp_id``.  With ``by`` each value of that expression is split by itself.
+    ``serp_id``.  With ``by`` each value of that expression is split by itself; pages without a value test.
     """
     if by is not None:
         keyed = serps.withColumn("__by", F.expr(by))
-        sizes = keyed.groupBy("__by").agg(F.count("*").alias("__n"))
-        cut = (F.col("__n") * (1 - test_share) - 0.5).cast("int") + 1
-        order = Window.partitionBy("__by").orderBy("serp_id")
-        ranked = keyed.join(sizes, "__by").withColumn("__train", F.row_number().over(order) <= cut)
-        return (ranked.where("__train").drop("__by", "__n", "__train"), ranked.where("not __train").drop("__by", "__n", "__train"))
+        last = _nth_ids(keyed, test_share)
+        marked = keyed.join(last, "__by", "left").withColumn("__train", F.coalesce(F.col("serp_id") <= F.col("__last"), F.lit(False)))
+        return (marked.where("__train").select(*serps.columns), marked.where("not __train").select(*serps.columns))
     last = _nth_id(serps, n_train(serps.count(), test_share))
     if last is None:
         return serps, serps.where(F.lit(False))
@@ -50,6 +50,29 @@ def _nth_id(serps: DataFrame, n: int):
     return low
 
 
+def _nth_ids(keyed: DataFrame, test_share: float) -> DataFrame:
+    """(__by, __last): for each value the serp_id of its last training page, by counts in ever finer ranges of the ids.
+
+    A round keeps, for each value, the range that holds the page; no value's pages come together in one task.
+    """
+    cut = (F.count("*") * (1 - test_share) - 0.5).cast("long") + 1
+    state = written(
+        keyed.groupBy("__by").agg(F.min("serp_id").alias("low"), F.max("serp_id").alias("high"), cut.alias("left")).where("__by is not null and left > 0"), "cuts"
+    )
+    step = F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low")) / 1024) + 1)
+    while state.where("low < high").limit(1).count():
+        inside = keyed.select("__by", "serp_id").join(state.withColumn("step", step), "__by").where(F.col("serp_id").between(F.col("low"), F.col("high")))
+        part = F.floor((F.col("serp_id") - F.col("low")) / F.col("step")).alias("part")
+        counts = inside.groupBy("__by", "low", "high", "left", "step", part).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("__by").orderBy("part"))  # 1,025 parts of a value at most
+        chosen = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
+        low = F.col("low") + F.col("part") * F.col("step")
+        state = written(
+            chosen.select("__by", low.alias("low"), F.least("high", low + F.col("step") - 1).alias("high"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")), "cuts"
+        )
+    return state.select("__by", F.col("low").alias("__last"))
+
+
 def query_doc_pairs(serps: DataFrame) -> DataFrame:
     """Distinct (query_id, doc_id)."""
     return serps.select("query_id", F.explode("docs").alias("doc_id")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,19 @@ def roofline(intensity: Column, peak: float, bandwidth: float) -> Column:
     return F.least(F.lit(peak), intensity * bandwidth)
 
 
+def categories(trace: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column."""
+    return trace.select(column).distinct()
+
+
+def of_category(trace: DataFrame, column: str, value: str, *columns: str) -> DataFrame:
+    """The rows of one category, with the columns asked for (all without any)."""
+    return trace.where(F.col(column) == value).select(*(columns or ["*"]))
+
+
 def rebased(trace: DataFrame, time: str, category: str | None = None) -> DataFrame:
     """``trace`` with its time counted from the first row (of each category)."""
     if category is None:
-        first = trace.agg(F.min(time).alias("__first"))
-        return trace.join(F.broadcast(first)).withColumn(time, F.col(time) - F.col("__first")).drop("__first")
-    return trace.withColumn(time, F.col(time) - F.min(time).over(Window.partitionBy(category)))
+        return trace.withColumn(time, F.col(time) - F.lit(trace.agg(F.min(time)).first()[0]))
+    first = trace.groupBy(category).agg(F.min(time).alias("__first"))
+    return trace.join(first, category).withColumn(time, F.col(time) - F.col("__first")).select(*trace.columns)

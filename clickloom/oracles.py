@@ -22,6 +22,11 @@ PREV = """,
 cells AS (SELECT *, coalesce(max(CASE WHEN click = 1 THEN rank END) OVER (PARTITION BY serp_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS prev FROM {0}),
 slots AS (SELECT *, CAST(rank * (rank + 1) // 2 + prev AS INT) AS slot FROM cells)"""
 
+RUNS = """WITH x AS (SELECT *, CAST(floor(abs(s_acctbal)) AS BIGINT) AS x FROM supplier),
+runs AS (SELECT s_suppkey % 4 AS model, 'GPU ' || (s_nationkey % 3) AS device, [1, 2, 4][s_suppkey % 3 + 1] AS nodes, s_suppkey // 4 % 2 * 1000 + 1000 AS sessions,
+x::DOUBLE AS training_time, x + 1.0::DOUBLE AS iteration_time, x % 100 + 1.0::DOUBLE AS computation_time, 1 + (x % 1000) / 1000.0 AS perplexity FROM x)"""
+TRACE = "WITH trace AS (SELECT event_id * 10 AS time, event_type AS kind, value AS busy FROM events)"
+
 
 def clamp(x: str) -> str:
     return f"(CASE WHEN {x} < {CEIL} THEN {x} ELSE {CEIL} END)"
@@ -43,13 +48,13 @@ g{i} AS (SELECT rank, {value("sum(CASE WHEN click = 1 THEN 1 ELSE (g - a * g) /
     return sql
 
 
-def ubm(source: str, k: int, prior: bool = False) -> str:
+def ubm(source: str, k: int, prior: bool = False, exact: bool = False) -> str:
     sql = (
-        PREV.format(source)
+        PREV.format(source).replace("rank * (rank + 1) // 2 + prev", "rank * 10 + prev" if exact else "rank * (rank + 1) // 2 + prev")
         + f""",
 pages AS (SELECT count(DISTINCT serp_id) AS n FROM {source}),
 a0 AS (SELECT DISTINCT query_id, doc_id, 0.5::DOUBLE AS v FROM {source}),
-g0 AS (SELECT CAST(unnest(range(55)) AS INT) AS slot, 0.5::DOUBLE AS v)"""
+g0 AS (SELECT CAST(unnest(range({100 if exact else 55})) AS INT) AS slot, 0.5::DOUBLE AS v)"""
     )
     extra = lambda x: f" + (SELECT n FROM pages) * {x} - count(k) * {x}" if prior else ""
     for i in range(1, k + 1):
@@ -80,8 +85,8 @@ def nested(levels: list[list[str]], source: str) -> str:
 class Cascade:
     """SQL of CCM or DBN with the public values in columns t1, t2, t3 (DBN: t1)."""
 
-    def __init__(self, kind: str):
-        self.kind, self.n = kind, 3 if kind == "ccm" else 1
+    def __init__(self, kind: str, prior: bool = False):
+        self.kind, self.n, self.prior = kind, 3 if kind == "ccm" else 1, int(prior)
 
     def after(self, r: int) -> str:
         return f"(t2 * (1 - a{r}) + t3 * a{r})" if self.kind == "ccm" else f"(t1 * (1 - s{r}))"
@@ -128,7 +133,7 @@ class Cascade:
                 ]
             else:
                 out += [f"CASE WHEN c{r} = 1 THEN 1 ELSE {miss} END AS an{r}", f"1 AS ad{r}"]
-                out += [f"CASE WHEN {r} = last_rank THEN {s} / (1 - (1 - {s}) * t1 * k{r + 1}) ELSE 0 END AS sn{r}", f"c{r} AS sd{r}"]
+                out += [f"CASE WHEN {r} = last_rank THEN {s} / (1 - (1 - {s}) * t1 * k{r + 1}) ELSE 0 END + {self.prior} * (1 - c{r}) AS sn{r}", f"c{r} + {2 * self.prior} * (1 - c{r}) AS sd{r}"]
                 d0 = f"(t1 * {t} * {x} + (1 - t1) * {x} * {e} + (1 - {x}) * {e})"
                 d1 = f"((1 - {s}) * (t1 * {t} + (1 - t1) * {e}) + {s} * {e})"
                 out += [
@@ -248,6 +253,35 @@ count(*) AS n FROM part WHERE p_partkey % 7 < 3 GROUP BY 1""",
         out[f"{m}_llh"] = f"{head} {LLH}"
         out[f"{m}_perplexity_by_rank"] = f"{head} {BY_RANK}"
         out[f"{m}_perplexity"] = f"{head} {OVERALL}"
+    chance = "SELECT serp_id, rank, round(CASE WHEN click = 1 THEN p ELSE 1 - p END, 6) AS p FROM scored JOIN test USING (serp_id, rank)"
+    shown = "SELECT serp_id, rank, round(p, 6) AS p FROM scored"
+    out |= {
+        "limited_sessions": LOG + " SELECT serp_id + 1 AS serp_id, query_id, rank, doc_id, click FROM imp WHERE serp_id < 1000",
+        "leading_clicks": LOG + " SELECT serp_id - 99 AS serp_id, query_id, rank, doc_id, click FROM imp WHERE serp_id >= 100 AND serp_id < (SELECT max(serp_id) FROM s)",
+        "split_by_bucket": LOG + """,
+b AS (SELECT query_id % 8 AS bucket, serp_id, row_number() OVER (PARTITION BY query_id % 8 ORDER BY serp_id) <=
+  CAST(floor(count(*) OVER (PARTITION BY query_id % 8) * 0.8 - 0.5) AS BIGINT) + 1 AS is_train FROM s)
+SELECT bucket, count(*) FILTER (is_train) AS n_train, count(*) FILTER (NOT is_train) AS n_test, max(serp_id) FILTER (is_train) AS last_train FROM b GROUP BY bucket""",
+        "export_per_impression": LOG + pbm("imp", 2) + " SELECT query_id AS query, doc_id AS document, printf('%.6f', v) AS attractiveness FROM imp JOIN a2 USING (query_id, doc_id)",
+        "export_satisfaction": LOG + Cascade("dbn").fit("imp", 2) + " SELECT query_id AS query, doc_id AS document, printf('%.6f', v) AS satisfaction FROM s2",
+        "metrics_report": LOG + SPLIT + pbm("train", 2) + pbm_scored("test", 2) + f""" SELECT 'log likelihood' AS metric, round(sum(ln(p)) / count(*), 6) AS value FROM scored
+UNION ALL SELECT 'perplexity', perplexity FROM ({OVERALL}) UNION ALL SELECT 'perplexity at rank ' || rank, perplexity FROM ({BY_RANK})""",
+        "ubm_examination_exact": LOG + ubm("imp", 2, exact=True) + " SELECT slot, round(v, 6) AS value FROM g2",
+        "dbn_satisfaction_prior_unset": LOG + Cascade("dbn", prior=True).fit("imp", 2) + " " + atr.format("s2"),
+        "ubm_predict": LOG + SPLIT + ubm("train", 2) + ubm_scored("test", 2) + " " + chance,
+        "ccm_predict": LOG + SPLIT + fitted("ccm", "train", 2) + scored("ccm", "test", 2) + " " + shown,
+        "dbn_predict": LOG + SPLIT + fitted("dbn", "train", 2) + scored("dbn", "test", 2) + " " + shown,
+        "pbm_predict_unseen": SPARSE + SPLIT + pbm("train", 2) + pbm_scored("test", 2) + " " + chance,
+        "dbn_predict_unseen": SPARSE + SPLIT + fitted("dbn", "train", 2) + scored("dbn", "test", 2) + " " + shown,
+        "run_logs": RUNS + " SELECT model, device, nodes, sessions, 2 AS partitioning, training_time, iteration_time, computation_time, round(perplexity, 6) AS perplexity, NULL::DOUBLE AS evaluation_time FROM runs",
+        "run_means": RUNS + " SELECT nodes, sessions, round(avg(training_time), 6) AS training_time FROM runs WHERE model = 1 AND device = 'GPU 1' GROUP BY ALL",
+        "run_speedup": RUNS + """, base AS (SELECT sessions, avg(training_time) AS b FROM runs WHERE model = 0 GROUP BY sessions)
+SELECT nodes, sessions, round(max(b) / avg(training_time), 6) AS speedup FROM runs JOIN base USING (sessions) WHERE model = 1 AND device = 'GPU 1' GROUP BY nodes, sessions""",
+        "run_measures": RUNS + " SELECT model, round(100 * computation_time / iteration_time, 6) AS computation_percent, round(least(1.5, perplexity * 1.2), 6) AS attainable FROM runs",
+        "trace_categories": "SELECT DISTINCT event_type AS kind FROM events",
+        "trace_of_category": TRACE + " SELECT time - min(time) OVER () AS time, busy FROM trace WHERE kind = 'click'",
+        "trace_rebased": TRACE + " SELECT time - min(time) OVER (PARTITION BY kind) AS time, kind, busy FROM trace",
+    }
     parts = []
     for m in ("pbm", "ubm", "ccm", "dbn"):
         head = LOG + SPLIT + fitted(m, "train", 2) + scored(m, "test", 2)

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from clickloom.functions.clicks import last_click, previous_clicks, slot
 from clickloom.operators import prepare
 from clickloom.operators.models import ATTRACT, PUBLIC, SATISFY, block, make_model, ranks, with_values
+from clickloom.operators.run_analytics import by_nodes, categories, computation_share, of_category, rebased, roofline, speedup
 from clickloom.operators.score import evaluate, log_likelihood, perplexity, perplexity_by_rank, predict, score
 from clickloom.plans.em import Fitted, fit, initial
-from clickloom.plans.storage import written
-from clickloom.sources.click_log import impressions, parse, read_click_log, serps_from_orders, write_click_log
-from clickloom.sources.sinks import private_export, public_export
+from clickloom.plans.storage import shared_dir, written
+from clickloom.sources.click_log import as_lines, impressions, parse, read_click_log, serps_from_orders, write_click_log
+from clickloom.sources.run_logs import read_run_logs, read_trace
+from clickloom.sources.sinks import private_export, public_export, report
 
 SIX = 6
 
@@ -39,17 +41,17 @@ def _trained(spark, sf_dir, kind: str) -> tuple[Fitted, DataFrame]:
     return fit(make_model(kind), train, 2), test
 
 
+def _text_log(spark, serps: DataFrame) -> str:
+    return write_click_log(serps, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
+
+
 def click_log(spark, sf_dir):
     return impressions(serps_from_orders(spark, sf_dir))
 
 
 def text_log_round_trip(spark, sf_dir):
     """The derived log written as text and parsed again; the last page of a log isn't emitted."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        written(spark.range(0).toDF("id"), "start")
-    path = write_click_log(serps_from_orders(spark, sf_dir), f"{sc.getCheckpointDir()}/log-{uuid.uuid4().hex}")
-    return impressions(read_click_log(spark, path)[0])
+    return impressions(read_click_log(spark, _text_log(spark, serps_from_orders(spark, sf_dir)))[0])
 
 
 def malformed_rows(spark, sf_dir):
@@ -180,12 +182,127 @@ def export_attractiveness(spark, sf_dir):
     return private_export(_fit(spark, sf_dir, "pbm", 2))
 
 
+def limited_sessions(spark, sf_dir):
+    """The text log with a limit of 1,000 pages."""
+    path = _text_log(spark, serps_from_orders(spark, sf_dir))
+    return impressions(read_click_log(spark, path, max_sessions=1000)[0])
+
+
+def leading_clicks(spark, sf_dir):
+    """A log whose first hundred query lines are cut off: the clicks that stand before the first query have no page."""
+    lines = as_lines(serps_from_orders(spark, sf_dir))
+    token = F.split("value", " ")
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    lines.where(~((F.get(token, F.lit(2)) == "Q") & (F.get(token, F.lit(0)).cast("int") < 100))).write.text(path)
+    return impressions(read_click_log(spark, path)[0])
+
+
+def split_by_bucket(spark, sf_dir):
+    """Training and test pages where each bucket of queries is split by itself."""
+    bucket = F.expr("query_id % 8").alias("bucket")
+    train, test = prepare.split(written(serps_from_orders(spark, sf_dir), "serps"), by="query_id % 8")
+    part = lambda pages, is_train: pages.select(bucket, "serp_id", F.lit(is_train).alias("is_train"))
+    rows = part(train, True).union(part(test, False))
+    last = F.max(F.when(F.col("is_train"), F.col("serp_id"))).alias("last_train")
+    return rows.groupBy("bucket").agg(F.count_if(F.col("is_train")).alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"), last)
+
+
+def _predicted(kind: str, sparse: bool = False):
+    def query(spark, sf_dir):
+        train, test = _split(spark, sf_dir, sparse)
+        return predict(test, fit(make_model(kind), train, 2)).select("serp_id", "rank", _rounded("p"))
+
+    return query
+
+
+def export_per_impression(spark, sf_dir):
+    serps = written(serps_from_orders(spark, sf_dir), "serps")
+    return private_export(fit(make_model("pbm"), serps, 2), train=serps)
+
+
+def export_satisfaction(spark, sf_dir):
+    return private_export(_fit(spark, sf_dir, "dbn", 2), SATISFY)
+
+
+def metrics_report(spark, sf_dir):
+    fitted, test = _trained(spark, sf_dir, "pbm")
+    return report(test, fitted).select("metric", _rounded("value"))
+
+
+def _run_logs(spark, sf_dir) -> DataFrame:
+    """Logs of runs written below paths that tell their settings, one for each supplier, and read again."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", F.floor(F.abs("s_acctbal")).alias("x"))
+    lines = [
+        ("Total time of training: ", "x"), ("Average time per iteration: ", "x + 1"), ("Average time of computation in each iteration: ", "x % 100 + 1"),
+        ("Perplexity is: ", "concat('1.', lpad(x % 1000, 3, '0'))"),
+    ]
+    text = F.array(F.lit("start"), *[F.concat(F.lit(label), F.expr(e)) for label, e in lines], F.lit("Evaluation time: none"))
+    keys = [
+        (F.col("s_suppkey") % 4).alias("model"), F.concat(F.lit("GPU "), F.col("s_nationkey") % 3).alias("device"), F.element_at(F.array(*map(F.lit, (1, 2, 4))), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("nodes"),
+        (F.floor(F.col("s_suppkey") / 4) % 2 * 1000 + 1000).alias("sessions"), F.lit(2).alias("partitioning"), F.col("s_suppkey").alias("run"),
+    ]
+    path, names = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}", ["model", "device", "nodes", "sessions", "partitioning", "run"]
+    spread = rows.select(*keys, F.posexplode(text).alias("at", "value")).repartition(*names).sortWithinPartitions(*names, "at")
+    spread.drop("at").write.partitionBy(*names).text(path)
+    return read_run_logs(spark, path)
+
+
+def run_logs(spark, sf_dir):
+    return _run_logs(spark, sf_dir).select(
+        "model", "device", "nodes", "sessions", "partitioning", *(_rounded(c) for c in ("training_time", "iteration_time", "computation_time", "perplexity", "evaluation_time"))
+    )
+
+
+def run_means(spark, sf_dir):
+    return by_nodes(_run_logs(spark, sf_dir), 1, "GPU 1").select("nodes", "sessions", _rounded("training_time"))
+
+
+def run_speedup(spark, sf_dir):
+    runs = written(_run_logs(spark, sf_dir), "runs")
+    means = by_nodes(runs, 1, "GPU 1")
+    return speedup(means, runs.where("model = 0")).select("nodes", "sessions", _rounded("speedup"))
+
+
+def run_measures(spark, sf_dir):
+    shares = _run_logs(spark, sf_dir).select("model", computation_share(), roofline(F.col("perplexity"), 1.5, 1.2).alias("attainable"))
+    return shares.select("model", _rounded("computation_percent"), _rounded("attainable"))
+
+
+def _trace(spark, sf_dir) -> DataFrame:
+    """Event values as utilisation traces: eight CSV files with padded cells and a last line that is cut off, read again."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat_ws(" , ", (F.col("event_id") * 10).cast("string"), "event_type", F.col("value").cast("string"))
+    group = (F.col("event_id") % 8).alias("part")
+    rows = events.select(group, F.col("event_id").alias("at"), line.alias("value"))
+    of_all = lambda at, text: spark.range(8).select(F.col("id").alias("part"), F.lit(at).cast("long").alias("at"), F.lit(text).alias("value"))
+    path = f"{shared_dir(spark)}/trace-{uuid.uuid4().hex}"
+    spread = rows.unionByName(of_all(-1, " time , kind , busy ")).unionByName(of_all(2**62, "169, cut"))
+    spread = spread.repartition("part").sortWithinPartitions("part", "at")
+    spread.drop("at").write.partitionBy("part").text(path)
+    return read_trace(spark, path).select(F.col("time").cast("long").alias("time"), "kind", F.col("busy").cast("double").alias("busy"))
+
+
+def trace_categories(spark, sf_dir):
+    return categories(_trace(spark, sf_dir), "kind")
+
+
+def trace_of_category(spark, sf_dir):
+    trace = written(_trace(spark, sf_dir), "trace")
+    return rebased(of_category(trace, "kind", "click", "time", "busy"), "time")
+
+
+def trace_rebased(spark, sf_dir):
+    return rebased(written(_trace(spark, sf_dir), "trace"), "time", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         f.__name__: f
         for f in (
             click_log, text_log_round_trip, malformed_rows, serp_last_click, serp_prev_click, ubm_slots, train_test_counts, test_filtered, test_dropped,
             qd_dictionary_size, bucket_stats, pbm_estep_once, pbm_predict, ubm_full_probs, model_comparison, export_examination, export_attractiveness,
+            limited_sessions, leading_clicks, split_by_bucket, export_per_impression, export_satisfaction, metrics_report, run_logs, run_means, run_speedup,
+            run_measures, trace_categories, trace_of_category, trace_rebased,
         )
     }
     found |= {
@@ -200,6 +317,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dbn_attractiveness_2": _private("dbn", 2),
         "dbn_satisfaction_2": _private("dbn", 2, SATISFY),
         "dbn_gamma_2": _public("dbn", 2),
+        "ubm_examination_exact": _public("ubm", 2, exact_slots=True),
+        "dbn_satisfaction_prior_unset": _private("dbn", 2, SATISFY, unset="prior"),
+        "ubm_predict": _predicted("ubm"),
+        "ccm_predict": _predicted("ccm"),
+        "dbn_predict": _predicted("dbn"),
+        "pbm_predict_unseen": _predicted("pbm", sparse=True),
+        "dbn_predict_unseen": _predicted("dbn", sparse=True),
     }
     for kind in ("pbm", "ubm", "ccm", "dbn"):
         found |= {

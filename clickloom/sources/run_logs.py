@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.plans.storage import written
+
 NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
 #: Metric names and the labels that stand before their numbers in a log.
 LABELS = {
@@ -21,7 +23,9 @@ LABELS = {
     "log_likelihood": "Total Log likelihood is: ",
 }
 #: Columns found in the path of a log.
-PATH = {"model": r"model_(\d+)/", "device": r"model_\d+/([^/]+)/", "nodes": r"nodes_(\d+)", "sessions": r"sessions_(\d+)", "partitioning": r"partitioning_(\d*)"}
+PATH = {
+    "model": r"model[_=](\d+)/", "device": r"model[_=]\d+/(?:device=)?([^/]+)/", "nodes": r"nodes[_=](\d+)", "sessions": r"sessions[_=](\d+)", "partitioning": r"partitioning[_=](\d*)"
+}
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -41,5 +45,19 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """A utilisation trace: CSV with blanks around its cells."""
-    return spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """Utilisation traces: CSV files below ``path`` with a header and blanks around the cells; the last line of each, which is cut off, goes.
+
+    All columns are text.  Files share the header of the first.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")
+    )
+    lines = written(lines, "trace")
+    ends = lines.groupBy("file").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    header = lines.orderBy("file", "line").first()
+    if header is None:
+        return spark.createDataFrame([], "value string")
+    names = [x.strip() for x in header["value"].split(",")]
+    row = F.from_csv("value", ", ".join(f"`{x}` string" for x in names), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    inner = lines.join(ends, "file").where((F.col("line") > F.col("first")) & (F.col("line") < F.col("last")))
+    return inner.select(row.alias("row")).select("row.*")
