@@ -59,6 +59,36 @@ def from_bytes(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def ranked(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of each key among them, and where each distinct key first stands.
+
+    Sorts keys with their places in one number, which is several times as fast as an argsort; leading bits decide where both
+    do not fit, and the few keys that these leave out of order are sorted again.
+    """
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = n.bit_length()
+    lost, width = max(0, bits + low - 64), np.uint64(low)
+    packed = (keys >> np.uint64(lost)) << width | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1]) if lost else ()
+    if len(wrong) > 1000:
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    else:
+        lead = found >> np.uint64(lost)
+        for a, b in {(np.searchsorted(lead, lead[i], "left"), np.searchsorted(lead, lead[i], "right")) for i in wrong}:
+            order[a:b] = order[a:b][np.argsort(keys[order[a:b]], kind="stable")]
+        found = keys[order] if len(wrong) else found
+    new = np.concatenate([[True], found[1:] != found[:-1]])
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return found[new], place, order[new]
+
+
 def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -82,7 +112,7 @@ def opened(table: pa.Table, column: str) -> list[np.ndarray]:
 
 def places(table: pa.Table) -> tuple[int, np.ndarray]:
     """How many distinct keys a range holds, and the place of each entry of its messages among them."""
-    distinct, place = np.unique(np.concatenate([np.cumsum(x) for x in opened(table, "keys")]), return_inverse=True)
+    distinct, place, _ = ranked(np.concatenate([np.cumsum(x) for x in opened(table, "keys")]))
     return len(distinct), place
 
 

@@ -30,6 +30,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .exchange import MESSAGE, SENT, exchanged, followed, in_blocks, messages, received, rows_of
+from .exchange import MESSAGE, SENT, exchanged, followed, in_blocks, messages, ranked, received, rows_of
 
 DECLARED, ARTICLE, OPEN = 0, 1, 2
 # Elements without text of their own, elements that start a block, elements and names that are not main text.
@@ -130,7 +131,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return found
 
 
-SIGNATURE, WINDOW, HOST = 1, 2, 3
+SIGNATURE, WINDOW, HOST, SHOWN, UNDECLARED = range(1, 6)
 #: A distinct page counts as so many parts; pages of equal text share them.
 PARTS = 1 << 20
 
@@ -152,16 +153,19 @@ class Pages:
                 key = followed(key, h[i : len(key) + i])
             self.windows.append(key >> np.uint64(64 - bits))
 
-    def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct signatures in order, the place of each page's, and how many pages have them."""
-        keys, place = np.unique(self.signature, return_inverse=True)
-        return keys, place, np.bincount(place, minlength=len(keys))
+        self.undeclared = np.array([ARTICLE not in k and len(k) > 0 for k in self.kinds], np.int64)
+
+    def counts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(family, keys, counts): pages by signature, pages by host, and those of them without a declared article."""
+        for family, key, own in ((SIGNATURE, self.signature, 1), (SHOWN, self.host, 1), (UNDECLARED, self.host, self.undeclared)):
+            keys, place, _ = ranked(key)
+            yield family, keys, np.bincount(place, np.broadcast_to(own, len(place)), len(keys))
 
 
 def _covered(pages: np.ndarray, n: int, least: float, repeat: int) -> np.ndarray:
     """Which of n tokens lie in a run of ``repeat`` tokens that ``least`` pages hold; ``pages[i]`` hold that at i."""
     steps = np.zeros(n + repeat + 1, np.int64)
-    at = np.nonzero(pages >= least)[0]
+    at = np.nonzero(pages >= least)[0]  # none where the host's pages are too few to be counted
     np.add.at(steps, at, 1)
     np.add.at(steps, at + repeat, -1)
     return np.cumsum(steps)[:n] > 0
@@ -208,42 +212,49 @@ def html_text(
     parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds array<int>, texts array<string>")
     held = in_blocks(parsed, n_rows, n_bytes, block_bytes)
     n_tokens = max(1, n_bytes // 5)
-    bits = min(64, max(40, math.ceil(math.log2(n_tokens)) + 20))
+    bits = min(64, max(40, math.ceil(math.log2(n_tokens)) + 14))
     ranges = max(1, n_tokens // range_keys)
 
     def number(table: pa.Table) -> int:
         return table.column("block")[0].as_py()
 
     def sign(table: pa.Table) -> pa.Table:
-        keys, _, n = Pages(table, repeat, bits).signatures()
-        return rows_of([*messages(number(table), SIGNATURE, keys, n, None, 64, ranges)], MESSAGE)
+        found = [messages(number(table), family, keys, n, None, 64, ranges) for family, keys, n in Pages(table, repeat, bits).counts()]
+        return rows_of([*chain.from_iterable(found)], MESSAGE)
 
     signed = staged(exchanged(held.groupBy("block").applyInArrow(sign, SENT)), "signatures")
 
+    def asked(own: Pages, told: pa.Table) -> Pages:
+        """Without the windows of hosts that have too few pages for any block to go."""
+        place = ranked(own.host)[1]
+        n, undeclared = received(told, SHOWN)[place], received(told, UNDECLARED)[place]
+        own.windows = [w if k >= least_pages or (k >= 2 and u) else w[:0] for w, k, u in zip(own.windows, n, undeclared)]
+        return own
+
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
         own = Pages(table, repeat, bits)
-        copies = received(told, SIGNATURE)[own.signatures()[1]]
-        part = np.maximum(np.rint(PARTS / copies), 1)
-        once = [np.unique(w) for w in own.windows]
+        part = np.maximum(np.rint(PARTS / received(told, SIGNATURE)[ranked(own.signature)[1]]), 1)
+        once = [np.unique(w) for w in asked(own, told).windows]
         found = []
-        for family, key, parts in (
-            (WINDOW, np.concatenate(once), np.repeat(part, [len(w) for w in once])),
-            (HOST, own.host, part),
+        for family, key, parts, width in (
+            (WINDOW, np.concatenate(once), np.repeat(part, [len(w) for w in once]), bits),
+            (HOST, own.host, part, 64),
         ):
-            keys, place = np.unique(key, return_inverse=True)
-            found += messages(number(table), family, keys, np.bincount(place, parts, len(keys)), None, bits if family == WINDOW else 64, ranges)
+            keys, place, _ = ranked(key, width)
+            found += messages(number(table), family, keys, np.bincount(place, parts, len(keys)), None, width, ranges)
         return rows_of(found, MESSAGE)
 
     counted = staged(exchanged(held.groupBy("block").cogroup(signed.groupBy("block")).applyInArrow(send, SENT)), "windows")
 
     def extract(table: pa.Table, told: pa.Table) -> pa.Table:
-        own = Pages(table, repeat, bits)
-        keys, n = np.unique(np.concatenate(own.windows)), received(told, WINDOW) / PARTS
-        hosts = (received(told, HOST) / PARTS)[np.unique(own.host, return_inverse=True)[1]]
+        own = asked(Pages(table, repeat, bits), told)
+        n = (received(told, WINDOW) / PARTS)[ranked(np.concatenate(own.windows), bits)[1]]
+        ends = np.cumsum([len(w) for w in own.windows])
+        hosts = (received(told, HOST) / PARTS)[ranked(own.host)[1]]
         texts = [
-            main_text(kinds, texts, n[np.searchsorted(keys, w)] if len(w) else np.zeros(0), host_pages, repeat, template, least_pages, covered)
-            for kinds, texts, w, host_pages in zip(own.kinds, own.texts, own.windows, hosts)
+            main_text(kinds, texts, n[end - len(w) : end], host_pages, repeat, template, least_pages, covered)
+            for kinds, texts, w, end, host_pages in zip(own.kinds, own.texts, own.windows, ends, hosts)
         ]
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return held.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return held.groupBy("block").cogroup(signed.union(counted).groupBy("block")).applyInArrow(extract, "page_id long, url string, text string, n_chars long")

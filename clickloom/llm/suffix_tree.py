@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, staged
-from .exchange import MESSAGE, SENT, answers, exchanged, followed, in_blocks, messages, opened, places, received, rows_of
+from .exchange import MESSAGE, SENT, answers, exchanged, followed, in_blocks, messages, opened, places, ranked, received, rows_of
 
 CONTEXTS, WORDS, GRAMS = 0, 1, 2
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 STEP = 16
 #: Of the spelling: most bytes before, classes they are hashed into, weight of the shorter order, distinct words counted at once.
-ORDERS, CLASSES, PRIOR, TYPES = 3, 1 << 13, 5.0, 100_000
+ORDERS, CLASSES, PRIOR, TYPES = 3, 1 << 13, 5.0, 200_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -65,10 +65,10 @@ class Block:
     """The tokens of a block of documents: for each token its keys by order, as places among the block's distinct keys."""
 
     def __init__(self, texts: pa.ChunkedArray, train: np.ndarray, depth: int, bits: int):
-        parts, self.types = [], set()
+        parts, self.words = [], []
         for text in texts:
             w = tokens(text.as_py())
-            self.types.update(w)
+            self.words += w
             parts += [np.array([START]), hashes(w), np.array([END])]
         self.lengths = np.array([len(p) for p in parts[1::3]], np.int64) + 1  # with the end token
         token = np.concatenate(parts)
@@ -97,23 +97,21 @@ class Block:
     def counts(self, family: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys in order, and how often each occurs in training texts."""
         keys, train = self.keys(family)
-        every, known = np.sort(keys), np.sort(keys[train])
-        every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
-        return every, np.searchsorted(known, every, "right") - np.searchsorted(known, every, "left")
+        distinct, place, _ = ranked(keys, 64 if family == WORDS else self.bits)
+        return distinct, np.bincount(place[train], minlength=len(distinct))
 
     def placed(self, totals: dict[int, np.ndarray], n_train: int) -> list[np.ndarray]:
-        """For each order k the training occurrences of the k tokens that end at each position; order 0 are all tokens."""
+        """For each order k from 1 the training occurrences of the k tokens that end at each position."""
         n = len(self.token)
         word = np.full(n, n_train, np.float64)  # starts and ends occur once a training text
-        keys, place = np.unique(self.keys(WORDS)[0], return_inverse=True)
-        word[self.is_word] = totals[WORDS][place]
+        _, self.type, self.first = ranked(self.keys(WORDS)[0])
+        word[self.is_word] = totals[WORDS][self.type]
         found, at = [word], 0
-        keys, place = np.unique(self.keys(GRAMS)[0], return_inverse=True)
+        grams = totals[GRAMS][ranked(self.keys(GRAMS)[0], self.bits)[1]]
         for k in range(1, self.depth + 1):
             valid = self.place >= k
             total = np.zeros(n, np.float64)
-            total[valid] = totals[GRAMS][place[at : at + int(valid.sum())]]
-            at += int(valid.sum())
+            total[valid] = grams[at : (at := at + int(valid.sum()))]
             found.append(total)
         return found
 
@@ -225,23 +223,25 @@ def language_scores(
         """Sends, for each context of a block that occurs often enough, the divergence and the followers found here."""
         own = parsed(table)
         counts = [np.full(len(own.token), float(n_train)), *own.placed({f: received(known, f) for f in (WORDS, GRAMS)}, n_docs)]
-        found = []
+        known = []
         for k in range(1, depth + 1):
             at, keys = own.contexts(k)
-            n = counts[k][at - 1]
-            at, keys, n = at[n >= least], keys[n >= least], n[n >= least]
-            distinct, place = np.unique(keys, return_inverse=True)
+            often = counts[k][at - 1] >= least
+            known.append((at[often], keys[often]))
+        keys, place, _ = ranked(np.concatenate([x for _, x in known]), bits)
+        gains, followers, done = np.zeros(len(keys)), np.zeros(len(keys)), 0
+        for k, (at, _) in enumerate(known, 1):
             train = own.train[at]  # contexts of other texts are asked for and add nothing
-            at, place, n = at[train], place[train], n[train]
-            gain = np.log(counts[k + 1][at] / n) - np.log(counts[k][at] / counts[k - 1][at - 1])
-            followers = np.bincount(place, 1 / counts[k + 1][at], len(distinct))
-            gains = np.bincount(place, gain, len(distinct)) - cost * followers
-            found.append((distinct, np.rint(gains * STEP).astype(np.int64), np.rint(followers * STEP).astype(np.int64)))
-        keys, gains, followers = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(keys, kind="stable")
+            where = place[done : (done := done + len(at))][train]
+            at = at[train]
+            gain = np.log(counts[k + 1][at] * counts[k - 1][at - 1] / (counts[k][at - 1] * counts[k][at]))
+            followers += np.bincount(where, 1 / counts[k + 1][at], len(keys))
+            gains += np.bincount(where, gain, len(keys))
+        gains = np.rint((gains - cost * followers) * STEP).astype(np.int64)
+        followers = np.rint(followers * STEP).astype(np.int64)
         signed = (gains << 1) ^ (gains >> 63)  # small numbers of either sign in few bytes
         number = table.column("block")[0].as_py()
-        return rows_of([*messages(number, CONTEXTS, keys[order], signed[order], followers[order], bits, ranges[WORDS])], MESSAGE)
+        return rows_of([*messages(number, CONTEXTS, keys, signed, followers, bits, ranges[WORDS])], MESSAGE)
 
     def retained(table: pa.Table) -> pa.Table:
         """Answers with the followers of the contexts that diverge enough, 0 for the others."""
@@ -259,13 +259,9 @@ def language_scores(
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         own = parsed(table)
         counts = own.placed({f: received(told, f) for f in (WORDS, GRAMS)}, n_docs)
-        types = sorted(own.types)
-        names = hashes(types)
-        order = np.argsort(names)
         spell = Spelling(*codes.value)
         spelt = np.full(len(own.token), spell.log10([b""])[0])  # the end token is spelt as a word without bytes
-        if types:
-            spelt[own.is_word] = spell.log10(types)[order[np.searchsorted(names, own.token[own.is_word], sorter=order)]]
+        spelt[own.is_word] = spell.log10([own.words[i] for i in own.first])[own.type]
         c = counts[0]
         p = (1 - fresh) * c / max(1, n_train) + fresh * 10**spelt
         log_p = np.where(c > 0, np.log10(np.maximum(p, 1e-300)), math.log10(fresh) + spelt)
@@ -274,9 +270,9 @@ def language_scores(
             at, keys = own.contexts(k)
             n = counts[k - 1][at - 1]
             known.append((at[n >= least], keys[n >= least], n[n >= least]))
-        distinct = np.unique(np.concatenate([keys for _, keys, _ in known]))
+        followers, done = followers[ranked(np.concatenate([keys for _, keys, _ in known]), bits)[1]], 0
         for k, (at, keys, n) in enumerate(known, 1):
-            t = followers[np.searchsorted(distinct, keys)]
+            t = followers[done : (done := done + len(at))]
             at, n, t = at[t > 0], n[t > 0], t[t > 0]
             seen = counts[k][at] > 0
             log_p[at] += np.log10(t / (n + t))

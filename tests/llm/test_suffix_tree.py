@@ -155,6 +155,15 @@ def test_integers_as_bytes():
         assert (exchange.from_bytes(exchange.to_bytes(x), len(x)) == x).all()
 
 
+def test_ranks_of_keys():
+    rng = np.random.default_rng(6)
+    close = (rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(60)) | rng.integers(0, 40, 500).astype(np.uint64)  # alike in their leading bits
+    for keys, bits in ((rng.integers(0, 90, 700).astype(np.uint64), 48), (close, 64), (np.zeros(0, np.uint64), 64), (np.array([7], np.uint64), 64)):
+        distinct, place, first = exchange.ranked(keys, bits)
+        plain = np.unique(keys, return_index=True, return_inverse=True)
+        assert (distinct == plain[0]).all() and (first == plain[1]).all() and (place == plain[2]).all()
+
+
 def test_nothing_to_learn_from(spark):
     assert suffix_tree.language_scores(spark.createDataFrame([], SCHEMA)).count() == 0
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
