@@ -31,33 +31,77 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Public license wording with optional and replaceable regions.
+_HOLDER = "<<opt>> copyright <<var 16>> <<end>>"
+_NO_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall the authors <<opt>> or copyright holders <<end>> be "
+    "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+    "connection with the software or the use or other dealings in the software"
+)
+_BSD = (
+    f"{_HOLDER} <<opt>> all rights reserved <<end>> redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met <<var 2>> redistributions of source code must retain the above copyright notice this list of "
+    "conditions and the following disclaimer <<var 2>> redistributions in binary form must reproduce the above copyright notice "
+    "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = "<<var 2>> neither the name of <<var 16>> may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = (
+    "this software is provided by <<var 16>> as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 16>> be liable for any direct "
+    "indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or "
+    "services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of "
+    "the possibility of such damage"
+)
+_GPL_HEAD = "free software you can redistribute it and or modify it under the terms of the gnu"
+_GPL_REST = (
+    "of the license or at your option any later version <<var 8>> distributed in the hope that it will be useful but without any warranty "
+    "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu"
+)
+#: Public license wording with optional and replaceable regions.  Names that end in "notice" stand for a mention.
 TEMPLATES = {
-    "MIT": "<<opt>> the mit license <<end>> permission is hereby granted free of charge to any person obtaining a copy of this software and "
+    "MIT": f"{_HOLDER} permission is hereby granted free of charge to any person obtaining a copy of this software and "
     "associated documentation files the <<opt>> quot <<end>> software <<opt>> quot <<end>> to deal in the software without restriction including without limitation the "
     "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to "
     "whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission "
-    "notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software",
-    "ISC": "permission to use copy modify and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby granted "
-    "provided that the above copyright notice and this permission notice appear in all copies",
-    "BSD-2-Clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-    "following conditions are met <<var 2>> redistributions of source code must retain the above copyright notice this list of "
-    "conditions and the following disclaimer <<var 2>> redistributions in binary form must reproduce the above copyright notice "
-    "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "Zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
-    "for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose",
-    "Unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
-    "Apache-2.0": "licensed under the apache license <<opt>> version <<end>> 2 0 <<opt>> the license you may not use this file except in "
-    "compliance with the license <<end>>",
-    "GPL-2.0": "<<opt>> licensed under the <<end>> gnu general public license <<opt>> as published by the free software foundation either <<end>> version 2",
-    "GPL-3.0": "<<opt>> licensed under the <<end>> gnu general public license <<opt>> as published by the free software foundation either <<end>> version 3",
-    "LGPL": "gnu <<var 1>> lesser general public license <<opt>> as published by the free software foundation either <<end>> version <<var 2>>",
+    f"notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software {_NO_WARRANTY}",
+    "ISC": f"{_HOLDER} permission to use copy modify and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+    "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall "
+    "the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+    "profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "BSD-2-Clause": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD} {_BSD_NAMES} {_BSD_END}",
+    "Zlib": f"{_HOLDER} this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+    "for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+    "commercial applications and to alter it and redistribute it freely subject to the following restrictions <<var 1>> the origin of this "
+    "software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+    "acknowledgment in the product documentation would be appreciated but is not required <<var 1>> altered source versions must be plainly "
+    "marked as such and must not be misrepresented as being the original software <<var 1>> this notice may not be removed or altered from any source distribution",
+    "Unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+    "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+    "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the "
+    "software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+    f"under copyright law {_NO_WARRANTY}",
+    "Apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+    "obtain a copy of the license at http <<opt>> s <<end>> <<opt>> www <<end>> apache org licenses license 2 0 unless required by applicable law or agreed to in "
+    "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either "
+    "express or implied see the license for the specific language governing permissions and limitations under the license",
+    "GPL-2.0-or-later": f"{_GPL_HEAD} general public license as published by the free software foundation either version 2 {_GPL_REST} general public license for more details",
+    "GPL-3.0-or-later": f"{_GPL_HEAD} general public license as published by the free software foundation either version 3 {_GPL_REST} general public license for more details",
+    "AGPL-3.0-or-later": f"{_GPL_HEAD} affero general public license as published by the free software foundation either version 3 {_GPL_REST} affero general public license for more details",
+    "LGPL-2.1-or-later": f"{_GPL_HEAD} lesser general public license as published by the free software foundation either version 2 1 {_GPL_REST} lesser general public license for more details",
+    "Apache-2.0-notice": "licensed under the apache license <<opt>> version <<end>> 2 0",
+    "GPL-2.0-notice": "<<opt>> licensed under the <<end>> gnu general public license <<opt>> as published by the free software foundation either <<end>> version 2",
+    "GPL-3.0-notice": "<<opt>> licensed under the <<end>> gnu general public license <<opt>> as published by the free software foundation either <<end>> version 3",
+    "LGPL-notice": "gnu <<opt>> lesser <<end>> <<opt>> library <<end>> general public license <<opt>> as published by the free software foundation either <<end>> version 2 1",
     "MIT-notice": "<<opt>> released under the <<end>> <<opt>> licensed under the <<end>> mit license",
-    "CC-BY": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by 4 0",
-    "CC-BY-NC": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nc 4 0",
-    "CC-BY-SA": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by sa 4 0",
-    "CC-BY-ND": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nd 4 0",
-    "CC-BY-full": "licensed under a creative commons attribution <<var 3>> <<opt>> 4 0 <<end>> international license",
+    "CC-BY-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by 4 0",
+    "CC-BY-NC-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nc 4 0",
+    "CC-BY-SA-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by sa 4 0",
+    "CC-BY-ND-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nd 4 0",
+    "CC-4.0-notice": "licensed under a creative commons attribution <<var 4>> 4 0 international license",
 }
 SEPARATOR = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 EDGE = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
@@ -95,7 +139,9 @@ class Automaton:
         # the anchor: the first mandatory words that no region parts
         first = re.split(r"<<[^>]*>>", re.sub(r"<<opt>>.*?<<end>>", "<<gap>>", template))
         self.anchor = tuple(next(x.split() for x in first if x.split())[:4])
-        self.lead = max((len(x.split()) for x in re.findall(r"<<opt>>(.*?)<<end>>", template.split(" ".join(self.anchor))[0])), default=0)
+        # optional words before the anchor, all of which a run may begin with
+        before = re.findall(r"<<var \d+>>|\S+", re.sub(r"<<opt>>|<<end>>", "", template.split(" ".join(self.anchor))[0]))
+        self.lead = sum(int(x[5:-2]) if x.startswith("<<var") else 1 for x in before)
 
     def _closed(self, states: set[int]) -> set[int]:
         todo, found = [*states], set(states)
@@ -125,7 +171,7 @@ def _phrase(words) -> str:
 AUTOMATA = {k: Automaton(v) for k, v in TEMPLATES.items()}
 _BASE = re.compile(f"(?<!{EDGE})(?:" + "|".join(f"({_phrase(p.split())})" for p in PHRASES) + f")(?!{EDGE})")
 _ANCHORS = {k: re.compile(f"(?<!{EDGE}){_phrase(a.anchor)}(?!{EDGE})") for k, a in AUTOMATA.items()}
-_ANY_ANCHOR = re.compile("licens|permission|redistribution|unencumbered|warranty")
+_ANY_ANCHOR = re.compile("licens|permission|redistribut|unencumbered|warranty")
 
 
 def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:

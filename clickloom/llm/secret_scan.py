@@ -2,8 +2,8 @@
 
 Candidates are found in each whole text by fixed patterns.  The SHA-256 of each
 candidate's value is then counted over the whole corpus by distinct owners and
-distinct repositories: a value that ``example_owners`` or more owners carry is a
-widely copied example, any other is a live-looking credential of its owner.
+distinct repositories: a value that ``example_owners`` or more owners carry, or two owners in ``example_repositories`` or more
+repositories, is a widely copied example; any other is a live-looking credential of its owner, in however many of that owner's repositories.
 Base candidates (``assign``, ``access``, ``hex``) are always reported; candidates
 of the further kinds (``vendor``, ``pem``, ``opaque``) are reported only
 where their ownership makes them live-looking and no base span overlaps them.
@@ -39,6 +39,7 @@ KINDS = [
 N_BASE = 3
 SPAN = "struct<start:int,kind:int,end:int,digest:string>"
 MASK = "[SECRET]"
+SALTS = 64
 
 
 def _of_kind(text: Column, k: int) -> Column:
@@ -89,13 +90,16 @@ def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     return found.select("row", "owner", "repository", F.sort_array("base").alias("base"), F.sort_array(apart).alias("more"))
 
 
-def ownership(candidates: DataFrame, example_owners: int = 3) -> DataFrame:
-    """(digest, owners, repositories) of the widely copied values of (digest, owner, repository)."""
+def ownership(candidates: DataFrame, example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
+    """(digest, owners, repositories) of the widely copied values of (digest, owner, repository).
+
+    Repeats are summed before anything is shuffled, so a value that a third of all rows carry is a few rows.
+    """
     once = candidates.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n"))
     return (
         once.groupBy("digest")
         .agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-        .where(F.col("owners") >= example_owners)
+        .where((F.col("owners") >= example_owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= example_repositories)))
     )
 
 
@@ -105,8 +109,10 @@ def _judged(scanned: DataFrame, example_owners: int) -> DataFrame:
         "rid", "owner", "repository", F.explode(F.concat("base", "more")).alias("s")
     )
     spans = spans.select("rid", "owner", "repository", "s", F.col("s.digest").alias("digest"))
-    known = ownership(spans, example_owners)
-    status = spans.join(known, "digest", "left").select("rid", "s", F.col("owners").isNull().alias("live"))
+    # a value's rows are dealt over SALTS tasks, each of which gets the value's verdict
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
+    known = ownership(spans, example_owners).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    status = spans.withColumn("salt", salt).join(known, ["digest", "salt"], "left").select("rid", "s", F.col("owners").isNull().alias("live"))
     return status.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"),
         F.count_if(F.col("live")).alias("n_live"),

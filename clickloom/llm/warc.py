@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
 A record (header, payload, closing lines) is streamed as rows of at most ``chunk``
-bytes: record identifier, chunk number, bytes, and what the reader needs to
+bytes of payload: record identifier, chunk number, bytes, and what the reader needs to
 check it on the way: the payload bytes and a running CRC-32 up to and with the chunk.  The
 last chunk carries the SHA-256 of the payload.  Joining the bytes of all rows in
 the order of record and chunk gives a valid WARC 1.1 stream.
@@ -11,6 +11,9 @@ incremental digest, so a record of any size needs one chunk of memory.  Records
 of one chunk are checked where they lie; only chunks of longer records are shuffled (by
 record identifier) and sorted (by chunk).
 
+A record's block is an HTTP response: a header and, but for revisits, the payload.  Revisits name the record and the
+payload that they refer to.
+
 Records with equal payloads of at least ``least_bytes`` bytes: the one with the least
 page_id is the response, the others revisit it.
 
@@ -38,7 +41,7 @@ END = CRLF + CRLF
 
 
 def classify(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is set for records that revisit another."""
+    """(record_id, page_id, url, html, digest, refers_to, refers_record): the last two are set for records that revisit another."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -46,31 +49,39 @@ def classify(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
         html.alias("html"),
         F.sha2(html.cast("binary"), 256).alias("digest"),
         F.octet_length(html).alias("size"),
+        F.monotonically_increasing_id().alias("row"),  # repeated rows are records of their own
     )
-    # least page_id of each payload that occurs more than once: one row a payload, summed before the shuffle
+    name = F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "url", "digest", F.col("row").cast("string")), 256)
+    part = lambda at, n: F.substring(name, at, n)
+    # a UUID of version 8 (made from a hash)
+    record_id = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+    rows = rows.withColumn("record_id", record_id)
+    # the first record of each payload that occurs more than once: one row a payload, summed before the shuffle
     first = (
         rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-        .where("first < last")
+        .agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.max("page_id").alias("last"))
+        .where("first.page_id < last")
         .select("digest", "first")
     )
-    refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
+    revisits = F.col("first.page_id") < F.col("page_id")
+    return rows.join(first, "digest", "left").select(
+        "record_id", "page_id", "url", "html", "digest",
+        F.when(revisits, F.col("first.page_id")).alias("refers_to"), F.when(revisits, F.col("first.record_id")).alias("refers_record"),
+    )
 
 
-def _header(record_id: str, page_id, url: str, size: int, digest: str, refers_to) -> bytes:
-    """A revisit names the length and digest of the payload that its response holds; its own block is empty."""
+def _header(record_id: str, page_id, url: str, size: int, digest: str, refers_to, refers_record) -> bytes:
+    """The header of a record and that of the HTTP response in it; a revisit names the payload that its response holds."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}".encode() + END
     kind = "response" if refers_to is None else "revisit"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", "WARC-Date: 2000-01-01T00:00:00Z"]
-    lines += [f"WARC-Target-URI: {url.replace(chr(13), ' ').replace(chr(10), ' ')}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: text/html; charset=utf-8"]
+    lines += [f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines.append(f"X-Refers-To-Page-ID: {refers_to}")
-        lines.append(f"X-Payload-Length: {size}")
-        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    return "\r\n".join([*lines, f"Content-Length: {size if refers_to is None else 0}"]).encode("utf-8", "replace") + END
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{refers_record}>", f"X-Refers-To-Page-ID: {refers_to}"]
+    return "\r\n".join([*lines, f"Content-Length: {len(http) + (size if refers_to is None else 0)}"]).encode("utf-8", "replace") + END + http
 
 
 def write_records(pages: DataFrame, chunk: int = 1 << 16) -> DataFrame:
@@ -87,12 +98,10 @@ def write_records(pages: DataFrame, chunk: int = 1 << 16) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            record_ids, page_ids, urls, htmls, digests, refers = batch.columns
-            for record_id, page_id, url, html, digest, first in zip(
-                record_ids.to_pylist(), page_ids.to_pylist(), urls.to_pylist(), htmls, digests.to_pylist(), refers.to_pylist()
-            ):
+            htmls, others = batch.column(0), zip(*(c.to_pylist() for c in batch.columns[1:]))
+            for html, (record_id, page_id, url, digest, first, record) in zip(htmls, others):
                 payload = memoryview(html.as_buffer() if first is None else b"")
-                head = _header(record_id, page_id, url, len(html.as_buffer()), digest, first)
+                head = _header(record_id, page_id, url, len(html.as_buffer()), digest, first, record)
                 at, crc, number = 0, 0, 0
                 while True:
                     part = payload[at : at + chunk]
@@ -108,18 +117,23 @@ def write_records(pages: DataFrame, chunk: int = 1 << 16) -> DataFrame:
         if rows:
             yield flush()
 
-    # repeated rows are records of their own, so the row's number takes part
-    record_id = F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "url", "digest", F.monotonically_increasing_id().cast("string")), 256).substr(1, 32)
-    return pages.select(record_id.alias("record_id"), "page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "refers_to").mapInArrow(stream, CHUNKS)
+    columns = [F.col("html").cast("binary").alias("html"), "record_id", "page_id", "url", "digest", "refers_to", "refers_record"]
+    return pages.select(*columns).mapInArrow(stream, CHUNKS)
 
 
-def parse_header(data: bytes) -> tuple[dict[str, str], int]:
-    """Header fields of a record and the place where its payload begins."""
+def parse_header(data: bytes) -> tuple[dict[str, str], int, int]:
+    """Header fields of a record, the place where its payload begins, and the payload's length there and as told by HTTP."""
     end = data.index(END)
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    return dict(x.split(": ", 1) for x in lines[1:] if ": " in x), end + len(END)
+    fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    block = end + len(END)
+    inner = data.index(END, block)
+    http = dict(x.split(": ", 1) for x in data[block:inner].decode("utf-8", "replace").split("\r\n")[1:])
+    fields["X-Payload-Length"] = http["Content-Length"]
+    start = inner + len(END)
+    return fields, start, int(fields["Content-Length"]) - (start - block)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +144,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, last, data, so_far, crc_so_far, told in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6))):
             start = 0
             if number == 0:
-                fields, start = parse_header(data)
-                size, seen, crc, digest = int(fields["Content-Length"]), 0, 0, hashlib.sha256()
+                fields, start, size = parse_header(data)
+                seen, crc, digest = 0, 0, hashlib.sha256()
             part = memoryview(data)[start : start + size - seen]
             seen, crc = seen + len(part), zlib.crc32(part, crc)
             digest.update(part)
@@ -139,7 +153,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"chunk {number} of {fields.get('WARC-Record-ID')} is damaged or missing")
             if last:
                 page, first = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
-                full, found = int(fields.get("X-Payload-Length", size)), fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                full, found = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 if seen != size or found != told or first is None and found != digest.hexdigest():
                     raise ValueError(f"record {fields.get('WARC-Record-ID')} does not match its digest")
                 out.append((page and int(page), full, found, fields["WARC-Type"], first and int(first)))

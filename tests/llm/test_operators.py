@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import components, decontaminate, licenses, quality, secret_scan, simhash, warc
+from clickloom.llm import components, decontaminate, quality, simhash
 
 from .tables import SCHEMA, documents, sentence
 
@@ -35,31 +35,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# licenses
-
-
-def test_licenses(spark, empty):
-    mit = "The MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    texts = [
-        "x Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0 and the gnu General Public-License version 3", mit, mit.replace("restriction", "limits"),
-        None, "", "mit licenses, emit license", "acc by", "é apache\nLICENSE é",
-    ]
-    rows = {r["doc_id"]: r for r in licenses.license_scan(documents(spark, texts)).collect()}
-    got = [(rows[i]["n_words"], rows[i]["n_base"], rows[i]["first_word"], rows[i]["last_word"], rows[i]["base_labels"]) for i in range(len(texts))]
-    assert got[0] == (9, 1, 4, 4, "apache") and got[4] == got[5] == (0, 0, None, None, "") and got[6][1] == got[7][1] == 0 and got[8] == (4, 1, 1, 1, "apache")
-    assert got[1][1:] == (2, 2, 9, "cc-by,gpl")
-    assert rows[0]["labels"] == "Apache-2.0,apache" and rows[1]["labels"] == "CC-BY-NC,GPL-3.0,cc-by,gpl"
-    assert "MIT" in rows[2]["labels"].split(",") and rows[2]["score"] > 0.9 and "MIT" not in rows[3]["labels"].split(",")
-    assert licenses.license_scan(empty).count() == 0
-
-
-def test_automaton_regions():
-    a = licenses.Automaton("<<opt>> may be <<end>> must stand <<var 2>> then end")
-    accepted = ["must stand then end", "may be must stand then end", "must stand x then end", "must stand x y then end"]
-    refused = ["must stand x y z then end", "may must stand then end", "must stand then", "must then end"]
-    assert [a.longest(t.split(), 0) == len(t.split()) for t in accepted + refused] == [True] * 4 + [False] * 4
-
-
 # quality
 
 
@@ -87,44 +62,6 @@ def test_quality_counts_and_ratio(spark, docs, texts, empty):
     assert quality.quality_rules(empty, labels, buckets=64).count() == 0
 
 
-# warc
-
-
-def test_warc_round_trip(spark):
-    html = ["<p>" + "a" * 150, "<p>" + "a" * 150, "short", "short", None, "é" * 70_000, "é" * 70_000, "x\r\n\r\nWARC/1.1\r\n" * 9]
-    rows = [(10 - i, f"http://h/{i}", h, "clash") for i, h in enumerate(html)] + [(None, None, html[0], "clash"), (9, "again", html[1], "clash")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
-    chunks = warc.write_records(warc.classify(pages), chunk=1000)
-    got = warc.read_records(warc.staged(chunks, "warc")).collect()
-    first = {}
-    for page, _, h, _ in rows:
-        data = (h or "").encode()
-        if page is not None and len(data) >= 100:
-            first[data] = min(page, first.get(data, page))
-    expected = Counter()
-    for page, _, h, _ in rows:
-        data = (h or "").encode()
-        leader = first.get(data) if page is not None and len(data) >= 100 else None
-        revisit = leader is not None and leader < page
-        expected[page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", leader if revisit else None] += 1
-    assert Counter(tuple(r) for r in got) == expected
-    assert chunks.where("length(data) > 2000").count() == 0
-    records = {}
-    for r in chunks.orderBy("record_id", "chunk").collect():
-        records.setdefault(r["record_id"], b"")
-        records[r["record_id"]] += bytes(r["data"])
-    for data in records.values():
-        fields, at = warc.parse_header(data)
-        assert len(data) == at + int(fields["Content-Length"]) + 4 and data.endswith(warc.END)
-
-
-def test_warc_finds_damage(spark):
-    pages = spark.createDataFrame([(1, "u", "z" * 5000)], "page_id long, url string, html string")
-    chunks = warc.staged(warc.write_records(warc.classify(pages), chunk=1000), "warc")
-    with pytest.raises(Exception, match="damaged or missing"):
-        warc.read_records(chunks.where("chunk <> 2")).collect()
-
-
 # near-duplicates
 
 
@@ -183,27 +120,6 @@ def test_repeated_and_null_ids_leave_one(spark):
     assert simhash.drop_near_duplicates(documents(spark, [t] * 3, ids=[None] * 3)).count() == 1
 
 
-# secrets
-
-
-def test_secrets(spark, empty):
-    key = "Zx9" + "aB3" * 9
-    texts = [
-        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é', "PassWord: hunter22 api_key=short apikey=abcdef", "AKIA" + "A1" * 10 + " AKIASHORT", None, "",
-        "ſecret: abcdefgh secret: \"token: abcdef\"", f"see {key} here", *["password = example123"] * 5,
-    ]
-    rows = {r["doc_id"]: r for r in secret_scan.secret_spans(documents(spark, texts)).collect()}
-    digest = lambda *s: hashlib.sha256(",".join(s).encode()).hexdigest()
-    assert rows[0]["base_sha256"] == digest("assign:0:49", "hex:9:49") and rows[0]["n_hex"] == rows[0]["n_assign"] == 1
-    assert rows[1]["base_sha256"] == digest("assign:0:18", "assign:33:46") and rows[2]["spans"] == "access:0:24"
-    assert rows[3]["base_sha256"] == rows[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert rows[5]["n_assign"] == 0 and rows[6]["spans"] == f"opaque:4:{4 + len(key)}"
-    assert [(rows[i]["n_live"], rows[i]["n_example"]) for i in (0, 7, 11)] == [(2, 0), (0, 1), (0, 1)]
-    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(documents(spark, texts)).collect()}
-    assert masked[0] == '[SECRET]" é' and masked[6] == "see [SECRET] here" and masked[7] == texts[7] and masked[3] is None and len(masked) == len(texts)
-    assert secret_scan.secret_spans(empty).count() == 0 and secret_scan.mask_secrets(empty).count() == 0
-
-
 # decontamination
 
 
