@@ -28,14 +28,19 @@ REPLY = pa.schema([("family", pa.int32()), ("range", pa.int64()), ("block", pa.i
 ANSWERED = "family int, range long, block long, n long, counts binary, types long"
 
 
+def bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``blocks`` written in buckets of its column ``block`` and read back, so that grouping by it moves no row."""
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    writer = blocks.write.bucketBy(max(1, buckets), "block").option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def in_blocks(rows: DataFrame, n_rows: int, n_bytes: int, block_bytes: int) -> DataFrame:
-    """``rows`` with the column ``block``, written bucketed by it; a block holds about ``block_bytes`` of neighbouring rows."""
-    spark, name = rows.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    """``rows`` with the column ``block``, bucketed by it; a block holds about ``block_bytes`` of neighbouring rows."""
     rid, each = F.monotonically_increasing_id(), max(1, block_bytes * n_rows // max(1, n_bytes))
     block = F.xxhash64(F.shiftright(rid, 33), F.floor(rid.bitwiseAND(F.lit((1 << 33) - 1)) / each))
-    written = rows.withColumn("block", block).write.bucketBy(max(1, n_bytes // block_bytes), "block").option("compression", "zstd")
-    written.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.withColumn("block", block), n_bytes // block_bytes)
 
 
 def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:

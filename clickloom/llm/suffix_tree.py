@@ -8,12 +8,12 @@ followers cost, ``follower_cost`` times the log of the vocabulary for each disti
 retained suffix of what precedes it.  A state with n occurrences and t distinct followers gives t / (n + t) to the
 distribution of the longest retained context among its own suffixes, down to the root of single tokens.  The
 root gives types / (tokens + types) to the spelling of words, chains of up to three bytes before (learned from distinct words, those of a
-stretch of texts at a time), which is how unseen words get their share; so the probabilities of all texts sum to 1.
+block at a time), which is how unseen words get their share; so the probabilities of all texts sum to 1.
 
 The work is laid out so that no table of counts is ever in one place:
 
-* Documents are dealt into blocks of about ``block_bytes`` and written once, bucketed by block, so that all later
-  passes find a block where it lies.
+* Neighbouring documents make up blocks of about ``block_bytes``, whose distinct words and tokens are written once, bucketed by block, so
+  that all later passes find a block where it lies.
 * A block hashes its tokens and n-grams, combines equal ones, and sends the sorted distinct keys with their counts
   to key ranges.  A range adds the counts up and answers each block with the totals in the order of its keys.
 * With these, each block adds up the divergence of the contexts it holds; ranges add up again and answer
@@ -37,77 +37,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, staged
-from .exchange import MESSAGE, SENT, answers, exchanged, followed, in_blocks, messages, opened, places, ranked, received, rows_of
+from .exchange import MESSAGE, SENT, answers, bucketed, exchanged, followed, from_bytes, messages, opened, places, ranked, received, rows_of, to_bytes
 
 CONTEXTS, WORDS, GRAMS = 0, 1, 2
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 STEP = 16
-#: Of the spelling: most bytes before, classes they are hashed into, weight of the shorter order, distinct words counted at once.
-ORDERS, CLASSES, PRIOR, TYPES = 3, 1 << 13, 5.0, 200_000
+BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, words array<binary>, ids binary, train_docs long, train_words long"
+#: Of the spelling: most bytes before, classes they are hashed into, weight of the shorter order.
+ORDERS, CLASSES, PRIOR = 3, 1 << 13, 5.0
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text; bytes.lower() and bytes.split() know A-Z and the six ASCII white spaces alone."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+_BLOCK = pa.schema(
+    [
+        ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
+        ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("train_docs", pa.int64()), ("train_words", pa.int64()),
+    ]
+)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all words, with A-Z in lower case.
+
+    Arrow's split knows the six ASCII white spaces alone, as the contract asks; it gives empty words at the ends.
+    """
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))  # casts of slices go wrong in some versions of Arrow
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    every, n = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    good = pc.greater(pc.binary_length(every), 0)
+    before = np.concatenate([[0], np.cumsum(good.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(n)
+    return before[ends] - before[ends - n], every.filter(good)
+
+
+def block_row(number: int, doc_ids: list, held: list[bool], sizes: np.ndarray, words: pa.Array) -> tuple:
+    """A block of documents: its distinct words in the order of their hashes, and its tokens as places among them."""
+    coded = words.dictionary_encode()
+    types = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    order = np.argsort(hashes(types), kind="stable")
+    place = np.empty(len(types), np.int64)
+    place[order] = np.arange(len(types))
+    train = ~np.array(held, bool)
+    ids = place[coded.indices.to_numpy()] if len(types) else np.zeros(0, np.int64)
+    return number, doc_ids, held, sizes.tolist(), [types[i] for i in order], to_bytes(ids), int(train.sum()), int(sizes[train].sum())
+
+
 class Block:
-    """The tokens of a block of documents: for each token its keys by order, as places among the block's distinct keys."""
-
-    def __init__(self, texts: pa.ChunkedArray, train: np.ndarray, depth: int, bits: int):
-        parts, self.words = [], []
-        for text in texts:
-            w = tokens(text.as_py())
-            self.words += w
-            parts += [np.array([START]), hashes(w), np.array([END])]
-        self.lengths = np.array([len(p) for p in parts[1::3]], np.int64) + 1  # with the end token
-        token = np.concatenate(parts)
-        size = self.lengths + 1  # with the start
+    """The tokens of a block of documents, and for each token its keys by order."""
+
+    def __init__(self, row: pa.Table, depth: int, bits: int):
+        of = lambda name: row.column(name)[0]
+        sizes = of("sizes").values.to_numpy().astype(np.int64)
+        self.doc_ids, self.held_out = of("doc_ids").values, of("held_out").values
+        train = ~self.held_out.to_numpy(zero_copy_only=False).astype(bool)
+        self.words = of("words").values.to_pylist()
+        self.names = hashes(self.words)  # in ascending order
+        self.ids = from_bytes(of("ids").as_py(), int(sizes.sum())).astype(np.int64)
+        self.lengths = sizes + 1  # with the end token
+        size = sizes + 2  # and with the start
+        ends = np.cumsum(size)
         self.doc = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)  # 0 at the start
+        self.place = np.arange(int(size.sum())) - np.repeat(ends - size, size)  # 0 at the start
         self.train = train[self.doc]
-        self.is_word = (self.place > 0) & (self.place < size[self.doc] - 1)
-        self.token = token
+        self.is_word = np.ones(len(self.doc), bool)
+        self.is_word[ends - 1] = self.is_word[ends - size] = False
+        self.token = np.empty(len(self.doc), np.uint64)
+        self.token[ends - size], self.token[ends - 1] = START, END
+        self.token[self.is_word] = self.names[self.ids]
         shift = np.uint64(64 - bits)
-        grams, keys = [token], token
+        grams, keys = [self.token], self.token
         for _ in range(depth):
-            before = np.concatenate([keys[:1], keys[:-1]])
-            keys = followed(before, token)
-            grams.append(keys >> shift if bits < 64 else keys)
+            keys = followed(np.concatenate([keys[:1], keys[:-1]]), self.token)
+            grams.append(keys >> shift)
         self.grams = grams  # grams[k] ends at its position and has k + 1 tokens; valid where place >= k
         self.depth, self.bits = depth, bits
 
-    def keys(self, family: int) -> tuple[np.ndarray, np.ndarray]:
-        """All keys of a family, and for each whether it counts as a training occurrence."""
-        if family == WORDS:
-            return self.token[self.is_word], self.train[self.is_word]
-        found = [(self.grams[k][self.place >= k], self.train[self.place >= k]) for k in range(1, self.depth + 1)]
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    def _grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of all n-grams of two tokens or more, and the place of each n-gram among them, by order and position."""
+        return ranked(np.concatenate([self.grams[k][self.place >= k] for k in range(1, self.depth + 1)]), self.bits)[:2]
 
     def counts(self, family: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys in order, and how often each occurs in training texts."""
-        keys, train = self.keys(family)
-        distinct, place, _ = ranked(keys, 64 if family == WORDS else self.bits)
-        return distinct, np.bincount(place[train], minlength=len(distinct))
+        if family == WORDS:
+            return self.names, np.bincount(self.ids[self.train[self.is_word]], minlength=len(self.names))
+        keys, place = self._grams()
+        train = np.concatenate([self.train[self.place >= k] for k in range(1, self.depth + 1)])
+        return keys, np.bincount(place[train], minlength=len(keys))
 
     def placed(self, totals: dict[int, np.ndarray], n_train: int) -> list[np.ndarray]:
         """For each order k from 1 the training occurrences of the k tokens that end at each position."""
         n = len(self.token)
         word = np.full(n, n_train, np.float64)  # starts and ends occur once a training text
-        _, self.type, self.first = ranked(self.keys(WORDS)[0])
-        word[self.is_word] = totals[WORDS][self.type]
+        word[self.is_word] = totals[WORDS][self.ids]
         found, at = [word], 0
-        grams = totals[GRAMS][ranked(self.keys(GRAMS)[0], self.bits)[1]]
+        grams = totals[GRAMS][self._grams()[1]]
         for k in range(1, self.depth + 1):
             valid = self.place >= k
             total = np.zeros(n, np.float64)
@@ -165,47 +200,63 @@ def language_scores(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "held_out", held_out(F.col("doc_id"), 5)
     )
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spelling codes (0 and up), and totals: bytes (-1), texts (-2), training texts (-3), training words (-4)."""
-        total, types = np.zeros(4, np.int64), set()
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbouring documents to blocks."""
+        partition, number = TaskContext.get().partitionId(), 0
+        doc_ids, held, sizes, words, size = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            codes = [(order * CLASSES + c) * 256 + b for order, (_, c, b) in enumerate(spelt_codes(sorted(types)))] if types else [np.zeros(0, np.int64)]
-            used, n = np.unique(np.concatenate(codes), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n, pa.int64())], names=["kind", "n"])
+            key = xxhash.xxh64_intdigest(f"{partition} {number}") - (1 << 63)
+            row = block_row(key, doc_ids, held, np.concatenate(sizes), pa.concat_arrays(words))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
-            for text, out in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = text.as_py() or ""
-                total[0] += len(text.encode("utf-8", "replace"))
-                total[1] += 1
-                if not out:
-                    w = tokens(text)
-                    types.update(w)
-                    total[2] += 1
-                    total[3] += len(w)
-                    if len(types) > TYPES:
-                        yield flush()
-                        types = set()
-        yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, -4], pa.int64()), pa.array(total, pa.int64())], names=["kind", "n"])
-
-    found = rows.select("text", "held_out").mapInArrow(survey, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).toArrow()
-    kinds, counted = (found.column(c).to_numpy() for c in ("kind", "n"))
-    n_bytes, n_rows, n_docs, n_words = (int(counted[kinds == -i].sum()) for i in range(1, 5))
-    if not n_rows:
+            texts, at = batch.column(1), 0
+            grown = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 16)
+            n, found = split(texts)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            while at < len(texts):
+                end = max(at + 1, int(np.searchsorted(grown, (grown[at - 1] if at else 0) + block_bytes - size, "right")))
+                doc_ids += batch.column(0)[at:end].to_pylist()
+                held += batch.column(2)[at:end].to_pylist()
+                sizes.append(n[at:end])
+                words.append(found[int(upto[at]) : int(upto[end])])
+                size += int(grown[end - 1] - (grown[at - 1] if at else 0))
+                at = end
+                if size >= 0.9 * block_bytes:
+                    yield flush()
+                    doc_ids, held, sizes, words, size, number = [], [], [], [], 0, number + 1
+        if doc_ids:
+            yield flush()
+
+    texts = bucketed(rows.select("doc_id", "text", "held_out").mapInArrow(gather, BLOCK), n_bytes // block_bytes)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spelling codes of the words of the training texts of each block."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = Block(pa.table(batch.slice(row, 1)), 0, 64)
+                known = own.counts(WORDS)[1] > 0
+                types = [w for w, k in zip(own.words, known) if k]
+                codes = [(order * CLASSES + c) * 256 + b for order, (_, c, b) in enumerate(spelt_codes(types))] if types else [np.zeros(0, np.int64)]
+                n = np.bincount(np.concatenate(codes))
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["code", "n"])
+
+    n_docs, n_words, n_blocks = texts.agg(F.sum("train_docs"), F.sum("train_words"), F.count("*")).first()
+    if not n_blocks:
         return spark.createDataFrame([], SCORES)
-    codes, n_train = spark.sparkContext.broadcast((kinds[kinds >= 0], counted[kinds >= 0])), n_words + n_docs
+    found = texts.mapInArrow(survey, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    codes, n_train = spark.sparkContext.broadcast(tuple(found.column(c).to_numpy() for c in ("code", "n"))), n_words + n_docs
 
     n_tokens = max(1, n_bytes // 5)
     bits = min(64, max(40, math.ceil(math.log2(n_tokens * depth)) + 20))
     ranges = {WORDS: max(1, n_tokens // (4 * range_keys)), GRAMS: max(1, n_tokens * depth * 3 // (4 * range_keys))}
     key_bits = {WORDS: 64, GRAMS: bits}
-    texts = in_blocks(rows, n_rows, n_bytes, block_bytes)
-
     def parsed(table: pa.Table) -> Block:
-        return Block(table.column("text"), ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool), depth, bits)
+        return Block(table, depth, bits)
 
     def send(table: pa.Table) -> pa.Table:
         own, number, rows = parsed(table), table.column("block")[0].as_py(), []
@@ -261,7 +312,7 @@ def language_scores(
         counts = own.placed({f: received(told, f) for f in (WORDS, GRAMS)}, n_docs)
         spell = Spelling(*codes.value)
         spelt = np.full(len(own.token), spell.log10([b""])[0])  # the end token is spelt as a word without bytes
-        spelt[own.is_word] = spell.log10([own.words[i] for i in own.first])[own.type]
+        spelt[own.is_word] = spell.log10(own.words)[own.ids]
         c = counts[0]
         p = (1 - fresh) * c / max(1, n_train) + fresh * 10**spelt
         log_p = np.where(c > 0, np.log10(np.maximum(p, 1e-300)), math.log10(fresh) + spelt)
@@ -283,8 +334,8 @@ def language_scores(
         total = lambda x: np.bincount(own.doc[real], x[real], len(own.lengths))
         return pa.table(
             {
-                "doc_id": table.column("doc_id"),
-                "held_out": table.column("held_out"),
+                "doc_id": own.doc_ids,
+                "held_out": own.held_out,
                 "n_tokens": pa.array(own.lengths, pa.int64()),
                 "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(own.lengths), n_train, np.int64)),

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clickloom.llm import exchange, suffix_tree
@@ -155,6 +156,14 @@ def test_integers_as_bytes():
         assert (exchange.from_bytes(exchange.to_bytes(x), len(x)) == x).all()
 
 
+def test_words_of_slices():
+    texts = [f"W{i} the\x0b{'a b ' * (i % 30)}\t" for i in range(40)] + [None, "", " ", "é ü　ß\x1cx \n"]
+    for a, b in ((0, 44), (8, 14), (5, 6), (30, 44)):
+        n, found = suffix_tree.split(pa.array(texts)[a:b])
+        plain = [words(t) for t in texts[a:b]]
+        assert n.tolist() == [len(w) for w in plain] and [w.encode() for w in found.to_pylist()] == [x for w in plain for x in w]
+
+
 def test_ranks_of_keys():
     rng = np.random.default_rng(6)
     close = (rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(60)) | rng.integers(0, 40, 500).astype(np.uint64)  # alike in their leading bits
