@@ -20,6 +20,8 @@
    ``exact`` (0.8) of the passage, or covers ``paraphrase`` (0.6) and the answer, the last third of
    the item's words, is covered by 0.6 as well.  Items under eight words must be covered whole.
 
+A benchmark of more than ``block_bytes`` of text is searched in blocks, each with a space of its own, so that what is broadcast is bounded.
+
 Words are runs of letters, digits and non-ASCII characters, with A-Z in lower case.
 
 Defined cases: a null or empty text has no windows and no leak; an item that is null or has no
@@ -112,10 +114,17 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return found[:CELLS], int(found[CELLS])
 
 
-def _item_passages(benchmark: DataFrame) -> list[tuple[int, list[bytes], list[bytes]]]:
-    """(item_id, words of a passage, words of the item's answer): the stated query set."""
+def query_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts of about ``block_bytes`` of text: one part is what a task and the driver hold at once."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items] * n
+
+
+def _item_passages(items: DataFrame) -> list[tuple[int, list[bytes], list[bytes]]]:
+    """(item_id, words of a passage, words of the item's answer): one block of the stated query set."""
     found = []
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().collect():
+    for r in items.select("item_id", "text").distinct().collect():
         w = tokens(r["text"])
         if r["item_id"] is None or not w:
             continue
@@ -209,13 +218,16 @@ class LatentIndex:
         return float(x @ self.latent[j] / max(float(np.linalg.norm(x)), 1e-12))
 
 
-def fit_index(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, rounds: int = 2, seed: int = 11
-) -> LatentIndex | None:
-    """The latent space and the benchmark in it; None without a benchmark."""
-    items = _item_passages(benchmark)
-    if not items:
-        return None
+def fit_indexes(
+    docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, rounds: int = 2, seed: int = 11, block_bytes: int = 8 << 20
+) -> list[LatentIndex]:
+    """A latent space with each block of the benchmark in it; none without a benchmark.
+
+    Passage frequencies are those of all documents; the space is fitted on about ``fit_documents`` rows, however often an id is repeated.
+    """
+    found = [x for x in map(_item_passages, query_blocks(benchmark, block_bytes)) if x]
+    if not found:
+        return []
     frequency, n = passage_frequencies(docs)
     idf = np.log((n + 1) / (frequency + 1)) + 0.1
     n_docs = max(1, docs.count())
@@ -234,22 +246,26 @@ def fit_index(
                 [pa.array([u.tolist() for u, _ in weighted], kinds[0]), pa.array([w.tolist() for _, w in weighted], kinds[1])], names=["cells", "weights"]
             )
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_docs)) < fit_documents).select(F.col("text").cast("string"))
+    row = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    chosen = docs.where(F.pmod(row, F.lit(n_docs)) < fit_documents).select(F.col("text").cast("string"))
     schema = "cells array<long>, weights array<double>"
     sample = staged(chosen.mapInArrow(rows, schema), "passages")
-    queries = []
-    for _, w, _ in items:
-        u, k = np.unique(cells(w), return_counts=True)
-        x = k * idf[u]
-        queries.append((u, x / np.linalg.norm(x)))
-    scale = float(np.sqrt(max(1, sample.count()) / len(queries)))
-    own = docs.sparkSession.createDataFrame([(u.tolist(), (scale * x).tolist()) for u, x in queries], schema)
-    passages = staged(sample.union(own).coalesce(8), "passages")
-    q = np.random.default_rng(seed).standard_normal((CELLS, min(rank, CELLS)), np.float32)
-    for _ in range(rounds):
-        q = orthonormal(_products(passages, q))
-    q *= idf[:, None].astype(np.float32)
-    return LatentIndex(q, items, idf)
+    n_sample = max(1, sample.count())
+
+    def fit(items: list[tuple[int, list[bytes], list[bytes]]]) -> LatentIndex:
+        queries, scale = [], float(np.sqrt(n_sample / len(items)))
+        for _, w, _ in items:
+            u, k = np.unique(cells(w), return_counts=True)
+            x = k * idf[u]
+            queries.append((u.tolist(), (scale * x / np.linalg.norm(x)).tolist()))
+        passages = staged(sample.union(docs.sparkSession.createDataFrame(queries, schema)).coalesce(8), "passages")
+        q = np.random.default_rng(seed).standard_normal((CELLS, min(rank, CELLS)), np.float32)
+        for _ in range(rounds):
+            q = orthonormal(_products(passages, q))
+        q *= idf[:, None].astype(np.float32)
+        return LatentIndex(q, items, idf)
+
+    return [fit(items) for items in found]
 
 
 def _masks(words: list[bytes]) -> dict[bytes, int]:
@@ -421,23 +437,21 @@ def leaks(text: Column, index: LatentIndex, spark, cosine: float = 0.68, exact:
     return F.arrow_udf(found, HITS)(text.cast("string"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, **search) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, block_bytes: int = 8 << 20, **search) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, word): one row per document id and benchmark item found in it."""
-    index = fit_index(docs.select("doc_id", "text"), benchmark, rank, fit_documents)
     spark = docs.sparkSession
-    if index is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer double, word long")
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(F.col("text"), index, spark, **search)).alias("hit"))
+    hits = spark.createDataFrame([], f"doc_id long, hit {HITS[6:-1]}")
+    for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, fit_documents, block_bytes=block_bytes):
+        hits = hits.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(F.col("text"), index, spark, **search)).alias("hit")))
     best = F.max(F.struct("hit.lcs", "hit.cosine", "hit.answer", "hit.word")).alias("best")
     return hits.groupBy("doc_id", F.col("hit.item_id").alias("item_id")).agg(best).select(
         "doc_id", "item_id", "best.cosine", "best.lcs", "best.answer", "best.word"
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, **search) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, block_bytes: int = 8 << 20, **search) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay."""
-    index = fit_index(docs.select("doc_id", "text"), benchmark, rank, fit_documents)
-    if index is None:
-        return docs
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.where(F.size(leaks(F.col("row.text"), index, docs.sparkSession, **search)) == 0).select("row.*")
+    for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, fit_documents, block_bytes=block_bytes):
+        rows = rows.where(F.size(leaks(F.col("row.text"), index, docs.sparkSession, **search)) == 0)
+    return rows.select("row.*")

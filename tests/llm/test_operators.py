@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import components, decontaminate, quality, simhash
+from clickloom.llm import components, quality, simhash
 
 from .tables import SCHEMA, documents, sentence
 
@@ -120,74 +120,7 @@ def test_repeated_and_null_ids_leave_one(spark):
     assert simhash.drop_near_duplicates(documents(spark, [t] * 3, ids=[None] * 3)).count() == 1
 
 
-# decontamination
-
-
-def test_decontamination(spark, empty):
-    rng = np.random.default_rng(9)
-    vocabulary = ["".join(rng.choice(list("aeioubdglmnrst"), int(n))) for n in rng.integers(3, 9, 900)]
-    words = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
-    items = [words(int(n)) for n in rng.integers(15, 60, 12)]
-    paraphrase = [w for i, w in enumerate(items[2]) if i % 6 != 3]
-    texts = [" ".join(words(150)) for _ in range(60)]
-    texts[4] += " " + " ".join(items[0]) + " " + " ".join(words(90))
-    texts[9] = " ".join(items[1]).upper() + ". " + texts[9]
-    texts[20] += " " + " ".join(paraphrase) + " " + " ".join(words(40))
-    docs = documents(spark, [*texts, None, "", " ".join(items[5])])
-    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(98, None), (99, "")], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
-    assert found == {(4, 0), (9, 1), (20, 2), (62, 5)}
-    kept = decontaminate.drop_contaminated(docs, benchmark)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(63)) - {4, 9, 20, 62}
-    assert decontaminate.contaminated(docs, benchmark.where("item_id > 90")).count() == 0
-    assert decontaminate.contaminated(empty, benchmark).count() == 0
-
-
-def test_decontamination_finds_every_copy_of_a_large_benchmark(spark):
-    rng = np.random.default_rng(19)
-    vocabulary = ["".join(rng.choice(list("aeioubdglmnrst"), int(n))) for n in rng.integers(3, 9, 3000)]
-    share = 1 / np.arange(3, 3003)
-    words = lambda n: [str(w) for w in rng.choice(vocabulary, n, p=share / share.sum())]
-    items = [words(int(n)) for n in rng.integers(8, 130, 1500)]
-    texts = [words(int(n)) for n in rng.integers(80, 200, 66)]
-    for i, text in enumerate(texts[:60]):
-        copy = items[20 * i] if i % 3 else [w for w in items[20 * i] if rng.random() > 0.2]
-        at = int(rng.integers(0, len(text)))
-        text[at:at] = copy
-    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontaminate.contaminated(documents(spark, [" ".join(t) for t in texts]), benchmark).collect()}
-
-    expected: dict = {}
-    spelled = [[w.encode() for w in t] for t in texts]
-    for item_id, passage, answer in decontaminate._item_passages(benchmark):
-        masks, n = decontaminate._masks(passage), len(passage)
-        size = n + n // 4 + 2
-        for k, text in enumerate(spelled):
-            if decontaminate.common_subsequence(masks, n, text) / n < 0.8:
-                continue  # the whole text holds less
-            best = max(decontaminate.common_subsequence(masks, n, text[at : at + size]) / n for at in range(len(text)))
-            if best >= 0.8:
-                expected[k, item_id] = max(best, expected.get((k, item_id), 0))
-    assert {(i, 20 * i) for i in range(60) if i % 3} <= set(expected) <= set(found)
-    assert all(found[x] == y for x, y in expected.items())
-
-
-def test_common_subsequence():
-    def plain(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            before = row[:]
-            for j, y in enumerate(b):
-                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
-        return row[-1]
-
-    rng = np.random.default_rng(10)
-    for _ in range(50):
-        a, b = ([bytes([65 + int(x)]) for x in rng.integers(0, 5, int(n))] for n in rng.integers(1, 30, 2))
-        assert decontaminate.common_subsequence(decontaminate._masks(a), len(a), b) == plain(a, b)
-
-
-# components and the pipeline
+# components
 
 
 def test_components_of_a_long_path(spark):
@@ -195,14 +128,3 @@ def test_components_of_a_long_path(spark):
     found = {r["node"]: r["component"] for r in components.components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components.components(edges.where("a < 0")).count() == 0
-
-
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secret_scan", "packing"]
-    rows = corpus_pipeline.run(spark, sf).collect()
-    ids = {r["doc_id"] for r in rows}
-    assert rows and ids <= {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
