@@ -49,16 +49,17 @@ from .exchange import MESSAGE, SENT, answers, bucketed, exchanged, followed, fro
 CONTEXTS, WORDS, GRAMS = 0, 1, 2
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 STEP = 16
-BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, words array<binary>, ids binary, train_docs long, train_words long"
+BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, words binary, ids binary, train_docs long, train_words long"
 #: Of the spelling: most bytes before, classes they are hashed into, weight of the shorter order.
-ORDERS, CLASSES, PRIOR = 3, 1 << 13, 5.0
+ORDERS, CLASS_BITS, PRIOR = 3, 13, 5.0
+CLASSES = 1 << CLASS_BITS
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
-        ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("train_docs", pa.int64()), ("train_words", pa.int64()),
+        ("words", pa.binary()), ("ids", pa.binary()), ("train_docs", pa.int64()), ("train_words", pa.int64()),
     ]
 )
 
@@ -85,13 +86,15 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def block_row(number: int, doc_ids: list, held: list[bool], sizes: np.ndarray, words: pa.Array) -> tuple:
     """A block of documents: its distinct words in the order of their hashes, and its tokens as places among them."""
     coded = words.dictionary_encode()
-    types = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    data, ends = coded.dictionary.buffers()[2], np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    types = [data[a:b] for a, b in zip(ends, ends[1:])]
     order = np.argsort(hashes(types), kind="stable")
     place = np.empty(len(types), np.int64)
     place[order] = np.arange(len(types))
     train = ~np.array(held, bool)
     ids = place[coded.indices.to_numpy()] if len(types) else np.zeros(0, np.int64)
-    return number, doc_ids, held, sizes.tolist(), [types[i] for i in order], to_bytes(ids), int(train.sum()), int(sizes[train].sum())
+    return number, doc_ids, held, sizes.tolist(), b" ".join([types[i] for i in order]), to_bytes(ids), int(train.sum()), int(sizes[train].sum())
 
 
 class Block:
@@ -102,7 +105,7 @@ class Block:
         sizes = of("sizes").values.to_numpy().astype(np.int64)
         self.doc_ids, self.held_out = of("doc_ids").values, of("held_out").values
         train = ~self.held_out.to_numpy(zero_copy_only=False).astype(bool)
-        self.words = of("words").values.to_pylist()
+        self.words = of("words").as_py().split(b" ") if len(self.doc_ids) and sizes.sum() else []
         self.names = hashes(self.words)  # in ascending order
         self.ids = from_bytes(of("ids").as_py(), int(sizes.sum())).astype(np.int64)
         self.lengths = sizes + 1  # with the end token
@@ -156,20 +159,20 @@ class Block:
         return at, followed(np.full(len(at), k, np.uint64), self.grams[k - 1][at - 1]) >> np.uint64(64 - self.bits)
 
 
-def spelt_codes(types: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1 to 3: where in the joined words it holds, and class of the bytes before and byte, of a word and the space after it.
+def spelt_codes(types: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1 to 3: which bytes of the joined words have so many before them, and codes of those and of the byte.
 
-    Words are joined by spaces; a word's history begins with the space before it.
+    Words are joined by spaces; a word's history begins with the space before it.  Histories of more than one byte are hashed.
     """
-    raw = np.frombuffer(b" " + b" ".join(types) + b" ", np.uint8).astype(np.int64)
-    size = np.array([len(x) + 1 for x in types], np.int64)
-    place = np.arange(len(raw) - 1) - np.repeat(np.cumsum(size) - size, size)
+    raw = np.frombuffer(b" " + b" ".join(types) + b" ", np.uint8).astype(np.uint32)
+    size = np.array([len(x) + 1 for x in types], np.int32)
+    place = np.arange(len(raw) - 1, dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
+    before, byte, history = raw[:-1], raw[1:].astype(np.int32), raw[:-1].copy()
     for order in range(1, ORDERS + 1):
-        at = np.nonzero(place >= order - 1)[0]
-        history = raw[at]
-        for i in range(1, order):
-            history = history | raw[at - i] << 8 * i
-        yield at, history if order == 1 else (history * 0x9E3779B1 >> 7) & (CLASSES - 1), raw[at + 1]
+        if order > 1:
+            history[order - 1 :] |= before[: len(before) - order + 1] << np.uint32(8 * (order - 1))
+        classes = history if order == 1 else history * np.uint32(0x9E3779B1) >> np.uint32(32 - CLASS_BITS)
+        yield place >= order - 1, (classes.astype(np.int32) + np.int32((order - 1) * CLASSES)) * np.int32(256) + byte
 
 
 class Spelling:
@@ -178,7 +181,7 @@ class Spelling:
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         self.counts = np.zeros(ORDERS * CLASSES * 256, np.float32)
         self.counts[codes] = counts
-        self.totals = self.counts.reshape(ORDERS, CLASSES, 256).sum(axis=2)
+        self.totals = self.counts.reshape(ORDERS * CLASSES, 256).sum(axis=1)
 
     def log10(self, types: list[bytes]) -> np.ndarray:
         """log10 probability of each word and the space that closes it."""
@@ -186,9 +189,8 @@ class Spelling:
             return np.zeros(0)
         size = np.array([len(x) + 1 for x in types], np.int64)
         p = np.full(int(size.sum()), 1 / 256)
-        for order, (at, classes, byte) in enumerate(spelt_codes(types)):
-            own = self.counts[(order * CLASSES + classes) * 256 + byte]
-            p[at] = (own + PRIOR * p[at]) / (self.totals[order, classes] + PRIOR)
+        for valid, codes in spelt_codes(types):
+            p = np.where(valid, (self.counts[codes] + PRIOR * p) / (self.totals[codes >> 8] + PRIOR), p)
         return np.add.reduceat(np.log10(p), np.cumsum(size) - size)
 
 
@@ -215,14 +217,13 @@ def language_scores(
         for batch in batches:
             texts, at = batch.column(1), 0
             grown = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 16)
-            n, found = split(texts)
-            upto = np.concatenate([[0], np.cumsum(n)])
             while at < len(texts):
                 end = max(at + 1, int(np.searchsorted(grown, (grown[at - 1] if at else 0) + block_bytes - size, "right")))
                 doc_ids += batch.column(0)[at:end].to_pylist()
                 held += batch.column(2)[at:end].to_pylist()
-                sizes.append(n[at:end])
-                words.append(found[int(upto[at]) : int(upto[end])])
+                n, found = split(texts[at:end])
+                sizes.append(n)
+                words.append(found)
                 size += int(grown[end - 1] - (grown[at - 1] if at else 0))
                 at = end
                 if size >= 0.9 * block_bytes:
@@ -240,7 +241,7 @@ def language_scores(
                 own = Block(pa.table(batch.slice(row, 1)), 0, 64)
                 known = own.counts(WORDS)[1] > 0
                 types = [w for w, k in zip(own.words, known) if k]
-                codes = [(order * CLASSES + c) * 256 + b for order, (_, c, b) in enumerate(spelt_codes(types))] if types else [np.zeros(0, np.int64)]
+                codes = [c[valid] for valid, c in spelt_codes(types)] if types else [np.zeros(0, np.int32)]
                 n = np.bincount(np.concatenate(codes))
                 used = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["code", "n"])

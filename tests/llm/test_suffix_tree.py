@@ -19,7 +19,7 @@ START, END = b"<", b">"
 def history_class(h):
     """Histories of two or three bytes share classes; those of one byte have their own."""
     x = int.from_bytes(h, "big")
-    return len(h), x if len(h) == 1 else x * 0x9E3779B1 >> 7 & (suffix_tree.CLASSES - 1)
+    return len(h), x if len(h) == 1 else (x * 0x9E3779B1 & 0xFFFFFFFF) >> 19
 
 
 class Plain:
