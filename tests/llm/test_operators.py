@@ -1,9 +1,7 @@
 """Each text operator against a plain version on small tables, with nulls, empty texts, ties and clashing columns."""
 
-import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from itertools import combinations
 
