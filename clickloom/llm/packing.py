@@ -85,19 +85,34 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
     if not plain or spec.get("normalizer") or before.get("use_regex") is False or model.get("continuing_subword_prefix"):
         return None
-    # byte-level files write each byte as a printable character: itself where it is one, else the next from 256
-    shown = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
-    hidden = [b for b in range(256) if b not in shown.values()]
-    shown |= {chr(256 + i): b for i, b in enumerate(hidden)}
     added = {x["content"] for x in spec.get("added_tokens") or ()}
     vocab = {k: v for k, v in model["vocab"].items() if k not in added}
     merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     order = [vocab[m] for m in merges]
     if order != sorted(order) or len(vocab) != len(merges) + 256:
         return None
+    shown = _shown()
     return {bytes(shown[c] for c in k): v for k, v in vocab.items()}
 
 
+def _shown() -> dict[str, int]:
+    """Byte-level files write each byte as a printable character: itself where it is one, else the next from 256."""
+    shown = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    hidden = [b for b in range(256) if b not in shown.values()]
+    return shown | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def byte_tokens(tokenizer: str) -> list[bytes]:
+    """The bytes of each id of a byte-level file; those of an added token are its text, and an id without a token has none."""
+    import public_tokenizers
+
+    with open(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+        spec = json.load(f)
+    shown, added = _shown(), {x["id"]: x["content"].encode() for x in spec.get("added_tokens") or ()}
+    plain = {v: bytes(shown[c] for c in k) for k, v in spec["model"]["vocab"].items() if v not in added} | added
+    return [plain.get(i, b"") for i in range(max(plain) + 1)]
+
+
 def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of each document, with the checksum of their ids."""
 

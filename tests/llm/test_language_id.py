@@ -1,0 +1,109 @@
+"""Language prediction: vectors against their definition, and held-out accuracy."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from clickloom.llm import language_id
+from clickloom.llm.language_id import bundles, in_blocks, languages, letter_vectors, prototypes, sequences, vectors
+
+from .tables import SCHEMA
+
+SYLLABLES = {"en": "the ing and er tion ly", "de": "sch ung ein ch er keit ü", "fr": "eau ou ai ré tion é", "es": "ción ar os la que ñ"}
+
+
+def text_of(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang].split(), rng.integers(1, 4))) for _ in range(n))
+
+
+def brute_vector(text, dim):
+    """N-gram by n-gram, with signs instead of bits."""
+    codes = [32]
+    for c in text.lower():
+        code = ord(c) if c.isalpha() else 32
+        if code != 32 or codes[-1] != 32:
+            codes.append(code)
+    if codes[-1] != 32:
+        codes.append(32)
+    bits = np.unpackbits(letter_vectors(np.array(codes), dim).view(np.uint8), axis=1).reshape(len(codes), dim)
+    signs, total = 1 - 2 * bits.astype(int), np.zeros(dim)
+    for order in (1, 2, 3):
+        for end in range(1, len(codes)):
+            if end - order + 1 < 0 or order == 1 and codes[end] == 32:
+                continue
+            gram = np.ones(dim, int)
+            for back in range(order):
+                gram *= np.roll(signs[end - back], 64 * back)
+            total += gram
+    return total
+
+
+def test_vectors_are_bundles_of_bound_ngrams(monkeypatch):
+    texts = ["Über die Straße", "", None, "a", "  12 x-y  ", "ñandú 東京 tower", "the the the", "İstanbul", "z" * 50]
+    for chars in (1 << 20, 7, 3):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", chars)
+        for slice_of in (1 << 23, 512):
+            monkeypatch.setattr(language_id, "SLICE", slice_of)
+            rows = [(v, n) for found, letters in vectors(iter(texts), 128) for v, n in zip(found, letters)]
+            assert len(rows) == len(texts)
+            for t, (v, n) in zip(texts, rows):
+                assert (v == brute_vector(t or "", 128)).all()
+                assert n == sum(c.isalpha() for c in (t or "").lower())
+
+
+def test_places_by_sorting_and_by_table(monkeypatch):
+    parts = list(sequences("Das ist ein Test mit Wörtern"))
+    one = bundles(parts, np.zeros(len(parts), int), 1, 64)
+    monkeypatch.setattr(language_id, "TABLE", 0)
+    assert (bundles(parts, np.zeros(len(parts), int), 1, 64) == one).all()
+
+
+def test_blocks_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK_TEXTS", 2)
+    owners = [int(i) for _, of, _ in in_blocks(iter(["a", None, "b c", "", "d"])) for i in of]
+    assert owners == [0, 1, 2, 3, 4]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(4)
+    return [(i, text_of(rng, x := list(SYLLABLES)[i % 4], int(rng.integers(4, 60))), x) for i in range(400)]
+
+
+def test_held_out_accuracy_and_columns(spark, rows):
+    found = languages(spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, lang string, score double, at int")).collect()
+    assert [c for c in found[0].asDict()] == ["doc_id", "held_out", "lang_pred", "score"]
+    want, out = {i: x for i, _, x in rows}, [r for r in found if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+    assert len(found) == 400 and all(0 <= r["score"] <= 1 for r in found)
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in out) >= 0.97 * len(out)
+
+
+def test_held_out_rows_and_rows_without_language_teach_nothing(spark, rows):
+    kind = "doc_id long, text string, lang string"
+    plain = {r["doc_id"]: r for r in languages(spark.createDataFrame(rows, kind)).collect()}
+    changed = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 5 == 0 else x) for i, t, x in rows] + [(None, "zzz qqq", "yy"), (500, "the and", None)]
+    again = languages(spark.createDataFrame(changed, kind)).collect()
+    assert {r["doc_id"]: r for r in again if r["doc_id"] is not None and r["doc_id"] < 500} == plain
+    assert not {r["lang_pred"] for r in again} & {"xx", "yy"}
+
+
+def test_defined_cases(spark, rows):
+    kind = "doc_id long, text string, lang string"
+    odd = [(900, None, "en"), (901, "", "en"), (902, "12 !? €", "en"), (903, "x" * 3_000_000 + " the ing", None), (None, "the ing and", "en"), (904, "kyx wvu", ""), (904, "kyx wvu", "")]
+    found = [r for r in languages(spark.createDataFrame(rows + odd, kind)).collect() if r["doc_id"] is None or r["doc_id"] >= 900]
+    assert len(found) == len(odd)
+    by = {r["doc_id"]: r for r in found}
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (900, 901, 902))
+    assert by[903]["lang_pred"] in SYLLABLES and by[None]["held_out"] is False and by[None]["lang_pred"] == "en"
+    nothing = languages(spark.createDataFrame([(1, "the and", None)], kind)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
+    assert languages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(f"l{i}", "the") for i in range(6)], "lang string, text string")
+    assert prototypes(docs, 64)[0] == [f"l{i}" for i in range(6)]
+    with pytest.raises(ValueError, match="lang"):
+        prototypes(docs, 64, max_languages=5)
