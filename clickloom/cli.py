@@ -32,23 +32,24 @@ def options(arguments: list[str] | None = None) -> RunOptions:
 
 
 def run(spark: SparkSession, o: RunOptions):
-    """(fitted model, metrics table) of a run; parameters are written if a prefix is given."""
-    serps, rejected = read_click_log(spark, o.raw_path, o.max_sessions)
-    read, tested = Observation("read"), Observation("tested")  # counted as the tables are written
+    """(fitted model, metrics table, counts of what was read) of a run; parameters are written if a prefix is given."""
+    parsed, read, tested = Observation("parsed"), Observation("read"), Observation("tested")  # counted as the tables are written
+    serps, _ = read_click_log(spark, o.raw_path, o.max_sessions, parsed)
     pages = written(serps.observe(read, F.count(F.lit(1)).alias("n")), "serps")
     train, test = prepare.split(pages, o.test_share)
     kept = written(prepare.filter_test(train, test).observe(tested, F.count(F.lit(1)).alias("n")), "test")
-    n, n_train = read.get["n"], prepare.n_train(read.get["n"], o.test_share)
-    print(f"train {n_train} pages, test {tested.get['n']} of {n - n_train}, rejected {rejected.count()} lines")
+    counts = dict(parsed.get) | {"n_train": prepare.n_train(read.get["n"], o.test_share), "n_test": tested.get["n"]}
     fitted = fit(make_model(o.model), train, o.iterations)
     write_parameters(fitted, o.output)
-    return fitted, report(kept, fitted)
+    return fitted, report(kept, fitted), counts
 
 
 def main() -> None:
     o = options()
     spark = SparkSession.builder.appName(f"clickloom-{o.job_id}").getOrCreate()
-    run(spark, o)[1].show(50, truncate=False)
+    _, metrics, n = run(spark, o)
+    print(f"read {n['n_queries']} queries in {n['n_lines']} lines, rejected {n['n_rejected']}; train {n['n_train']} pages, test {n['n_test']}")
+    metrics.show(50, truncate=False)
 
 
 if __name__ == "__main__":

@@ -3,8 +3,9 @@
 PBM and UBM posteriors depend on one impression at a time, so training pages are first counted by
 (query, document, examination cell, click): each EM round then reads that table, whose size is
 that of the distinct cases, and never the log again.  CCM and DBN couple the ranks of a
-page; equal pages (query, documents, clicks) are counted once, and rounds work on blocks of
-[pages, 10] numbers in NumPy, since their recursions nest two deep over ranks.
+page: their statistics are the dictionary of page lists with the numbers of its click patterns, and rounds work on blocks of
+[cases, 10] numbers in NumPy, since their recursions nest two deep over ranks.  A block adds up its posteriors by query and
+document before rows leave it.
 
 Parameters are a table (kind, query_id, doc_id, num, den): ``ATTRACT`` and ``SATISFY`` by query and document,
 ``PUBLIC`` with the cell's number in doc_id.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from clickloom.config import RANKS
 from clickloom.functions.clicks import previous_clicks, slot, value
+from clickloom.operators.lists import ATTRACT, PUBLIC, SATISFY, ListBlock, list_values, page_lists
 
-ATTRACT, SATISFY, PUBLIC = 0, 1, 2
 PRIOR_NUM, PRIOR_DEN = 1.0, 2.0
 THETA = "kind int, query_id int, doc_id int, num double, den double"
 
@@ -37,7 +38,7 @@ class ClickModel:
 
     def statistics(self, train: DataFrame) -> DataFrame:
         """What EM rounds read: the distinct cases of the training pages and their numbers."""
-        return train.groupBy("query_id", "docs", "clicks").agg(F.count("*").alias("n"))
+        raise NotImplementedError
 
     def posteriors(self, statistics: DataFrame, theta: DataFrame, public: list[float]) -> DataFrame:
         """E-step: (kind, query_id, doc_id, num, den) to be summed."""
@@ -52,25 +53,6 @@ class ClickModel:
         raise NotImplementedError
 
 
-def private_values(theta: DataFrame) -> DataFrame:
-    """(query_id, doc_id, a, s): the values of each pair."""
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, value(F.col("num"), F.col("den"))))
-    return theta.where(F.col("kind") != PUBLIC).groupBy("query_id", "doc_id").agg(of(ATTRACT).alias("a"), of(SATISFY).alias("s"))
-
-
-def with_values(pages: DataFrame, theta: DataFrame) -> DataFrame:
-    """``pages`` with the arrays ``a`` and ``s`` of its documents' values; 0.5 for unseen pairs.
-
-    Values are joined by query and document to the distinct document lists, so neither a query of many documents nor one of
-    many pages gathers in a row, and a list's ten ranks are put together again by map-side maxima.
-    """
-    lists = pages.select("query_id", "docs").distinct()
-    cells = lists.select("query_id", "docs", F.posexplode("docs").alias("rank", "doc_id"))
-    known = cells.join(private_values(theta), ["query_id", "doc_id"], "left")
-    at = lambda c: F.array(*[F.coalesce(F.max(F.when(F.col("rank") == r, F.col(c))), F.lit(0.5)) for r in range(RANKS)]).alias(c)
-    return pages.join(known.groupBy("query_id", "docs").agg(at("a"), at("s")), ["query_id", "docs"])
-
-
 def block(column: pa.Array, kind=float) -> np.ndarray:
     """An array column of ten numbers a row as [rows, 10]."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, RANKS)
@@ -150,20 +132,25 @@ class UBM(_Separable):
             "query_id", F.col("x.docs").alias("doc_id"), F.col("x.cells").alias("cell"), F.col("x.clicks").alias("click"), F.when(later, 0).otherwise(1).alias("counts")
         )
 
-    def posteriors(self, statistics, theta, public):
-        rows = super().posteriors(statistics, theta, public)
+    def statistics(self, train: DataFrame) -> DataFrame:
+        rows = super().statistics(train)
         if self.unset == "zero":
             return rows
-        # every page has RANKS impressions; cells it does not meet hold the prior
-        pages = (statistics.agg(F.sum("n")).first()[0] or 0) / RANKS
-        met = statistics.groupBy("cell").agg(F.sum("n_cell").alias("met"))
-        every = statistics.sparkSession.range(self.public).select(F.col("id").cast("int").alias("cell"))
-        unmet = every.join(met, "cell", "left").select("cell", (F.lit(pages) - F.coalesce("met", F.lit(0))).alias("k"))
-        extra = unmet.select(
-            F.lit(PUBLIC).alias("kind"), F.lit(None).cast("int").alias("query_id"), F.col("cell").alias("doc_id"),
-            (F.col("k") * PRIOR_NUM).cast("double").alias("num"), (F.col("k") * PRIOR_DEN).cast("double").alias("den"),
-        )
-        return rows.unionByName(extra)
+        # rows without a click hold in n_cell how many pages don't meet a cell
+        met = self._cases(train).groupBy("cell").agg(F.sum("counts").alias("met"))
+        every = train.sparkSession.range(self.public).select(F.col("id").cast("int").alias("cell"))
+        none = [F.lit(None).cast("int").alias(c) for c in ("query_id", "doc_id")]
+        unmet = F.lit(train.count()) - F.coalesce("met", F.lit(0))
+        return rows.unionByName(every.join(met, "cell", "left").select(*none, "cell", F.lit(None).cast("int").alias("click"), F.lit(0).cast("long").alias("n"), unmet.alias("n_cell")))
+
+    def posteriors(self, statistics, theta, public):
+        if self.unset == "zero":
+            return super().posteriors(statistics, theta, public)
+        times = lambda x: (F.col("n_cell") * x).cast("double")
+        unmet = statistics.where("click is null").select(
+            F.lit(PUBLIC).alias("kind"), "query_id", F.col("cell").alias("doc_id"), times(PRIOR_NUM).alias("num"), times(PRIOR_DEN).alias("den")
+        )
+        return super().posteriors(statistics.where("click is not null"), theta, public).unionByName(unmet)
 
     def _cell(self, rank: int, previous: int) -> int:
         return rank * 10 + previous if self.exact_slots else rank * (rank + 1) // 2 + previous
@@ -251,43 +238,40 @@ class _Cascade(ClickModel):
             car[:, r] = a[:, r] + (1 - a[:, r]) * g[0] * car[:, r + 1]
         return exam, car
 
+    def statistics(self, train: DataFrame) -> DataFrame:
+        return page_lists(train)
+
     def posteriors(self, statistics: DataFrame, theta: DataFrame, public: list[float]) -> DataFrame:
         g = np.array(public)
-        pages = with_values(statistics, theta).select("query_id", "docs", "clicks", "n", "a", "s")
 
         def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q, n = batch.column(0).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(float)
-                docs, c = block(batch.column(1), np.int64), block(batch.column(2), np.int64)
-                a, s = block(batch.column(4)), block(batch.column(5))
-                atr, sat, shared = self.entries(a, s, c, g)
-                kinds, queries, keys, nums, dens = [], [], [], [], []
-                for kind, pair in ((ATTRACT, atr), (SATISFY, sat)):
-                    if pair is not None:
-                        used = pair[1] > 0
-                        kinds.append(np.full(used.sum(), kind))
-                        queries.append(np.repeat(q, RANKS).reshape(used.shape)[used])
-                        keys.append(docs[used])
-                        nums.append((pair[0] * n[:, None])[used])
-                        dens.append((pair[1] * n[:, None])[used])
-                for k, (num, den) in enumerate(shared):
-                    for column, x in ((kinds, PUBLIC), (queries, -1), (keys, k), (nums, float(num @ n)), (dens, float(den @ n))):
-                        column.append(np.array([x]))
-                query = np.concatenate(queries)
-                columns = [
-                    pa.array(np.concatenate(kinds), pa.int32()),
-                    pa.array(query, pa.int32(), mask=query < 0) if (q >= 0).all() else pa.array(query, pa.int32()),
-                    pa.array(np.concatenate(keys), pa.int32()),
-                    pa.array(np.concatenate(nums), pa.float64()),
-                    pa.array(np.concatenate(dens), pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "query_id", "doc_id", "num", "den"])
-
-        found = pages.mapInArrow(e_step, THETA)
+                if batch.num_rows:
+                    yield self._summed(ListBlock(batch), g)
+
+        found = list_values(statistics, theta).mapInArrow(e_step, THETA)
         return found.withColumn("query_id", F.when(F.col("kind") != PUBLIC, F.col("query_id")))
 
+    def _summed(self, lists: ListBlock, g: np.ndarray) -> pa.RecordBatch:
+        """Posteriors of a block of lists: a row for each kind and (query, document), and one for each public value."""
+        sums, public = np.zeros((2 * len(self.kinds), *lists.a.shape)), np.zeros((self.public, 2))
+        for own, row, starts, clicks, n in lists.chunks():
+            attract, satisfy, shared = self.entries(lists.a[row], lists.s[row], clicks, g)
+            for k, x in enumerate([*attract, *(satisfy or ())]):
+                sums[k, own] = np.add.reduceat(x * n[:, None], starts, axis=0)
+            public += [[float(x @ n) for x in pair] for pair in shared]
+        keys, place = np.unique(((lists.query[:, None] << 32) + (lists.docs + (1 << 31))).ravel(), return_inverse=True)
+        nums, dens = ([np.bincount(place, sums[2 * k + i].ravel(), len(keys)) for k in range(len(self.kinds))] for i in (0, 1))
+        used = [den > 0 for den in dens]
+        query, doc = keys >> 32, (keys & ((1 << 32) - 1)) - (1 << 31)
+        joined = lambda parts, shared: np.concatenate([*parts, shared])
+        columns = [
+            joined([np.full(u.sum(), k) for k, u in zip(self.kinds, used)], np.full(self.public, PUBLIC)), joined([query[u] for u in used], np.zeros(self.public)),
+            joined([doc[u] for u in used], np.arange(self.public)), joined([x[u] for x, u in zip(nums, used)], public[:, 0]), joined([x[u] for x, u in zip(dens, used)], public[:, 1]),
+        ]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(columns, kinds)], names=["kind", "query_id", "doc_id", "num", "den"])
+
 
 class CCM(_Cascade):
     """Click chain model: three continuation parameters."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.plans.numbering import numbered
 from clickloom.plans.storage import written
 
 
@@ -78,6 +79,13 @@ def query_doc_pairs(serps: DataFrame) -> DataFrame:
     return serps.select("query_id", F.explode("docs").alias("doc_id")).distinct()
 
 
+def dense_ids(serps: DataFrame) -> DataFrame:
+    """(query_id, doc_id, id): pairs numbered from 0 in the order in which the pages first show them, by arrival and rank."""
+    shown = serps.select("serp_id", "query_id", F.posexplode("docs").alias("rank", "doc_id"))
+    first = shown.groupBy("query_id", "doc_id").agg(F.min(F.struct("serp_id", "rank")).alias("first"))
+    return numbered(first.select("query_id", "doc_id", "first.serp_id", "first.rank"), ["serp_id", "rank"], "id").select("query_id", "doc_id", "id")
+
+
 def filter_test(train: DataFrame, test: DataFrame) -> DataFrame:
     """Test pages that show at least one document which training saw under the same query.
 

@@ -273,6 +273,25 @@ UNION ALL SELECT 'perplexity', perplexity FROM ({OVERALL}) UNION ALL SELECT 'per
         "dbn_predict": LOG + SPLIT + fitted("dbn", "train", 2) + scored("dbn", "test", 2) + " " + shown,
         "pbm_predict_unseen": SPARSE + SPLIT + pbm("train", 2) + pbm_scored("test", 2) + " " + chance,
         "dbn_predict_unseen": SPARSE + SPLIT + fitted("dbn", "train", 2) + scored("dbn", "test", 2) + " " + shown,
+        "gzip_log_round_trip": out["text_log_round_trip"],
+        "read_counts": LOG + """ SELECT p.n + i.pages + i.clicks AS n_lines, i.pages AS n_queries, i.clicks + p.n - p.bad AS n_clicks, p.bad AS n_rejected
+FROM (SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 < 3) AS bad FROM part) p, (SELECT count(DISTINCT serp_id) AS pages, CAST(sum(click) AS BIGINT) AS clicks FROM imp) i""",
+        "dense_ids": SPARSE + SPLIT + " SELECT query_id, doc_id, row_number() OVER (ORDER BY min(serp_id * 10 + rank)) - 1 AS id FROM train GROUP BY query_id, doc_id",
+        "pbm_reloaded": LOG + pbm("imp", 3) + " " + atr.format("a3"),
+        "dbn_reloaded": LOG + Cascade("dbn").fit("imp", 2) + " " + atr.format("s2"),
+        "parameters_replaced": LOG + pbm("imp", 3) + """,
+y AS (SELECT serp_id, click, a.v * g.v AS y FROM imp JOIN a3 a USING (query_id, doc_id) JOIN g1 g ON g.rank = imp.rank)
+SELECT round(avg(ln(CASE WHEN click = 1 THEN y ELSE 1 - y END)), 6) AS log_likelihood, count(DISTINCT serp_id) AS n_serps FROM y""",
+        "pbm_resumed": out["pbm_examination_3"],
+        "ccm_resumed": out["ccm_tau_2"],
+        "ubm_replicas": out["ubm_attractiveness_3"],
+        "ccm_replicas": out["ccm_tau_2"],
+        "pbm_merged": LOG + pbm("imp", 1) + " " + atr.format("a1"),
+        "export_in_order": LOG + pbm("imp", 2) + """ SELECT 0 AS place, 'query, document, attractiveness' AS row
+UNION ALL SELECT row_number() OVER (ORDER BY serp_id, rank), query_id || ', ' || doc_id || ', ' || printf('%.6f', v) FROM imp JOIN a2 USING (query_id, doc_id)""",
+        "cli_report": LOG.replace("FROM orders)", "FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders))") + SPLIT + pbm("train", 2) + pbm_scored("test", 2) + f""" SELECT 'log likelihood' AS metric, round(sum(ln(p)) / count(*), 6) AS value FROM scored
+UNION ALL SELECT 'perplexity', perplexity FROM ({OVERALL}) UNION ALL SELECT 'perplexity at rank ' || rank, perplexity FROM ({BY_RANK})
+UNION ALL SELECT 'examination ' || rank, round(v, 6) FROM g2""",
         "run_logs": RUNS + " SELECT model, device, nodes, sessions, 2 AS partitioning, training_time, iteration_time, computation_time, round(perplexity, 6) AS perplexity, NULL::DOUBLE AS evaluation_time FROM runs",
         "run_means": RUNS + " SELECT nodes, sessions, round(avg(training_time), 6) AS training_time FROM runs WHERE model = 1 AND device = 'GPU 1' GROUP BY ALL",
         "run_speedup": RUNS + """, base AS (SELECT sessions, avg(training_time) AS b FROM runs WHERE model = 0 GROUP BY sessions)

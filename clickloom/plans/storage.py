@@ -22,9 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and computes it once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path that nothing was written to, below the shared folder or ``folder``."""
+    return f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or to ``path``) and read it back: cuts lineage and computes it once."""
+    path = path or fresh(df.sparkSession, name)
+    df.write.options(compression="zstd", **options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

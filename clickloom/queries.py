@@ -5,19 +5,24 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom import cli
+from clickloom.config import RunOptions
 from clickloom.functions.clicks import last_click, previous_clicks, slot
 from clickloom.operators import prepare
-from clickloom.operators.models import ATTRACT, PUBLIC, SATISFY, block, make_model, ranks, with_values
+from clickloom.operators.lists import with_values
+from clickloom.operators.models import ATTRACT, PUBLIC, SATISFY, block, make_model, ranks
 from clickloom.operators.run_analytics import by_nodes, categories, computation_share, of_category, rebased, roofline, speedup
-from clickloom.operators.score import evaluate, log_likelihood, perplexity, perplexity_by_rank, predict, score
-from clickloom.plans.em import Fitted, fit, initial
-from clickloom.plans.storage import shared_dir, written
-from clickloom.sources.click_log import as_lines, impressions, parse, read_click_log, serps_from_orders, write_click_log
+from clickloom.operators.score import evaluate, log_likelihood, perplexity, perplexity_by_rank, predict, score, score_cases
+from clickloom.plans.em import Fitted, fit, fit_replicas, initial, merge
+from clickloom.plans.numbering import numbered
+from clickloom.plans.storage import fresh, shared_dir, written
+from clickloom.sources.click_log import as_lines, impressions, numbered_lines, parse, read_click_log, serps_from_orders, write_click_log
+from clickloom.sources.parameters import read_parameters
 from clickloom.sources.run_logs import read_run_logs, read_trace
-from clickloom.sources.sinks import private_export, public_export, report
+from clickloom.sources.sinks import private_export, public_export, report, write_in_order, write_parameters
 
 SIX = 6
 
@@ -55,6 +60,12 @@ def text_log_round_trip(spark, sf_dir):
 
 
 def malformed_rows(spark, sf_dir):
+    lines = _malformed(spark, sf_dir).select(F.lit(0).alias("block"), "line", "value")
+    return parse(lines)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _malformed(spark, sf_dir) -> DataFrame:
+    """(line, value): a click line for each part, three in seven of them broken."""
     kind = F.col("p_partkey") % 7
     line = (
         F.when(kind == 0, F.concat_ws(" ", F.lit("x"), "p_partkey", F.lit("C"), "p_size"))
@@ -62,8 +73,7 @@ def malformed_rows(spark, sf_dir):
         .when(kind == 2, F.concat_ws(" ", "p_partkey", F.lit(0), F.lit("C"), F.lit("99999999999")))
         .otherwise(F.concat_ws(" ", "p_partkey", F.lit(0), F.lit("C"), "p_size"))
     )
-    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(0).alias("block"), F.col("p_partkey").alias("line"), line.alias("value"))
-    return parse(lines)[1].groupBy("reason").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("line"), line.alias("value"))
 
 
 def serp_last_click(spark, sf_dir):
@@ -130,7 +140,7 @@ def ubm_full_probs(spark, sf_dir):
 def _scored(kind: str, measure):
     def query(spark, sf_dir):
         fitted, test = _trained(spark, sf_dir, kind)
-        found = measure(score(test, fitted))
+        found = measure(score_cases(test, fitted))
         return found.select(*[_rounded(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
     return query
@@ -295,6 +305,99 @@ def trace_rebased(spark, sf_dir):
     return rebased(written(_trace(spark, sf_dir), "trace"), "time", "kind")
 
 
+def gzip_log_round_trip(spark, sf_dir):
+    """The log as compressed files, each of which one task alone can read."""
+    path = write_click_log(serps_from_orders(spark, sf_dir), fresh(spark, "log"), "gzip")
+    return impressions(read_click_log(spark, path)[0])
+
+
+def read_counts(spark, sf_dir):
+    """What a read of two logs counts in passing: the derived one and one with broken lines."""
+    path, counts = fresh(spark, "log"), Observation("counts")
+    write_click_log(serps_from_orders(spark, sf_dir), f"{path}/a")
+    _malformed(spark, sf_dir).select("value").write.text(f"{path}/b")
+    read_click_log(spark, f"{path}/*", counts=counts)
+    return spark.createDataFrame([tuple(counts.get[c] for c in ("n_lines", "n_queries", "n_clicks", "n_rejected"))], "n_lines long, n_queries long, n_clicks long, n_rejected long")
+
+
+def dense_ids(spark, sf_dir):
+    train, _ = prepare.split(written(serps_from_orders(spark, sf_dir, sparse=True), "serps"))
+    return prepare.dense_ids(train)
+
+
+def _reloaded(kind: str, first: int, more: int):
+    """Trains, exports, reads the export back and goes on from it."""
+
+    def query(spark, sf_dir) -> Fitted:
+        serps, prefix = written(serps_from_orders(spark, sf_dir), "serps"), fresh(spark, "export")
+        write_parameters(fit(make_model(kind), serps, first), prefix, exact=True)
+        return fit(make_model(kind), serps, more, start=read_parameters(spark, prefix, kind))
+
+    return query
+
+
+def pbm_reloaded(spark, sf_dir):
+    return _reloaded("pbm", 1, 2)(spark, sf_dir).private().select("query_id", "doc_id", _rounded("value"))
+
+
+def dbn_reloaded(spark, sf_dir):
+    return _reloaded("dbn", 1, 1)(spark, sf_dir).private(SATISFY).select("query_id", "doc_id", _rounded("value"))
+
+
+def parameters_replaced(spark, sf_dir):
+    """Test pages scored by examination of one model and attractiveness of another."""
+    serps = written(serps_from_orders(spark, sf_dir), "serps")
+    one, three = (fit(make_model("pbm"), serps, k) for k in (1, 3))
+    mixed = three.with_parameters(one.parameters("public"), "public")
+    return log_likelihood(score_cases(serps, mixed)).select(_rounded("log_likelihood"), "n_serps")
+
+
+def _resumed(kind: str, first: int, rounds: int):
+    """A fit that ends early and one that goes on from its finished rounds."""
+
+    def query(spark, sf_dir):
+        serps, folder = written(serps_from_orders(spark, sf_dir), "serps"), fresh(spark, "fit")
+        fit(make_model(kind), serps, first, folder=folder)
+        return fit(make_model(kind), serps, rounds, folder=folder).public_table().select("slot", _rounded("value"))
+
+    return query
+
+
+def _parts(spark, sf_dir, n: int) -> list[DataFrame]:
+    serps = written(serps_from_orders(spark, sf_dir), "serps")
+    return [serps.where(F.col("serp_id") % n == i) for i in range(n)]
+
+
+def ubm_replicas(spark, sf_dir):
+    """Three parts of the pages, added up after each of three rounds."""
+    return fit_replicas(make_model("ubm"), _parts(spark, sf_dir, 3), 3).private().select("query_id", "doc_id", _rounded("value"))
+
+
+def ccm_replicas(spark, sf_dir):
+    return fit_replicas(make_model("ccm"), _parts(spark, sf_dir, 2), 2).public_table().select("slot", _rounded("value"))
+
+
+def pbm_merged(spark, sf_dir):
+    """Two replicas that trained one round apart, merged."""
+    replicas = [fit(make_model("pbm"), part, 1) for part in _parts(spark, sf_dir, 2)]
+    return merge(replicas).private().select("query_id", "doc_id", _rounded("value"))
+
+
+def export_in_order(spark, sf_dir):
+    """The lines of the export by impression as its files hold them, header included."""
+    serps = written(serps_from_orders(spark, sf_dir), "serps")
+    path = write_in_order(fit(make_model("pbm"), serps, 2), serps, fresh(spark, "export"))
+    return numbered(numbered_lines(spark, path), ["block", "line"], "place").select("place", F.col("value").alias("row"))
+
+
+def cli_report(spark, sf_dir):
+    """A run of the command line over the text log, its exports read back and held against the report's own model."""
+    path, prefix = _text_log(spark, serps_from_orders(spark, sf_dir)), fresh(spark, "out")
+    fitted, metrics, _ = cli.run(spark, RunOptions(raw_path=path, output=prefix, max_sessions=-1, iterations=2, model="pbm", partition_type=3))
+    shown = read_parameters(spark, prefix, "pbm").public_table().select(F.concat(F.lit("examination "), "slot").alias("metric"), "value")
+    return metrics.unionByName(shown).select("metric", _rounded("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         f.__name__: f
@@ -302,7 +405,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             click_log, text_log_round_trip, malformed_rows, serp_last_click, serp_prev_click, ubm_slots, train_test_counts, test_filtered, test_dropped,
             qd_dictionary_size, bucket_stats, pbm_estep_once, pbm_predict, ubm_full_probs, model_comparison, export_examination, export_attractiveness,
             limited_sessions, leading_clicks, split_by_bucket, export_per_impression, export_satisfaction, metrics_report, run_logs, run_means, run_speedup,
-            run_measures, trace_categories, trace_of_category, trace_rebased,
+            run_measures, trace_categories, trace_of_category, trace_rebased, gzip_log_round_trip, read_counts, dense_ids, pbm_reloaded, dbn_reloaded,
+            parameters_replaced, ubm_replicas, ccm_replicas, pbm_merged, export_in_order, cli_report,
         )
     }
     found |= {
@@ -319,6 +423,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dbn_gamma_2": _public("dbn", 2),
         "ubm_examination_exact": _public("ubm", 2, exact_slots=True),
         "dbn_satisfaction_prior_unset": _private("dbn", 2, SATISFY, unset="prior"),
+        "pbm_resumed": _resumed("pbm", 2, 3),
+        "ccm_resumed": _resumed("ccm", 1, 2),
         "ubm_predict": _predicted("ubm"),
         "ccm_predict": _predicted("ccm"),
         "dbn_predict": _predicted("dbn"),

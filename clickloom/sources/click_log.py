@@ -6,7 +6,7 @@ click flags in rank order, numbered by arrival.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.config import RANKS
@@ -15,18 +15,27 @@ from clickloom.plans.storage import written
 QUERY_TOKENS, CLICK_TOKENS = 15, 4
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, block_lines: int = 1 << 17) -> DataFrame:
     """(block, line, value): lines of text files in reading order.
 
-    ``block`` is the file and the place in it where a task began to read, ``line`` counts on from there.
-    They come from one read that is written out, so all later steps see the same numbers.
+    ``block`` is the file, the place in it where a task began to read, and the number of ``block_lines`` lines that the task read before;
+    ``line`` counts on from there.  So a file that only one task can read (gzip) makes many blocks, and as many files as
+    tasks can share later.  Numbers come from one read that is written out, so all later steps see the same ones.
     """
-    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    return written(spark.read.text(path).select(block.alias("block"), F.monotonically_increasing_id().alias("line"), "value"), "lines")
+    line = F.monotonically_increasing_id()  # the low 33 bits count the lines of a task
+    part = F.floor(line.bitwiseAND(F.lit((1 << 33) - 1)) / block_lines).cast("int")
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), part.alias("part"))
+    return written(spark.read.text(path).select(block.alias("block"), line.alias("line"), "value"), "lines", maxRecordsPerFile=block_lines)
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed actions and rejected lines of (block, line, value).
+    """Actions and rejected lines of (block, line, value)."""
+    rows = typed(lines)
+    return rows.where("reason is null").drop("reason", "value"), rows.where("reason is not null").select("line", "value", "reason")
+
+
+def typed(lines: DataFrame) -> DataFrame:
+    """(block, line, session_id, query_id, docs, doc_id, value, reason): each line as an action, or the reason why it is none.
 
     The number of tokens alone tells a query (15) from a click (4); the type letter is not
     read.  Numbers must be whole 32-bit numbers; lines with others are rejected.
@@ -35,7 +44,7 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = lambda i: F.get("tokens", F.lit(i)).try_cast("int")
     rows = lines.select("block", "line", "value", tokens.alias("tokens"))
     docs = F.transform(F.slice("tokens", 6, RANKS), lambda x: x.try_cast("int"))
-    typed = rows.select(
+    read = rows.select(
         "block",
         "line",
         "value",
@@ -49,9 +58,9 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     good_click = (F.col("n") == CLICK_TOKENS) & F.col("doc_id").isNotNull()
     good = F.col("session_id").isNotNull() & (good_query | good_click)
     reason = F.when(F.col("session_id").isNull(), "first token is no number").when(~F.col("n").isin(QUERY_TOKENS, CLICK_TOKENS), "number of tokens").otherwise("a token is no number")
-    actions = typed.where(F.coalesce(good, F.lit(False))).select("block", "line", "session_id", "query_id", "docs", "doc_id")
-    rejected = typed.where(~F.coalesce(good, F.lit(False))).select("line", "value", reason.alias("reason"))
-    return actions, rejected
+    ok = F.coalesce(good, F.lit(False))
+    kept = [F.when(ok, F.col(c)).alias(c) for c in ("session_id", "query_id", "docs", "doc_id")]
+    return read.select("block", "line", *kept, F.when(~ok, F.col("value")).alias("value"), F.when(~ok, reason).alias("reason"))
 
 
 def to_serps(actions: DataFrame, max_sessions: int = -1) -> DataFrame:
@@ -83,10 +92,17 @@ def to_serps(actions: DataFrame, max_sessions: int = -1) -> DataFrame:
     return pages.join(clicked, "serp_id", "left").select("serp_id", "query_id", "docs", flags.alias("clicks"))
 
 
-def read_click_log(spark: SparkSession, path: str, max_sessions: int = -1) -> tuple[DataFrame, DataFrame]:
-    """(serps, rejected) of a text log."""
-    actions, rejected = parse(numbered_lines(spark, path))
-    return to_serps(actions, max_sessions), rejected
+def read_click_log(spark: SparkSession, path: str, max_sessions: int = -1, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(serps, rejected) of a text log.
+
+    ``counts`` is told ``n_lines``, ``n_queries``, ``n_clicks`` and ``n_rejected`` as the lines are parsed, without a further pass.
+    """
+    rows = typed(numbered_lines(spark, path))
+    if counts is not None:
+        n = [F.count(F.lit(1)).alias("n_lines"), F.count("query_id").alias("n_queries"), F.count("doc_id").alias("n_clicks"), F.count("reason").alias("n_rejected")]
+        rows = rows.observe(counts, *n)
+    rows = written(rows, "actions")
+    return to_serps(rows.where("reason is null").drop("value", "reason"), max_sessions), rows.where("reason is not null").select("line", "value", "reason")
 
 
 def impressions(serps: DataFrame) -> DataFrame:
@@ -122,6 +138,6 @@ def as_lines(serps: DataFrame) -> DataFrame:
     return rows.orderBy("serp_id", "at").select("value")
 
 
-def write_click_log(serps: DataFrame, path: str) -> str:
-    as_lines(serps).write.text(path)
+def write_click_log(serps: DataFrame, path: str, compression: str = "none") -> str:
+    as_lines(serps).write.option("compression", compression).text(path)
     return path

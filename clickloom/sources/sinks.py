@@ -5,44 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators.lists import with_values
 from clickloom.operators.models import ATTRACT, SATISFY
-from clickloom.operators.score import evaluate, perplexity_by_rank, score
+from clickloom.operators.score import measures, perplexity_by_rank, score_cases
 from clickloom.plans.em import Fitted
+from clickloom.plans.storage import written
 
 SIX = "%.6f"
 
 
-def public_export(fitted: Fitted) -> DataFrame:
-    """(rank, examination or continuation) with six decimals."""
-    return fitted.public_table().select(F.col("slot").alias("rank"), F.format_string(SIX, "value").alias(fitted.model.public_name))
+def public_export(fitted: Fitted, exact: bool = False) -> DataFrame:
+    """(rank, examination or continuation) with six decimals, and with ``exact`` numerator and denominator."""
+    more = ["num", "den"] if exact else []
+    return fitted.public_table().select(F.col("slot").alias("rank"), F.format_string(SIX, "value").alias(fitted.model.public_name), *more)
 
 
-def private_export(fitted: Fitted, kind: int = ATTRACT, train: DataFrame | None = None) -> DataFrame:
+def private_export(fitted: Fitted, kind: int = ATTRACT, train: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """(query, document, value) with six decimals: one row per pair, or per training impression if ``train`` is given."""
     name = {ATTRACT: "attractiveness", SATISFY: "satisfaction"}[kind]
     rows = fitted.private(kind)
     if train is not None:
         shown = train.select("query_id", F.explode("docs").alias("doc_id"))
         rows = shown.join(rows, ["query_id", "doc_id"])
-    return rows.select(F.col("query_id").alias("query"), F.col("doc_id").alias("document"), F.format_string(SIX, "value").alias(name))
+    more = ["num", "den"] if exact else []
+    return rows.select(F.col("query_id").alias("query"), F.col("doc_id").alias("document"), F.format_string(SIX, "value").alias(name), *more)
 
 
-def write_parameters(fitted: Fitted, prefix: str, train: DataFrame | None = None) -> list[str]:
-    """CSV folders ``{prefix}_{name}.csv``; nothing is written for an empty prefix."""
+def write_parameters(fitted: Fitted, prefix: str, train: DataFrame | None = None, exact: bool = False, in_order: bool = False) -> list[str]:
+    """CSV folders ``{prefix}_{name}.csv``; nothing is written for an empty prefix.
+
+    With ``train`` a row per impression instead of one per pair, which with ``in_order`` follow the pages' arrival (``write_in_order``).
+    """
     if not prefix:
         return []
     public = f"{prefix}_{fitted.model.public_name}.csv"
-    public_export(fitted).orderBy("rank").coalesce(1).write.mode("overwrite").option("header", True).csv(public)  # at most 100 rows
+    public_export(fitted, exact).orderBy("rank").coalesce(1).write.mode("overwrite").option("header", True).csv(public)  # at most 100 rows
     paths = [public]
     for kind in fitted.model.kinds:
-        table = private_export(fitted, kind, train)
-        paths.append(f"{prefix}_{table.columns[-1]}.csv")
-        table.write.mode("overwrite").option("header", True).csv(paths[-1])
+        table = private_export(fitted, kind, train, exact)
+        paths.append(f"{prefix}_{table.columns[2]}.csv")
+        if train is not None and in_order:
+            write_in_order(fitted, train, paths[-1], kind)
+        else:
+            table.write.mode("overwrite").option("header", True).csv(paths[-1])
     return paths
 
 
+def write_in_order(fitted: Fitted, train: DataFrame, path: str, kind: int = ATTRACT) -> str:
+    """One line per impression, in the order of pages and ranks, below one header line.
+
+    Pages are dealt into ranges of their number and sorted within them, so the part files joined by name are the file; no task holds
+    more than a range.
+    """
+    name = {ATTRACT: "attractiveness", SATISFY: "satisfaction"}[kind]
+    values = F.arrays_zip("docs", F.col("a" if kind == ATTRACT else "s").alias("v"))
+    line = lambda x: F.concat_ws(", ", F.col("query_id"), x["docs"], F.format_string(SIX, x["v"]))
+    pages = with_values(train.select("serp_id", "query_id", "docs"), fitted.theta).select("serp_id", F.transform(values, line).alias("lines"))
+    head = train.sparkSession.createDataFrame([(None, [f"query, document, {name}"])], "serp_id long, lines array<string>")
+    ordered = head.unionByName(pages).repartitionByRange(F.asc_nulls_first("serp_id")).sortWithinPartitions(F.asc_nulls_first("serp_id"))
+    ordered.select(F.explode("lines").alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def report(serps: DataFrame, fitted: Fitted) -> DataFrame:
     """(metric, value): log-likelihood, perplexity, and perplexity at each rank."""
-    total = evaluate(serps, fitted)
-    ranks = perplexity_by_rank(score(serps, fitted)).select(F.concat(F.lit("perplexity at rank "), "rank").alias("metric"), F.col("perplexity").alias("value"))
+    cases = written(score_cases(serps, fitted), "scores")
+    ranks = perplexity_by_rank(cases).select(F.concat(F.lit("perplexity at rank "), "rank").alias("metric"), F.col("perplexity").alias("value"))
+    total = measures(cases, fitted.model.name)
     return total.selectExpr("stack(2, 'log likelihood', log_likelihood, 'perplexity', perplexity) as (metric, value)").unionByName(ranks)

@@ -1,12 +1,15 @@
 """Parsing rules, splits and array functions against hand-made cases."""
 
+import gzip
+
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from clickloom.config import RunOptions
 from clickloom.functions.clicks import last_click, previous_clicks, slot, value
 from clickloom.operators import prepare
-from clickloom.sources.click_log import impressions, read_click_log
+from clickloom.sources.click_log import impressions, numbered_lines, parse, read_click_log, to_serps
 
 LOG = """1 0 Q 7 0 10 11 12 13 14 15 16 17 18 19
 1 5 C 12
@@ -56,6 +59,25 @@ def test_two_files_are_read_in_order_of_name(spark, tmp_path):
     assert clicked == {1: [2], 2: [0, 3], 3: [9]}
 
 
+def test_a_gzip_file_is_parsed_by_several_tasks(spark, tmp_path):
+    lines = [f"{i} 0 Q {i % 5} 0 " + " ".join(str((i + r) % 40) for r in range(10)) if i % 3 == 0 else f"{i} 1 C {(i // 3 * 3 + i) % 40}" for i in range(5000)]
+    for name, put in (("plain", open), ("gz", gzip.open)):
+        (tmp_path / name).mkdir()
+        with put(tmp_path / name / f"log.txt{'.gz' if name == 'gz' else ''}", "wt") as f:
+            f.write("\n".join(lines) + "\n")
+    rows = numbered_lines(spark, str(tmp_path / "gz"), block_lines=700)
+    assert rows.select("block").distinct().count() == 8 and len(rows.inputFiles()) == 8
+    assert [r["value"] for r in rows.orderBy("block", "line").collect()] == lines
+    of = lambda rows: {(r["serp_id"], r["query_id"], *r["docs"], *r["clicks"]) for r in to_serps(parse(rows)[0]).collect()}
+    assert of(rows) == of(numbered_lines(spark, str(tmp_path / "plain"))) and len(of(rows)) == 1666
+
+
+def test_a_read_counts_in_passing(spark, log):
+    counts = Observation("counts")
+    read_click_log(spark, log, counts=counts)
+    assert counts.get == {"n_lines": 12, "n_queries": 4, "n_clicks": 5, "n_rejected": 3}
+
+
 @pytest.mark.parametrize("n,expected", [(0, 0), (3, 2), (5, 4), (10, 8), (11, 9), (13, 10)])
 def test_train_size(n, expected):
     assert prepare.n_train(n) == expected
