@@ -39,32 +39,52 @@ KINDS = [
 N_BASE = 3
 SPAN = "struct<start:int,kind:int,end:int,digest:string>"
 MASK = "[SECRET]"
-SALTS = 64
+#: Characters of the pieces that texts are masked in, pieces that are looked up together, and values of a run.
+PIECE, PIECES, RUN = 1024, 64, 128
+#: Rows with candidates for each salt of a value.
+ROWS_A_SALT = 100_000
+
+
+def running(values: Column, start: Column, combine) -> Column:
+    """For each value the combination of ``start`` and all values up to it.
+
+    Values are taken in runs of ``RUN`` and each run grows from what stands before it, as an array that grows by one is copied each time:
+    n values cost about n * RUN and (n / RUN)**2 copies, not n**2.
+    """
+    grown = lambda x, first: F.aggregate(
+        x, F.array(first), lambda acc, v: F.array_append(acc, combine(F.element_at(acc, -1), v))
+    )
+
+    def over(cut: Column) -> Column:
+        whole = F.transform(cut, lambda x: F.aggregate(x, start, combine))
+        return let(grown(whole, start), lambda before: F.flatten(F.transform(cut, lambda x, i: F.slice(grown(x, F.get(before, i)), 2, RUN))))
+
+    def runs(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda b: F.slice(v, b * RUN + 1, RUN))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(runs(v), over)).otherwise(v))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return (a + b).cast("int")
 
 
 def _of_kind(text: Column, k: int) -> Column:
-    """Spans of one kind: the texts between the matches and the matches give the places."""
+    """Spans of one kind: the texts between the matches and the matches give the places, by running sums of their lengths."""
     _, pattern, group, least, test = KINDS[k]
-    regex = F.lit(pattern)
+    regex, none = F.lit(pattern), F.array().cast(f"array<{SPAN}>")
 
     def placed(m: Column, values: Column, gaps: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(m, i))
+        def span(end: Column, i: Column) -> Column:
             value = F.get(values, i)
             good = F.length(value) >= least
             if test:
                 good = good & value.rlike(test)
-            span = F.struct(
-                start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), F.sha2(value, 256).alias("digest")
-            ).cast(SPAN)
-            return F.struct(
-                end.cast("int").alias("pos"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")
-            )
+            found = F.struct((end - F.length(F.get(m, i))).alias("start"), F.lit(k).alias("kind"), end.alias("end"), F.sha2(value, 256).alias("digest"))
+            return F.when(good, found.cast(SPAN))
 
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
-        places = F.sequence(F.lit(0), F.size(m) - 1)
-        return F.aggregate(places, start, step, lambda acc: acc["out"])
+        lengths = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))
+        return let(running(lengths, F.lit(0), _plus), lambda ends: F.filter(F.transform(ends, span), lambda s: s.isNotNull()))
 
     found = let(
         F.regexp_extract_all(text, regex, F.lit(0)),
@@ -73,7 +93,31 @@ def _of_kind(text: Column, k: int) -> Column:
             lambda v: let(F.split(text, pattern, -1), lambda g: placed(m, v, g)),
         ),
     )
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``, in order.
+
+    Among all spans in order of their starts, one is free if no earlier base span ends behind its start and the next base
+    span starts behind its end.
+    """
+    is_base = lambda s: s["kind"] < N_BASE
+    far = F.lit(2**31 - 1)
+
+    def free(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        starts = F.transform(F.reverse(spans), lambda s: F.when(is_base(s), s["start"]).otherwise(far))
+        kept = lambda e: let(
+            F.reverse(running(starts, far, lambda a, b: F.least(a, b))),
+            lambda f: F.filter(
+                F.transform(spans, lambda s, i: F.when(~is_base(s) & (F.get(e, i) <= s["start"]) & (F.get(f, i) >= s["end"]), s)), lambda s: s.isNotNull()
+            ),
+        )
+        return let(ends, kept)
+
+    alone = F.when((F.size(more) == 0) | (F.size(base) == 0), F.sort_array(more))
+    return alone.otherwise(let(F.sort_array(F.concat(base, more)), free))
 
 
 def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
@@ -86,8 +130,7 @@ def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
         F.concat(*[_of_kind(text, k) for k in range(N_BASE)]).alias("base"),
         F.concat(*[_of_kind(text, k) for k in range(N_BASE, len(KINDS))]).alias("more"),
     )
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.select("row", "owner", "repository", F.sort_array("base").alias("base"), F.sort_array(apart).alias("more"))
+    return found.select("row", "owner", "repository", F.sort_array("base").alias("base"), apart(F.col("more"), F.col("base")).alias("more"))
 
 
 def ownership(candidates: DataFrame, example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
@@ -109,9 +152,10 @@ def _judged(scanned: DataFrame, example_owners: int) -> DataFrame:
         "rid", "owner", "repository", F.explode(F.concat("base", "more")).alias("s")
     )
     spans = spans.select("rid", "owner", "repository", "s", F.col("s.digest").alias("digest"))
-    # a value's rows are dealt over SALTS tasks, each of which gets the value's verdict
-    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
-    known = ownership(spans, example_owners).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a value's rows are dealt over as many tasks as there are rows, each of which gets the value's verdict
+    salts = int(-(-scanned.where((F.size("base") > 0) | (F.size("more") > 0)).count() // ROWS_A_SALT)) or 1
+    salt = F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int")
+    known = ownership(spans, example_owners).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     status = spans.withColumn("salt", salt).join(known, ["digest", "salt"], "left").select("rid", "s", F.col("owners").isNull().alias("live"))
     return status.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"),
@@ -152,17 +196,37 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "conc
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each stretch that sorted ``spans`` cover replaced by one mark."""
+    """``text`` with each stretch that sorted ``spans`` cover replaced by one mark.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(MASK))
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(s["start"] >= acc["pos"], gap).otherwise(acc["out"]).alias("out"),
-        )
+    Works piece by piece, so that neither a place is counted from the text's start nor the text copied for each span.
+    """
+
+    def inside(found: Column, first: Column, size: int) -> Column:
+        return F.filter(found, lambda s: (s["end"] > first) & (s["start"] < first + size))
+
+    def cut(part: Column, size: int) -> Column:
+        return F.regexp_extract_all(part, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def of_piece(piece: Column, first: Column, own: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.concat(acc["out"], F.substr(piece, acc["pos"] - first + 1, s["start"] - acc["pos"]), F.lit(MASK))
+            return F.struct(
+                F.greatest(acc["pos"], s["end"]).cast("int").alias("pos"),
+                F.when((s["start"] >= acc["pos"]) & (s["start"] >= first), gap).otherwise(acc["out"]).alias("out"),
+            )
+
+        start = F.struct(first.cast("int").alias("pos"), F.lit("").alias("out"))
+        rest = lambda acc: F.concat(acc["out"], F.substr(piece, F.least(acc["pos"], first + PIECE) - first + 1, F.lit(PIECE)))
+        return F.when(F.size(own) > 0, F.aggregate(own, start, step, rest)).otherwise(piece)
+
+    def of_part(part: Column, k: Column) -> Column:
+        def pieces(own: Column) -> Column:
+            place = lambda i: k * PIECE * PIECES + i * PIECE
+            return F.array_join(F.transform(cut(part, PIECE), lambda x, i: let(inside(own, place(i), PIECE), lambda found: of_piece(x, place(i), found))), "")
+
+        return let(inside(spans, k * PIECE * PIECES, PIECE * PIECES), lambda own: F.when(F.size(own) > 0, pieces(own)).otherwise(part))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(cut(text, PIECE * PIECES), of_part), "")).otherwise(text)
 
 
 def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "concat_ws('/', source, lang)", example_owners: int = 3) -> DataFrame:

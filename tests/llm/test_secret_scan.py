@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from clickloom.llm import secret_scan
 
@@ -80,3 +81,35 @@ def test_against_plain_scans_and_counts(spark):
         assert row["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest()
         assert row["spans"] == joined([x for x in spans if x[1] < 3 or x[3] not in example])
         assert (row["n_live"], row["n_example"]) == (sum(x[3] not in example for x in spans), sum(x[3] in example for x in spans))
+
+
+def test_many_findings_in_one_text(spark):
+    """Spans, overlaps and masks of thousands of findings, in a time that does not grow with their square."""
+    rng = np.random.default_rng(15)
+    lines = []
+    for i in range(6000):
+        digest = hashlib.md5(str(i).encode()).hexdigest()
+        lines.append([f"é{digest}", f"token = {digest}Zx", f"Zx9aB3{digest}QRS", f"AKIA{digest.upper()}", "x" * int(rng.integers(40))][i % 5])
+    text = "\n".join(lines)
+    docs = documents(spark, [text, "no finding", "x" * 3000 + "token = lonesecret99" + "é" * 3000 + "secret:abcdefgh"])
+    rows = {r["doc_id"]: r for r in secret_scan.secret_spans(docs).collect()}
+    want = plain_spans(text)
+    assert rows[0]["spans"] == ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b, _ in want) and len(want) > 5000
+    found = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(docs).collect()}
+    covered = np.zeros(len(text) + 1, bool)
+    for a, _, b, _ in want:
+        covered[a:b] = True
+    plain, at = [], 0
+    for a, _, b, _ in want:
+        if a >= at:
+            plain += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert found[0] == "".join(plain) + text[at:]
+    assert found[1] == "no finding" and found[2] == "x" * 3000 + "[SECRET]" + "é" * 3000 + "[SECRET]"
+
+
+def test_running_values_of_any_number(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        frame = spark.createDataFrame([([int(x) for x in np.random.default_rng(n).integers(-9, 9, n)],)], "v array<int>")
+        found = frame.select(secret_scan.running(F.col("v"), F.lit(0), lambda a, b: (a + b).cast("int")).alias("r"), "v").first()
+        assert found["r"] == list(np.cumsum(found["v"], dtype=int))
