@@ -7,11 +7,11 @@
    ``fit_documents`` documents (by a hash of the id) and all benchmark
    passages, the latter weighted to the same total.  Only cell-by-rank matrices, whose size
    does not depend on the data, come to the driver, for a QR step.
-3. Every document is searched whole: windows of neighbouring passages (two for benchmark passages of at most
-   ``SHORT`` words, four for longer ones) are projected and compared by cosine with all
+3. Every document is searched whole: windows of neighbouring passages (``WIDTHS``: two for benchmark passages of at most
+   20 words, three up to 33, four for longer ones) are projected and compared by cosine with all
    benchmark passages, in blocks of ``query_block`` queries.
-4. Cosines in a fixed rank can't tell thousands of passages apart, so what they leave out is searched by
-   shared words, which loses no copy: a subsequence of m of a passage's n words has, of its n - m + k
+4. Cosines in a fixed rank can't tell thousands of passages apart, so what they leave out goes through a second net of
+   shared words, which loses no copy (``by_cosine`` tells which of the two found a pair): a subsequence of m of a passage's n words has, of its n - m + k
    rarest words, at least k.  Stretches that hold so many (k is a third of m) are candidates too; their cosine is that
    of the stretch itself.
 5. A candidate is checked exactly: the longest common subsequence of the benchmark passage and all
@@ -37,6 +37,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,9 @@ from .common import staged
 CELLS = 1 << 15
 BLOCK = 16
 MARGIN = 12
-SHORT = 20
 PASSAGE = 48
+#: Passages in a window, and up to how many words a benchmark passage is compared with it.
+WIDTHS = ((2, 20), (3, 33), (4, PASSAGE + 1))
 SPLITS = 64
 GAP = 3
 #: Words of neighbouring short texts that are searched at once; a longer text is searched by itself.
@@ -54,8 +56,8 @@ GROUP_WORDS = 30_000
 PARTS = "block int, sums binary"
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
-HIT = pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("word", pa.int64())])
-HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double,word:bigint>>"
+HIT = pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("word", pa.int64()), ("by_cosine", pa.bool_())])
+HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double,word:bigint,by_cosine:boolean>>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -118,7 +120,7 @@ def query_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark in parts of about ``block_bytes`` of text: one part is what a task and the driver hold at once."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items] * n
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items] * n
 
 
 def _item_passages(items: DataFrame) -> list[tuple[int, list[bytes], list[bytes]]]:
@@ -174,7 +176,8 @@ class LatentIndex:
     def __init__(self, weights: np.ndarray, items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray):
         self.idf = idf
         self.items = sorted(items, key=lambda x: len(x[1]))
-        self.n_short = sum(len(w) <= SHORT for _, w, _ in items)
+        ends = np.searchsorted([len(w) for _, w, _ in self.items], [most for _, most in WIDTHS], "right")
+        self.classes = [(width, int(low), int(high)) for (width, _), low, high in zip(WIDTHS, [0, *ends], ends)]
         self.weights = np.vstack([weights, np.zeros((1, weights.shape[1]), np.float32)])  # the last row pads
         latent = np.array([self.weights[cells(w)].sum(axis=0) for _, w, _ in self.items])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -196,9 +199,13 @@ class LatentIndex:
     def near(self, texts: list[list[bytes]], cosine: float, query_block: int = 4096) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, first word, end word, number of the benchmark passage, cosine) of windows at ``cosine`` or more."""
         blocks, first = self.passages(texts)
-        two = blocks[:-1] + blocks[1:]  # the zero rows keep windows within their text
-        four = two[:-2] + two[2:]
-        for windows, width, low, high in ((two, 2, 0, self.n_short), (four, 4, self.n_short, len(self.items))):
+        windows, added = blocks, 1
+        for width, low, high in self.classes:
+            for added in range(added, width):
+                windows = windows[:-1] + blocks[added:]  # the zero rows keep windows within their text
+            added = width
+            if low == high:
+                continue
             norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
             used = np.nonzero(norms > 1e-9)[0]
             least = cosine * norms[used]
@@ -220,14 +227,16 @@ class LatentIndex:
 
 def fit_indexes(
     docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, rounds: int = 2, seed: int = 11, block_bytes: int = 8 << 20
-) -> list[LatentIndex]:
-    """A latent space with each block of the benchmark in it; none without a benchmark.
+) -> Iterator[LatentIndex]:
+    """A latent space with each block of the benchmark in it, one after another; none without a benchmark.
 
     Passage frequencies are those of all documents; the space is fitted on about ``fit_documents`` rows, however often an id is repeated.
+    A block is read when its turn comes, so the driver holds one block's passages and space.
     """
-    found = [x for x in map(_item_passages, query_blocks(benchmark, block_bytes)) if x]
-    if not found:
-        return []
+    found = filter(None, map(_item_passages, query_blocks(benchmark, block_bytes)))
+    first = next(found, None)
+    if first is None:
+        return
     frequency, n = passage_frequencies(docs)
     idf = np.log((n + 1) / (frequency + 1)) + 0.1
     n_docs = max(1, docs.count())
@@ -265,7 +274,8 @@ def fit_indexes(
         q *= idf[:, None].astype(np.float32)
         return LatentIndex(q, items, idf)
 
-    return [fit(items) for items in found]
+    for items in chain([first], found):
+        yield fit(items)
 
 
 def _masks(words: list[bytes]) -> dict[bytes, int]:
@@ -389,7 +399,7 @@ def _search(index: LatentIndex, cosine: float, exact: float, paraphrase: float):
                     continue
                 answer = q.covered(words[max(0, low + i - PASSAGE) : low + i + size + MARGIN + PASSAGE], answer=True)
                 if covered >= exact or answer >= 0.6:
-                    known = {"item_id": q.item_id, "cosine": index.cosine(stretch, j), "lcs": covered, "answer": answer, "word": low + i}
+                    known = {"item_id": q.item_id, "cosine": index.cosine(stretch, j), "lcs": covered, "answer": answer, "word": low + i, "by_cosine": bool(known and known["by_cosine"])}
                     best[k][q.item_id] = known
 
     def search(texts: list[list[bytes]]) -> list[list[dict]]:
@@ -410,16 +420,15 @@ def _search(index: LatentIndex, cosine: float, exact: float, paraphrase: float):
             if covered < exact and answer < 0.6:
                 continue
             if q.item_id not in best[k] or covered > best[k][q.item_id]["lcs"]:
-                best[k][q.item_id] = {"item_id": q.item_id, "cosine": value, "lcs": covered, "answer": answer, "word": low}
+                best[k][q.item_id] = {"item_id": q.item_id, "cosine": value, "lcs": covered, "answer": answer, "word": low, "by_cosine": True}
         search_words(texts, best)
         return [[x[i] for i in sorted(x)] for x in best]
 
     return search
 
 
-def leaks(text: Column, index: LatentIndex, spark, cosine: float = 0.68, exact: float = 0.8, paraphrase: float = 0.6) -> Column:
-    """The leaks of each text as an array of structs."""
-    shared = spark.sparkContext.broadcast(index)
+def leaks(text: Column, shared: Broadcast, cosine: float = 0.68, exact: float = 0.8, paraphrase: float = 0.6) -> Column:
+    """The leaks of each text, under a broadcast index, as an array of structs."""
 
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         search = _search(shared.value, cosine, exact, paraphrase)
@@ -438,20 +447,29 @@ def leaks(text: Column, index: LatentIndex, spark, cosine: float = 0.68, exact:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, block_bytes: int = 8 << 20, **search) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, word): one row per document id and benchmark item found in it."""
+    """(doc_id, item_id, cosine, lcs, answer, word, by_cosine): one row per document id and benchmark item found in it."""
     spark = docs.sparkSession
     hits = spark.createDataFrame([], f"doc_id long, hit {HITS[6:-1]}")
     for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, fit_documents, block_bytes=block_bytes):
-        hits = hits.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(F.col("text"), index, spark, **search)).alias("hit")))
-    best = F.max(F.struct("hit.lcs", "hit.cosine", "hit.answer", "hit.word")).alias("best")
+        shared = spark.sparkContext.broadcast(index)
+        hits = hits.union(staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(F.col("text"), shared, **search)).alias("hit")), "leaks"))
+        shared.destroy()
+    best = F.max(F.struct("hit.lcs", "hit.cosine", "hit.answer", "hit.word", "hit.by_cosine")).alias("best")
     return hits.groupBy("doc_id", F.col("hit.item_id").alias("item_id")).agg(best).select(
-        "doc_id", "item_id", "best.cosine", "best.lcs", "best.answer", "best.word"
+        "doc_id", "item_id", "best.cosine", "best.lcs", "best.answer", "best.word", "best.by_cosine"
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, block_bytes: int = 8 << 20, **search) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns stay."""
-    rows = docs.select(F.struct("*").alias("row"))
+    """``docs`` without the rows that hold a benchmark item; all columns stay.
+
+    Rows are written between the blocks of a benchmark of several; the last block's search is left to whoever reads the result.
+    """
+    rows, shared = docs.select(F.struct("*").alias("row")), None
     for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, fit_documents, block_bytes=block_bytes):
-        rows = rows.where(F.size(leaks(F.col("row.text"), index, docs.sparkSession, **search)) == 0)
+        if shared is not None:
+            rows = staged(rows, "clean")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        rows = rows.where(F.size(leaks(F.col("row.text"), shared, **search)) == 0)
     return rows.select("row.*")
