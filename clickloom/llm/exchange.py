@@ -4,7 +4,7 @@ Rows are dealt into blocks and written once, bucketed by block, so that later pa
 block sends its sorted distinct keys with their counts to key ranges, one message for each range.  A range adds the
 counts up and answers each block with the totals in the order of its keys; so answers need no keys.  Keys are hashes and
 ranges cut their values evenly, so no range is hot: a frequent key is one entry for each block.  The number of ranges
-follows the size of the input.
+follows the size of the input, so at most blocks times ranges messages are sent, of which those without a key are not.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
+#: Spark takes no more than 100,000 buckets.
+MOST_BUCKETS = 50_000
 MESSAGE = pa.schema(
     [("family", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())]
 )
@@ -29,11 +31,16 @@ ANSWERED = "family int, range long, block long, n long, counts binary, types lon
 
 
 def bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
-    """``blocks`` written in buckets of its column ``block`` and read back, so that grouping by it moves no row."""
+    """``blocks`` written in buckets of its column ``block`` and read back, so that grouping by it moves no row.
+
+    Of very many blocks several share a bucket.  The name in the catalog goes again at once; the files stay below the shared folder.
+    """
     spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    writer = blocks.write.bucketBy(max(1, buckets), "block").option("compression", "zstd")
+    writer = blocks.write.bucketBy(min(max(1, buckets), MOST_BUCKETS), "block").option("compression", "zstd")
     writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def in_blocks(rows: DataFrame, n_rows: int, n_bytes: int, block_bytes: int) -> DataFrame:
@@ -100,14 +107,13 @@ def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def messages(block: int, family: int, keys: np.ndarray, counts: np.ndarray, more: np.ndarray | None, bits: int, ranges: int) -> Iterator[tuple]:
     """Sorted distinct keys of so many bits, cut into ranges, with one or two counts each."""
-    width = -(-(1 << bits) // ranges)
-    ends = np.searchsorted(keys, np.array([min((r + 1) * width, (1 << bits) - 1) for r in range(ranges - 1)], np.uint64)) if ranges > 1 else []
-    at = 0
-    for r, end in enumerate([*map(int, ends), len(keys)]):
-        if end > at:
-            steps = np.diff(keys[at:end], prepend=np.uint64(0))
-            yield family, r, block, end - at, to_bytes(steps), to_bytes(counts[at:end]), None if more is None else to_bytes(more[at:end])
-            at = end
+    if not len(keys):
+        return
+    of = keys // np.uint64(-(-(1 << bits) // ranges)) if ranges > 1 else np.zeros(len(keys), np.uint64)
+    ends = [*np.flatnonzero(of[1:] != of[:-1]) + 1, len(keys)]
+    for at, end in zip([0, *map(int, ends[:-1])], map(int, ends)):
+        steps = np.diff(keys[at:end], prepend=np.uint64(0))
+        yield family, int(of[at]), block, end - at, to_bytes(steps), to_bytes(counts[at:end]), None if more is None else to_bytes(more[at:end])
 
 
 def opened(table: pa.Table, column: str) -> list[np.ndarray]:

@@ -10,7 +10,8 @@ together, each with its part.  Runs that continue each other make long repeated
 
 * A block of a declared article is boilerplate if nearly all of it (``covered``) lies in runs that stand on ``template``
   of the host's distinct pages and on ``least_pages`` at least; it goes unless half of the article would go, as
-  then the article itself has been copied.  Other blocks of such a page go.
+  then the article itself has been copied.  Other blocks of such a page go, unless those that no other page holds have more words
+  than the article: then it is a teaser and the page is read as one without an article.
 * Without a declared article, blocks go where half of their tokens or more lie in runs that another page holds.  If
   nothing is left (a copy of another page), blocks of ten words or more stay, or else all.
 
@@ -51,13 +52,15 @@ BLOCKS = set(
 ASIDE = set("nav aside footer form menu dialog head".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|newsletter|subscribe|popup|modal|sidebar|side-?bar|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|replies|respond|sharing|widget|pagination|toolbar|disclaimer|copyright)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|newsletter|subscribe|popup|modal|sidebar|side-?bar|menu|nav|navbar|"
+    r"navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|replies|respond|sharing|widget|pagination|toolbar)(?:$|[\s_-])"
     # these name a part only alone or with a word for a part of a page: "search-results" holds text
     r"|(?:^|\s)(?:notices?|alert|share|social|related|recommended|login|signup|search)"
     r"(?:[_-]?(?:box|bar|form|links?|buttons?|icons?|panel|block|list|area|posts?|articles?|stories|message))?(?:$|\s)",
     re.I,
 )
+#: Names that tell a part of the page outside an article; within one they may name its matter.
+PAGE_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|bottom|cookie|ads?)[_-])?(?:banner|copyright|disclaimer)(?:[_-]?(?:box|bar|text|notice|area|block|line))?(?:$|\s)", re.I)
 MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-z][^>]*(?:>|\Z)",
@@ -73,7 +76,7 @@ def _aside(tag: str, attrs: str, in_article: bool) -> bool:
     if not attrs or tag in ("body", "html", "main"):
         return False
     names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attrs))
-    return bool(names and NAMES.search(names)) or bool(HIDDEN.search(attrs))
+    return bool(names and (NAMES.search(names) or not in_article and PAGE_NAMES.search(names))) or bool(HIDDEN.search(attrs))
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -178,12 +181,14 @@ def main_text(kinds: list[int], texts: list[str], pages: np.ndarray, host_pages:
     inside = lambda least: [c[e - k : e].mean() for c in [_covered(pages, int(ends[-1]), least, repeat)] for e, k in zip(ends, sizes)]
     if not texts:
         return ""
-    if ARTICLE in kinds:
+    every = sum(n for n, kind in zip(sizes, kinds) if kind == ARTICLE)
+    outside = sum(sizes) - every
+    share = inside(1.99) if outside > every or not every else []
+    if every and (outside <= every or sum(n for n, kind, x in zip(sizes, kinds, share) if kind == OPEN and x < 0.5) <= every):
         share = inside(max(least_pages, template * host_pages) - 0.01)
         common = [kind == ARTICLE and x >= covered for kind, x in zip(kinds, share)]
-        gone, every = sum(n for n, c in zip(sizes, common) if c), sum(n for n, kind in zip(sizes, kinds) if kind == ARTICLE)
+        gone = sum(n for n, c in zip(sizes, common) if c)
         return "\n".join(text for kind, text, c in zip(kinds, texts, common) if kind == ARTICLE and not (c and 2 * gone < every))
-    share = inside(1.99)
     unique = [text for text, x in zip(texts, share) if x < 0.5]
     return "\n".join(unique or [text for text, n in zip(texts, sizes) if n >= 10] or texts)
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from clickloom.llm import html_text
+from clickloom.llm import exchange, html_text
 
 from .tables import sentence
 
@@ -51,10 +51,12 @@ def plain(rows, repeat=6, template=0.3, least_pages=4, covered=0.9):
                 at += n
             return out
 
-        if any(k == html_text.ARTICLE for k, _ in found):
+        size = lambda t: len(t.split(" "))
+        apart = sum(size(t) for (k, t), x in zip(found, share(2)) if k == html_text.OPEN and x < 0.5)
+        if 0 < (every := sum(size(t) for k, t in found if k == html_text.ARTICLE)) >= apart:
             article = [(t, x) for (k, t), x in zip(found, share(max(least_pages, template * len(distinct)))) if k == html_text.ARTICLE]
-            gone = sum(len(t.split(" ")) for t, x in article if x >= covered)
-            keep_all = 2 * gone >= sum(len(t.split(" ")) for t, _ in article)
+            gone = sum(size(t) for t, x in article if x >= covered)
+            keep_all = 2 * gone >= every
             texts.append("\n".join(t for t, x in article if keep_all or x < covered))
         else:
             unique = [t for (_, t), x in zip(found, share(2)) if x < 0.5]
@@ -97,11 +99,49 @@ def test_a_host_of_copies_keeps_its_articles(spark):
     assert len(got) == 25 and all(r["text"].startswith("The very same words") for r in got)
 
 
+def test_main_text_beside_a_teaser_stays(spark):
+    main = "<p>The long main text of this page stands in no article</p>"
+    odd = [
+        (1, "http://t1/", f"<article class='teaser'><p>Teaser</p></article><div id='main'>{main}</div>"),
+        (2, "http://t2/", f"<article><p>{main}{main}</p></article><div>Some words beside it</div>"),
+        (3, "http://t3/", "<article><p class='copyright'>Body on copyright law</p><div class='banner-story'>A story on banners</div></article>"),
+        (4, "http://t4/", "<div class='copyright'>All rights</div><p>words</p><div class='banner-story'>A story on banners</div>"),
+    ]
+    shared = "<div>These very same words stand on each page of this host beside the article</div>"
+    teasers = [(10 + i, "http://u/", f"<article><p>Teaser {i}</p></article>{shared}<p>{main} number {i} with words of its own that no other page of it has</p>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.html_text(pages_of(spark, odd + teasers)).collect()}
+    assert got[1] == "Teaser\nThe long main text of this page stands in no article" and "beside" not in got[2]
+    assert got[3] == "Body on copyright law\nA story on banners" and got[4] == "words\nA story on banners"
+    expected = {r[0]: t for r, t in zip(odd + teasers, plain(odd + teasers))}
+    assert got == expected and all("beside the article" not in got[10 + i] for i in range(6))
+
+
+def test_no_table_is_left_and_buckets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "MOST_BUCKETS", 3)
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(i, f"http://h{i % 4}/", f"<p>{'page ' * (i % 7)} {i}</p>") for i in range(40)]
+    got = html_text.html_text(pages_of(spark, rows), block_bytes=40).collect()
+    assert len(got) == 40 and {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_messages_cut_keys_into_ranges():
+    rng = np.random.default_rng(4)
+    for bits, ranges in ((64, 1), (64, 7), (44, 1000), (40, 1)):
+        keys = np.unique(rng.integers(0, 1 << bits, 500, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 2**64, 500, np.uint64))
+        width, found = -(-(1 << bits) // ranges), []
+        for _, r, _, n, steps, counts, _ in exchange.messages(1, 2, keys, np.arange(len(keys)), None, bits, ranges):
+            part = np.cumsum(exchange.from_bytes(steps, n))
+            assert n and all(int(k) // width == r for k in part)
+            found += part.tolist()
+        assert found == keys.tolist()
+    assert not [*exchange.messages(1, 2, keys[:0], keys[:0], None, 40, 5)]
+
+
 def test_names_of_parts():
     kinds = lambda page: [k for k, _ in html_text.blocks(page)]
-    for name in ("search", "search-box", "share-buttons", "notice", "alert alert-info", "related-posts", "cookie-notice", "site-footer"):
+    for name in ("search", "search-box", "share-buttons", "notice", "alert alert-info", "related-posts", "cookie-notice", "site-footer", "banner", "cookie-banner", "copyright"):
         assert kinds(f"<div class='{name}'>words</div>") == [html_text.DECLARED], name
-    for name in ("search-results", "share-price", "research", "noticeable", "content"):
+    for name in ("search-results", "share-price", "research", "noticeable", "content", "banner-story", "copyright-law"):
         assert kinds(f"<div class='{name}'>words</div>") == [html_text.OPEN], name
 
 

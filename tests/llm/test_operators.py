@@ -126,3 +126,19 @@ def test_components_of_a_long_path(spark):
     found = {r["node"]: r["component"] for r in components.components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components.components(edges.where("a < 0")).count() == 0
+
+
+def plain_fingerprint(text):
+    """The rule bit by bit, over shingles joined in Python."""
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_fingerprints_against_the_rule(spark, docs, texts):
+    more = ["ÀB cd Ef gh", "a  b\u00a0c d", "one two three", "Z", "a b c d " * 300]
+    rows = simhash.near_duplicates(documents(spark, texts + more)).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in rows} == {i: f"{plain_fingerprint(t):016x}" for i, t in enumerate(texts + more)}
