@@ -11,6 +11,10 @@ Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` in the text with A-Z
 An automaton runs only where its anchor (the first mandatory words) stands, so a text
 without an anchor costs one search.
 
+Short licenses and file headers are written out in ``TEMPLATES``.  Whole license texts lie
+verbatim in the folder ``wording``; ``body_template`` makes templates of them: the words between two
+markers, where numbers and letters of list items may be left out.
+
 Base places are those of four fixed phrases.  The score of a document is 0 without any
 finding, 0.5 for base phrases alone, and else the share of mandatory words in the
 longest accepted stretch, scaled to lie between 0.5 and 1.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +90,15 @@ TEMPLATES = {
     "successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
     f"under copyright law {_NO_WARRANTY}",
     "Apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
-    "obtain a copy of the license at http <<opt>> s <<end>> <<opt>> www <<end>> apache org licenses license 2 0 unless required by applicable law or agreed to in "
+    "obtain a copy of the license at <<opt>> http <<end>> <<opt>> https <<end>> <<opt>> www <<end>> apache org licenses license 2 0 unless required by applicable law or agreed to in "
     "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either "
     "express or implied see the license for the specific language governing permissions and limitations under the license",
     "GPL-2.0-or-later": f"{_GPL_HEAD} general public license as published by the free software foundation either version 2 {_GPL_REST} general public license for more details",
     "GPL-3.0-or-later": f"{_GPL_HEAD} general public license as published by the free software foundation either version 3 {_GPL_REST} general public license for more details",
     "AGPL-3.0-or-later": f"{_GPL_HEAD} affero general public license as published by the free software foundation either version 3 {_GPL_REST} affero general public license for more details",
     "LGPL-2.1-or-later": f"{_GPL_HEAD} lesser general public license as published by the free software foundation either version 2 1 {_GPL_REST} lesser general public license for more details",
+    "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this "
+    "file you can obtain one at <<opt>> http <<end>> <<opt>> https <<end>> <<opt>> www <<end>> mozilla org mpl 2 0",
     "Apache-2.0-notice": "licensed under the apache license <<opt>> version <<end>> 2 0",
     "GPL-2.0-notice": "<<opt>> licensed under the <<end>> gnu general public license <<opt>> as published by the free software foundation either <<end>> version 2",
     "GPL-3.0-notice": "<<opt>> licensed under the <<end>> gnu general public license <<opt>> as published by the free software foundation either <<end>> version 3",
@@ -101,8 +108,20 @@ TEMPLATES = {
     "CC-BY-NC-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nc 4 0",
     "CC-BY-SA-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by sa 4 0",
     "CC-BY-ND-notice": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nd 4 0",
+    "MPL-2.0-notice": "mozilla public license <<opt>> version <<end>> <<opt>> v <<end>> 2 0",
+    "CC0-1.0-notice": "<<opt>> creative commons <<end>> <<opt>> licensed under <<end>> cc0 1 0 <<opt>> universal <<end>>",
     "CC-4.0-notice": "licensed under a creative commons attribution <<var 4>> 4 0 international license",
 }
+#: The label of each whole text in ``wording``, its file, and the words where its terms begin and before which they end.
+FULL_TEXTS = {
+    "Apache-2.0": ("Apache-2.0.txt", "Definitions.", "END OF TERMS AND CONDITIONS"),
+    "CC0-1.0": ("CC0-1.0.txt", "Statement of Purpose", None),
+    "GPL-2.0": ("GPL-2.txt", "TERMS AND CONDITIONS FOR COPYING", "END OF TERMS AND CONDITIONS"),
+    "GPL-3.0": ("GPL-3.txt", "Definitions.", "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.1": ("LGPL-2.1.txt", "TERMS AND CONDITIONS FOR COPYING", "END OF TERMS AND CONDITIONS"),
+    "LGPL-3.0": ("LGPL-3.txt", "This version of the GNU Lesser General Public License incorporates", None),
+    "MPL-2.0": ("MPL-2.0.txt", '"Contributor"', "Exhibit A - Source Code Form License Notice"),
+}
 SEPARATOR = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 EDGE = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -168,9 +187,29 @@ def _phrase(words) -> str:
     return SEPARATOR.join(map(re.escape, words))
 
 
-AUTOMATA = {k: Automaton(v) for k, v in TEMPLATES.items()}
+def body_template(text: str, begin: str, end: str | None) -> str:
+    """A template of the words of ``text`` from ``begin`` to before ``end``; list numbers and letters at the head of a line are optional."""
+    body = text[text.index(begin) : text.index(end) if end else None]
+    parts, blank = [], True
+    for line in body.split("\n"):
+        number = re.match(r"\s*\d+(?:\.\d+)*[.)]\s", line) if blank else None  # elsewhere a number at the head of a line belongs to a sentence
+        item = number or re.match(r"\s*(?:\(?(?:[a-z]|[ivx]+)\)|(?:[a-z]|[ivx]+)\.)\s", line)
+        cut, blank = item.end() if item else 0, not line.strip()
+        numbers, words = (re.findall(f"{EDGE}+", x.encode().translate(UPPER).decode()) for x in (line[:cut], line[cut:]))
+        parts += ["<<opt>>", *numbers, "<<end>>"] * bool(numbers) + words
+    return " ".join(parts)
+
+
+def _wording(file: str) -> str:
+    return resources.files(__package__).joinpath("wording", file).read_text("utf-8")
+
+
+#: (label, automaton) of all templates; a label may have a file header and a whole text.
+AUTOMATA = [(k, Automaton(v)) for k, v in TEMPLATES.items()] + [
+    (k, Automaton(body_template(_wording(file), begin, end))) for k, (file, begin, end) in FULL_TEXTS.items()
+]
 _BASE = re.compile(f"(?<!{EDGE})(?:" + "|".join(f"({_phrase(p.split())})" for p in PHRASES) + f")(?!{EDGE})")
-_ANCHORS = {k: re.compile(f"(?<!{EDGE}){_phrase(a.anchor)}(?!{EDGE})") for k, a in AUTOMATA.items()}
+_ANCHORS = [re.compile(f"(?<!{EDGE}){_phrase(a.anchor)}(?!{EDGE})") for _, a in AUTOMATA]
 _ANY_ANCHOR = re.compile("licens|permission|redistribut|unencumbered|warranty")
 
 
@@ -185,8 +224,8 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     if not (_ANY_ANCHOR.search(low) or "cc" in low):
         return n_words, 0, None, None, "", "", 0.0
     places = [(m.start(), m.lastindex - 1) for m in _BASE.finditer(low)]
-    anchors = {k: [m.start() for m in r.finditer(low)] for k, r in _ANCHORS.items()}
-    anchors = {k: v for k, v in anchors.items() if v}
+    anchors = [(automaton, [m.start() for m in r.finditer(low)]) for automaton, r in zip(AUTOMATA, _ANCHORS)]
+    anchors = [(automaton, ats) for automaton, ats in anchors if ats]
     if not places and not anchors:
         return n_words, 0, None, None, "", "", 0.0
     words = re.findall(EDGE + "+", low)
@@ -196,8 +235,7 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     base = {names[k] for _, k in places}
     numbers = [index(at) for at, _ in places]
     labels, best = set(base), 0.5 if places else 0.0
-    for k, ats in anchors.items():
-        automaton = AUTOMATA[k]
+    for (k, automaton), ats in anchors:
         for at in ats:
             i = index(at)
             ends = [(automaton.longest(words, j), j) for j in range(max(0, i - automaton.lead), i + 1)]

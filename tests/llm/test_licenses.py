@@ -118,3 +118,39 @@ def test_base_against_plain_counting(spark):
         r = rows[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == expected
         assert set(filter(None, expected[4].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def full_text(name):
+    return licenses._wording(licenses.FULL_TEXTS[name][0])
+
+
+def test_whole_license_files():
+    for name in licenses.FULL_TEXTS:
+        text = full_text(name)
+        assert name in labels("Some project.\n\n" + text + "\nMore."), name
+        assert name in labels(" ".join(text.split()).upper()), name  # set in one line
+        assert name in labels(re.sub(r"(?m)^(\s*)\(?[a-e][).] ", r"\1* ", text)), name  # other list marks
+        _, begin, end = licenses.FULL_TEXTS[name]
+        terms = text[text.index(begin) : text.index(end) if end else None]  # the notes behind them hold a file header, which has a label of its own
+        assert name in labels(terms), name
+        for word in ("permission", "damages", "version"):
+            for m in [*re.finditer(rf"\b{word}\b", terms)][:3]:
+                assert name not in labels(terms[: m.start()] + "something" + terms[m.end() :]), (name, word)
+        assert name not in labels(text[: len(text) // 2]), name
+    families = {n: {x for x in labels(full_text(n)) if x in licenses.FULL_TEXTS} for n in licenses.FULL_TEXTS}
+    assert families == {n: {n} for n in families}
+
+
+def test_file_header_of_the_mozilla_license():
+    head = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+    head += " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"
+    assert "MPL-2.0" in labels(head) and "MPL-2.0" not in labels(head.replace("was not", "was"))
+    apache = wording("Apache-2.0").replace("http https www", "https")
+    assert "Apache-2.0" in labels(apache) and "Apache-2.0" in labels(apache.replace("https", "http www"))
+    assert labels("Licensed under CC0 1.0 Universal") == ["CC0-1.0-notice"]
+
+
+def test_many_beginnings_of_a_license():
+    begins = "terms and conditions for copying distribution " * 20_000
+    assert labels(begins) == [""]
+    assert "GPL-2.0" in labels(begins + full_text("GPL-2.0"))
