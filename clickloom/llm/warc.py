@@ -55,17 +55,24 @@ def classify(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     part = lambda at, n: F.substring(name, at, n)
     # a UUID of version 8 (made from a hash)
     record_id = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
-    rows = rows.withColumn("record_id", record_id)
+    # written, so that records keep their ids however often a part of the input is read again
+    rows = staged(rows.withColumn("record_id", record_id), "records")
     # the first record of each payload that occurs more than once: one row a payload, summed before the shuffle
-    first = (
+    first = staged(
         rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.max("page_id").alias("last"))
-        .where("first.page_id < last")
-        .select("digest", "first")
+        .agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n"))
+        .where("first.page_id < last"),
+        "payloads",
     )
+    # payloads on over a thousandth of the pages, of which there are fewer than a thousand, are broadcast; other rows meet theirs by digest
+    often = F.col("n") * 1000 > F.lit(rows.count())
+    hot = F.broadcast(first.where(often).select("digest", F.col("first").alias("hot")))
+    rest = first.where(~often).select(F.col("digest").alias("key"), "first")
+    keyed = rows.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.col("record_id")))
+    joined = keyed.join(rest, "key", "left").withColumn("first", F.coalesce("hot", "first"))
     revisits = F.col("first.page_id") < F.col("page_id")
-    return rows.join(first, "digest", "left").select(
+    return joined.select(
         "record_id", "page_id", "url", "html", "digest",
         F.when(revisits, F.col("first.page_id")).alias("refers_to"), F.when(revisits, F.col("first.record_id")).alias("refers_record"),
     )

@@ -73,3 +73,24 @@ def test_warc_finds_damage(spark):
     chunks = warc.staged(warc.write_records(warc.classify(pages), chunk=1000), "warc")
     with pytest.raises(Exception, match="damaged or missing"):
         warc.read_records(chunks.where("chunk <> 2")).collect()
+
+
+def test_payload_on_a_third_of_the_pages(spark):
+    rows = [(i, f"u{i}", "h" * 200 if i % 3 == 0 else f"{i // 2 * 2:0200d}") for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r for r in warc.archive_pages(pages).collect()}
+    first = {}
+    for page, _, h in rows:
+        first.setdefault(h, page)
+    assert len(got) == len(rows)
+    for page, _, h in rows:
+        assert got[page]["refers_to"] == (None if first[h] == page else first[h])
+
+
+def test_records_keep_their_ids(spark):
+    pages = spark.createDataFrame([(i % 4, "u", "p" * 150) for i in range(8)], "page_id long, url string, html string")
+    found = warc.classify(pages)
+    ids = {r["record_id"] for r in found.collect()}
+    again = found.repartition(7)  # a plan of other parts reads the same written ids
+    assert {r["record_id"] for r in again.collect()} == ids and len(ids) == 8
+    assert {r["refers_record"] for r in again.collect()} - {None} <= ids
