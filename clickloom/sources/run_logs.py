@@ -47,17 +47,22 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Utilisation traces: CSV files below ``path`` with a header and blanks around the cells; the last line of each, which is cut off, goes.
 
-    All columns are text.  Files share the header of the first.
+    All columns are text.  Files may differ in their headers: columns are those of all headers, in the order of files, and null where a file lacks one.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")
     )
     lines = written(lines, "trace")
-    ends = lines.groupBy("file").agg(F.min("line").alias("first"), F.max("line").alias("last"))
-    header = lines.orderBy("file", "line").first()
-    if header is None:
+    ends = lines.groupBy("file").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.min_by("value", "line").alias("header"))
+    # one row for each different header
+    headers = [r["header"] for r in ends.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()]
+    if not headers:
         return spark.createDataFrame([], "value string")
-    names = [x.strip() for x in header["value"].split(",")]
-    row = F.from_csv("value", ", ".join(f"`{x}` string" for x in names), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    named = [[x.strip() for x in header.split(",")] for header in headers]
+    names = list(dict.fromkeys(x for header in named for x in header))
+    cells = [f"c{i}" for i in range(max(map(len, named)))]
+    row = F.from_csv("value", ", ".join(f"{c} string" for c in cells), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    own = F.transform(F.split("header", ","), lambda x: F.trim(x))
+    column = lambda name: F.get(F.array(*[F.col(f"row.{c}") for c in cells]), F.array_position("own", name).cast("int") - 1).alias(name)
     inner = lines.join(ends, "file").where((F.col("line") > F.col("first")) & (F.col("line") < F.col("last")))
-    return inner.select(row.alias("row")).select("row.*")
+    return inner.select(row.alias("row"), own.alias("own")).select(*map(column, names))

@@ -20,6 +20,15 @@ def test_trace_drops_the_cut_line(spark, tmp_path):
     assert chosen.columns == ["time"] and chosen.count() == 3
 
 
+def test_traces_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time, kind, busy\n1, gpu, 5\n2, c")
+    (tmp_path / "b.csv").write_text("busy, time, power\n7, 3, 90\n8, 4,")
+    (tmp_path / "c.csv").write_text("busy, time, power\n9, 5, \"8,0\"\n1")
+    trace = read_trace(spark, str(tmp_path))
+    assert trace.columns == ["time", "kind", "busy", "power"]
+    assert sorted((tuple(r) for r in trace.collect()), key=lambda r: r[0]) == [("1", "gpu", "5", None), ("3", None, "7", "90"), ("5", None, "9", "8,0")]
+
+
 def test_a_trace_of_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert read_trace(spark, str(tmp_path)).count() == 0
