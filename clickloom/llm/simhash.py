@@ -146,7 +146,12 @@ def _components(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs`` (doc_id, text)."""
     prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(F.col("text")).alias("fp")), "prints")
-    return prints.join(_components(prints), "fp").select(
+    found = staged(_components(prints), "found")
+    # fingerprints of over a thousandth of the rows, of which there are fewer than a thousand, are broadcast; other rows meet theirs by a join
+    often = prints.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") * 1000 > F.lit(prints.count())).select("fp")
+    hot = F.broadcast(staged(found.join(often, "fp"), "hot"))
+    rows = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(found, "fp"))
+    return rows.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
