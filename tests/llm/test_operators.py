@@ -142,16 +142,3 @@ def test_fingerprints_against_the_rule(spark, docs, texts):
     more = ["ÀB cd Ef gh", "a  b\u00a0c d", "one two three", "Z", "a b c d " * 300]
     rows = simhash.near_duplicates(documents(spark, texts + more)).collect()
     assert {r["doc_id"]: r["fingerprint"] for r in rows} == {i: f"{plain_fingerprint(t):016x}" for i, t in enumerate(texts + more)}
-
-
-def test_near_duplicates_of_a_hot_text(spark):
-    texts = ["the same words in a third of all rows" if i % 3 == 0 else None if i % 3 == 1 and i % 2 else f"row {i} has {i * 7919} words {i * 104729} of its own {i}" for i in range(3000)]
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(documents(spark, texts)).collect()}
-    assert len(got) == len(texts)
-    for i, text in enumerate(texts):
-        assert got[i]["fingerprint"] == f"{simhash.fingerprint(text):016x}"
-    first = {}
-    for i in sorted(got):
-        first.setdefault(got[i]["fingerprint"], got[i]["component_id"])
-        assert got[i]["component_id"] == first[got[i]["fingerprint"]] <= i
-    assert all(got[i]["component_id"] == 0 for i in range(0, 3000, 3)) and got[1]["component_id"] == got[2995]["component_id"] == 1
