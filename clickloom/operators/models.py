@@ -7,6 +7,9 @@ page: their statistics are the dictionary of page lists with the numbers of its
 [cases, 10] numbers in NumPy, since their recursions nest two deep over ranks.  A block adds up its posteriors by query and
 document before rows leave it.
 
+In PBM and UBM a pair has at most two cases a cell (20, 110 or 200), so ``fit`` keeps them as arrays beside the pair's own parameter: a round
+then maps each row to its new parameter, without a join or a shuffle, and each task adds one share for every cell that it met.
+
 Parameters are a table (kind, query_id, doc_id, num, den): ``ATTRACT`` and ``SATISFY`` by query and document,
 ``PUBLIC`` with the cell's number in doc_id.
 """
@@ -17,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.config import RANKS
-from clickloom.functions.clicks import previous_clicks, slot, value
+from clickloom.functions.clicks import CEILING, previous_clicks, slot, value
 from clickloom.operators.lists import ATTRACT, PUBLIC, SATISFY, ListBlock, list_values, page_lists
 
 PRIOR_NUM, PRIOR_DEN = 1.0, 2.0
 THETA = "kind int, query_id int, doc_id int, num double, den double"
+CARRIED = THETA + ", cells array<int>, n array<long>, n_cell array<long>"
 
 
 class ClickModel:
@@ -35,6 +40,7 @@ class ClickModel:
     public_name = "examination"
     public = RANKS
     kinds = (ATTRACT,)
+    carries = False  # whether rounds map a table of pairs that hold their cases
 
     def statistics(self, train: DataFrame) -> DataFrame:
         """What EM rounds read: the distinct cases of the training pages and their numbers."""
@@ -66,6 +72,8 @@ def ranks(values: np.ndarray) -> pa.Array:
 class _Separable(ClickModel):
     """PBM and UBM: a click is attraction times examination of the cell."""
 
+    carries = True
+
     def cells(self) -> Column:
         raise NotImplementedError
 
@@ -90,6 +98,43 @@ class _Separable(ClickModel):
         shared = entry(PUBLIC, F.lit(None).cast("int"), F.col("cell"), of(F.col("g")), F.col("n_cell"))
         return rows.select(F.explode(F.array(private, shared)).alias("p")).select("p.*")
 
+    def carried(self, statistics: DataFrame, start: DataFrame | None = None) -> DataFrame:
+        """A row for each pair: its parameter, that of ``start`` or the prior, and its cases, where ``cells`` holds twice the cell and the click."""
+        code = (2 * F.col("cell") + F.col("click")).cast("int").alias("cells")
+        pairs = statistics.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct(code, "n", "n_cell")).alias("x"))
+        if start is None:
+            pairs = pairs.select("*", F.lit(PRIOR_NUM).alias("num"), F.lit(PRIOR_DEN).alias("den"))
+        else:
+            known = start.where(F.col("kind") == ATTRACT).select("query_id", "doc_id", "num", "den")
+            pairs = pairs.join(known, ["query_id", "doc_id"], "left").na.fill({"num": PRIOR_NUM, "den": PRIOR_DEN})
+        return pairs.select(F.lit(ATTRACT).alias("kind"), "query_id", "doc_id", "num", "den", "x.cells", "x.n", "x.n_cell")
+
+    def advance(self, carried: DataFrame, public: list[float]) -> DataFrame:
+        """E-step over ``carried``: the posteriors of each pair, summed, with its cases; and shares of the public cells, without cases, one a task and cell."""
+        g = np.array(public)
+
+        def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shares, schema = np.zeros((2, len(g))), None
+            for batch in batches:
+                schema, batch = batch.schema, batch.filter(pc.equal(batch["kind"], ATTRACT))
+                code, n, n_cell = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("cells", "n", "n_cell"))
+                own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["cells"]).to_numpy(zero_copy_only=False))
+                cell, hit = code >> 1, code & 1 == 1
+                num, den = batch["num"].to_numpy(), batch["den"].to_numpy()
+                a = np.fmin(np.divide(num, den, out=np.full_like(num, CEILING), where=den != 0), CEILING)[own]
+                both = a * g[cell]
+                of = lambda x: np.where(hit, 1.0, (x - both) / (1 - both))
+                total = lambda at, x, size: np.bincount(at, weights=x, minlength=size)
+                shares += total(cell, of(g[cell]) * n_cell, len(g)), total(cell, n_cell, len(g))
+                sums = {"num": total(own, of(a) * n, batch.num_rows), "den": total(own, n, batch.num_rows)}
+                yield pa.RecordBatch.from_arrays([pa.array(sums[f.name]) if f.name in sums else batch[f.name] for f in schema], names=schema.names)
+            met = np.flatnonzero(shares[1])
+            if len(met):
+                cells = {"kind": np.full(len(met), PUBLIC, np.int32), "doc_id": met.astype(np.int32), "num": shares[0, met], "den": shares[1, met]}
+                yield pa.RecordBatch.from_arrays([pa.array(cells[f.name]) if f.name in cells else pa.nulls(len(met), f.type) for f in schema], names=schema.names)
+
+        return carried.mapInArrow(e_step, CARRIED)
+
 
 class PBM(_Separable):
     """Position-based model: examination by rank."""
@@ -119,6 +164,7 @@ class UBM(_Separable):
         if unset not in ("zero", "prior"):
             raise ValueError("unset is zero or prior")
         self.exact_slots, self.unset = exact_slots, unset
+        self.carries = unset == "zero"
         self.public = 100 if exact_slots else 55
 
     def cells(self) -> Column:

@@ -2,7 +2,8 @@
 
 A round is: join the private parameters to the statistics, form posteriors, sum them by key, add the prior (1, 2).
 One aggregate serves private and public parameters.  The new table is written to the shared
-folder, which cuts the lineage; the public values (at most 100) are read back as literals.
+folder, which cuts the lineage; the public values (at most 100) are read back as literals.  Where a model carries its cases (PBM, UBM) a round is a map over
+the pairs instead, with neither a join nor a shuffle.
 
 A fit may start from the parameters of another one, note its finished rounds in a folder and go on from there after a loss of the driver,
 and be added up from fits of parts of the pages.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.clicks import value
-from clickloom.operators.models import PRIOR_DEN, PRIOR_NUM, PUBLIC, ClickModel
+from clickloom.operators.models import PRIOR_DEN, PRIOR_NUM, PUBLIC, THETA, ClickModel
 from clickloom.operators.prepare import query_doc_pairs
 from clickloom.plans.storage import fresh, written
 
@@ -66,10 +67,18 @@ def initial(model: ClickModel, train: DataFrame, start: Fitted | None = None) ->
     return start.theta.unionByName(prior.join(start.theta, KEY, "left_anti"))
 
 
-def m_step(posteriors: DataFrame) -> DataFrame:
+def _summed(posteriors: DataFrame) -> DataFrame:
     return posteriors.groupBy(KEY).agg((F.sum("num") + PRIOR_NUM).alias("num"), (F.sum("den") + PRIOR_DEN).alias("den"))
 
 
+def m_step(posteriors: DataFrame) -> DataFrame:
+    """Sums by key and the prior.  Pairs that carry their cases are sums already; shares of public cells among them wait for ``_shared``."""
+    if "cells" not in posteriors.columns:
+        return _summed(posteriors)
+    prior = lambda x: F.when(F.col("kind") == PUBLIC, 0.0).otherwise(x)
+    return posteriors.withColumns({"num": F.col("num") + prior(PRIOR_NUM), "den": F.col("den") + prior(PRIOR_DEN)})
+
+
 def _public_values(model: ClickModel, theta: DataFrame) -> list[float]:
     public = [PRIOR_NUM / PRIOR_DEN] * model.public
     for r in theta.where(F.col("kind") == PUBLIC).select("doc_id", value(F.col("num"), F.col("den")).alias("v")).collect():
@@ -77,6 +86,23 @@ def _public_values(model: ClickModel, theta: DataFrame) -> list[float]:
     return public
 
 
+def opening(model: ClickModel, train: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """What the first round reads beside parameters: the statistics, or the pairs that carry them."""
+    statistics = model.statistics(train)
+    return model.carried(statistics, start) if model.carries else statistics
+
+
+def one_round(model: ClickModel, first: DataFrame, last: DataFrame, public: list[float]) -> DataFrame:
+    """The table after that of the ``last`` round; ``first`` is the opening."""
+    return m_step(model.advance(last, public) if model.carries else model.posteriors(first, last, public))
+
+
+def _shared(model: ClickModel, table: DataFrame) -> DataFrame:
+    """The public parameters of a round's table."""
+    rows = table.where(F.col("kind") == PUBLIC).select(*KEY, "num", "den")
+    return _summed(rows) if model.carries else rows
+
+
 class Progress:
     """The finished rounds of a fit: rows (round, fit, path) below ``folder``, each written after the tables that it names.
 
@@ -115,7 +141,7 @@ class Progress:
 def _identity(model: ClickModel, train: DataFrame, start: Fitted | None) -> str:
     """Model, options, and order-free sums over the training pages and the start."""
     total = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
-    parts = [model.name, sorted(vars(model).items()), *total(train.select("serp_id", "query_id", "docs", "clicks"))]
+    parts = [model.name, model.carries, sorted(vars(model).items()), *total(train.select("serp_id", "query_id", "docs", "clicks"))]
     return " ".join(map(str, [*parts, *(total(start.theta.select(*KEY, "num", "den")) if start else ())]))
 
 
@@ -128,15 +154,23 @@ def fit(model: ClickModel, train: DataFrame, iterations: int = 50, start: Fitted
     before = initial(model, train, start)
     progress = Progress(train.sparkSession, folder, _identity(model, train, start)) if folder else None
     keep = progress.table if progress else lambda number, compute: written(compute(), f"round-{number}")
-    statistics = keep(0, lambda: model.statistics(train))
-    theta, public = before, start.public if start else [PRIOR_NUM / PRIOR_DEN] * model.public
+    first = keep(0, lambda: opening(model, train, start.theta if start else None))
+    table, public = first if model.carries else before, start.public if start else [PRIOR_NUM / PRIOR_DEN] * model.public
     done = progress.last(iterations) if progress else 0
     if done:
-        theta = keep(done, None)
-        public = _public_values(model, theta)
+        table = keep(done, None)
+        public = _public_values(model, _shared(model, table))
     for k in range(done + 1, iterations + 1):
-        theta = keep(k, lambda theta=theta, public=public: m_step(model.posteriors(statistics, theta, public)))
-        public = _public_values(model, theta)
+        table = keep(k, lambda table=table, public=public: one_round(model, first, table, public))
+        public = _public_values(model, _shared(model, table))
+    if not iterations:
+        return Fitted(model, before, public)
+    theta = table
+    if model.carries:
+        shared = train.sparkSession.createDataFrame(_shared(model, table).collect(), THETA)
+        theta = table.where(F.col("kind") != PUBLIC).select(*KEY, "num", "den").unionByName(shared)
+        if start is None:  # every pair of the pages has posteriors
+            return Fitted(model, theta, public)
     # keys that no posterior met (satisfaction of documents never clicked, pairs of the start alone) keep what they had
     missing = before.join(theta, KEY, "left_anti").where(F.col("kind") != PUBLIC)
     return Fitted(model, theta.unionByName(missing), public)

@@ -245,3 +245,29 @@ def test_batches_may_be_slices(spark, pages):
     rows = list_values(written(page_lists(pages), "statistics"), initial(make_model("ccm"), pages)).coalesce(1).toArrow().combine_chunks().to_batches()[0]
     whole, tail = ListBlock(rows), ListBlock(rows.slice(5))
     assert (tail.docs == whole.docs[5:]).all() and tail.n.sum() == whole.n[whole.ends[4] :].sum()
+
+
+@pytest.mark.parametrize("options", [("pbm", {}), ("ubm", {}), ("ubm", {"exact_slots": True})])
+def test_carried_rounds_equal_joined_ones(spark, pages, options):
+    model = make_model(options[0], **options[1])
+    statistics = written(model.statistics(pages), "statistics")
+    theta, public = initial(model, pages), [0.5] * model.public
+    for _ in range(3):
+        theta = written(em.m_step(model.posteriors(statistics, theta, public)), "theta")
+        public = em._public_values(model, theta)
+    same(fit(model, pages, 3), em.Fitted(model, theta, public))
+
+
+def test_a_carried_round_moves_no_row(spark, pages):
+    model = make_model("ubm")
+    table = written(em.opening(model, pages), "carried")
+    plan = em.one_round(model, table, table, [0.5] * model.public)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert all(len(r["cells"]) <= 110 for r in table.collect())
+
+
+def test_carried_rounds_of_no_pages(spark, pages):
+    empty = pages.where("serp_id < 0")
+    assert fit(make_model("ubm"), empty, 2).theta.count() == 0
+    start = fit(make_model("pbm"), pages, 1)
+    assert private(fit(make_model("pbm"), empty, 1, start=start)) == private(start)
