@@ -32,6 +32,11 @@ def options(arguments: list[str] | None = None) -> RunOptions:
 
 
 def run(spark: SparkSession, o: RunOptions):
+    """(fitted model, metrics table) of a run."""
+    return counted_run(spark, o)[:2]
+
+
+def counted_run(spark: SparkSession, o: RunOptions):
     """(fitted model, metrics table, counts of what was read) of a run; parameters are written if a prefix is given."""
     parsed, read, tested = Observation("parsed"), Observation("read"), Observation("tested")  # counted as the tables are written
     serps, _ = read_click_log(spark, o.raw_path, o.max_sessions, parsed)
@@ -47,7 +52,7 @@ def run(spark: SparkSession, o: RunOptions):
 def main() -> None:
     o = options()
     spark = SparkSession.builder.appName(f"clickloom-{o.job_id}").getOrCreate()
-    _, metrics, n = run(spark, o)
+    _, metrics, n = counted_run(spark, o)
     print(f"read {n['n_queries']} queries in {n['n_lines']} lines, rejected {n['n_rejected']}; train {n['n_train']} pages, test {n['n_test']}")
     metrics.show(50, truncate=False)
 

@@ -393,7 +393,7 @@ def export_in_order(spark, sf_dir):
 def cli_report(spark, sf_dir):
     """A run of the command line over the text log, its exports read back and held against the report's own model."""
     path, prefix = _text_log(spark, serps_from_orders(spark, sf_dir)), fresh(spark, "out")
-    fitted, metrics, _ = cli.run(spark, RunOptions(raw_path=path, output=prefix, max_sessions=-1, iterations=2, model="pbm", partition_type=3))
+    fitted, metrics = cli.run(spark, RunOptions(raw_path=path, output=prefix, max_sessions=-1, iterations=2, model="pbm", partition_type=3))
     shown = read_parameters(spark, prefix, "pbm").public_table().select(F.concat(F.lit("examination "), "slot").alias("metric"), "value")
     return metrics.unionByName(shown).select("metric", _rounded("value"))
 
