@@ -21,6 +21,8 @@ from clickloom.plans.storage import written
 ATTRACT, SATISFY, PUBLIC = 0, 1, 2
 #: A list that more than one in so many pages show is split; fewer than so many lists are.
 HOT = 1000
+#: So many lists of ten documents, or fewer, are broadcast with what belongs to them: some 10 MB at most.
+FEW = 10_000
 #: Cases that NumPy works on at once.
 CASES_AT_ONCE = 1 << 15
 
@@ -79,26 +81,48 @@ class ListBlock:
             low = high
 
 
-def with_values(pages: DataFrame, theta: DataFrame) -> DataFrame:
-    """``pages`` (serp_id, query_id, docs, ...) with the arrays ``a`` and ``s`` of its documents' values; 0.5 for unseen pairs.
-
-    Values are joined to the distinct lists and these to the pages.  A list on more than one in ``HOT`` pages is dealt over several tasks: such
-    lists, fewer than ``HOT``, are broadcast to salt their pages.
-    """
+def written_lists(pages: DataFrame) -> DataFrame:
+    """(query_id, docs, n, list_id): the distinct lists of ``pages`` and on how many of them each comes."""
     counted = pages.groupBy("query_id", "docs").agg(F.count("*").alias("n"))
-    lists = written(counted.withColumn("list_id", F.monotonically_increasing_id()), "lists")
-    total = lists.agg(F.sum("n")).first()[0] or 1
+    return written(counted.withColumn("list_id", F.monotonically_increasing_id()), "lists")
+
+
+def values_of_lists(lists: DataFrame, theta: DataFrame) -> DataFrame:
+    """``written_lists`` with the arrays ``a`` and ``s`` of its documents' values; null for unseen pairs, or in place of an array without any."""
     cells = lists.select("list_id", "query_id", F.posexplode("docs").alias("rank", "doc_id"))
     private = theta.where(F.col("kind") != PUBLIC).select("query_id", "doc_id", "kind", value(F.col("num"), F.col("den")).alias("v"))
-    known = cells.join(private, ["query_id", "doc_id"])
-    of = lambda kind, name: F.array(
-        *[F.coalesce(F.max(F.when((F.col("rank") == r) & (F.col("kind") == kind), F.col("v"))), F.lit(0.5)) for r in range(RANKS)]
-    ).alias(name)
-    values = lists.join(known.groupBy("list_id").agg(of(ATTRACT, "a"), of(SATISFY, "s")), "list_id", "left")
-    unseen = F.array_repeat(F.lit(0.5), RANKS)
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") * HOT / total)).cast("int")
-    values = values.select("query_id", "docs", F.coalesce("a", unseen).alias("a"), F.coalesce("s", unseen).alias("s"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    hot = lists.where(F.col("n") * HOT > total).select("query_id", "docs", salts.alias("salts"))
+    known = cells.join(private.hint("merge"), ["query_id", "doc_id"])  # cells are more than their file tells, so none is broadcast
+    of = lambda kind, name: F.array(*[F.max(F.when((F.col("rank") == r) & (F.col("kind") == kind), F.col("v"))) for r in range(RANKS)]).alias(name)
+    return lists.join(known.groupBy("list_id").agg(of(ATTRACT, "a"), of(SATISFY, "s")), "list_id", "left")
+
+
+def filled(values: DataFrame) -> DataFrame:
+    """``values_of_lists`` with 0.5 for unseen pairs."""
+    of = lambda name: F.coalesce(F.transform(name, lambda x: F.coalesce(x, F.lit(0.5))), F.array_repeat(F.lit(0.5), RANKS))
+    return values.withColumns({name: of(name) for name in ("a", "s")})
+
+
+def to_pages(pages: DataFrame, lists: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """``pages`` with the ``columns`` that ``values`` gives to each of their ``lists``.
+
+    Up to ``FEW`` lists are broadcast, unless broadcasts are switched off, so that no page is shuffled.  Of more, a list on more than one in ``HOT`` pages is dealt over several
+    tasks: such lists, fewer than ``HOT``, are broadcast to salt their pages.
+    """
+    size = lists.agg(F.sum("n").alias("pages"), F.count("*").alias("lists")).first()
+    if size["lists"] <= FEW and pages.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1":
+        return pages.join(F.broadcast(values.select("query_id", "docs", *columns)), ["query_id", "docs"])
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") * HOT / size["pages"])).cast("int")
+    values = values.select("query_id", "docs", *columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    hot = lists.where(F.col("n") * HOT > size["pages"]).select("query_id", "docs", salts.alias("salts"))
     salt = F.pmod(F.xxhash64("serp_id"), F.coalesce("salts", F.lit(1))).cast("int")
     keyed = pages.join(F.broadcast(hot), ["query_id", "docs"], "left").withColumn("salt", salt).drop("salts")
-    return keyed.join(values, ["query_id", "docs", "salt"]).drop("salt")
+    return keyed.join(values.hint("merge"), ["query_id", "docs", "salt"]).drop("salt")
+
+
+def with_values(pages: DataFrame, theta: DataFrame) -> DataFrame:
+    """``pages`` (serp_id, query_id, docs, ...) with the arrays ``a`` and ``s`` of its documents' values; 0.5 for unseen pairs.
+
+    Values are joined to the distinct lists and these to the pages.
+    """
+    lists = written_lists(pages)
+    return to_pages(pages, lists, filled(values_of_lists(lists, theta)), "a", "s")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.clicks import value
-from clickloom.operators.models import PRIOR_DEN, PRIOR_NUM, PUBLIC, THETA, ClickModel
+from clickloom.operators.models import PRIOR_DEN, PRIOR_NUM, PUBLIC, ClickModel
 from clickloom.operators.prepare import query_doc_pairs
 from clickloom.plans.storage import fresh, written
 
@@ -167,7 +167,7 @@ def fit(model: ClickModel, train: DataFrame, iterations: int = 50, start: Fitted
         return Fitted(model, before, public)
     theta = table
     if model.carries:
-        shared = train.sparkSession.createDataFrame(_shared(model, table).collect(), THETA)
+        shared = written(_shared(model, table), "public")  # a table whose size Spark knows, so that joins broadcast the lesser side
         theta = table.where(F.col("kind") != PUBLIC).select(*KEY, "num", "den").unionByName(shared)
         if start is None:  # every pair of the pages has posteriors
             return Fitted(model, theta, public)

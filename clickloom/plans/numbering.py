@@ -23,3 +23,17 @@ def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     within = Window.partitionBy("__range").orderBy(*keys)
     placed = ranged.withColumn("__place", F.row_number().over(within)).join(F.broadcast(offsets), "__range")
     return placed.withColumn(name, F.col("__before") + F.col("__place") - 1).drop("__range", "__before", "__place")
+
+
+def in_reading_order(lines: DataFrame, name: str) -> DataFrame:
+    """``numbered_lines`` with their place, from 0: files by name, and lines as they stand there.
+
+    ``line`` counts on within what a task read of a file, so a place is that of the stretch's first line plus the distance from it.  Lines are neither
+    sorted nor shuffled; a row for each stretch passes through one task and is broadcast.
+    """
+    stretch = [F.col("block.file").alias("__file"), F.col("block.start").alias("__start")]
+    found = lines.groupBy(*stretch).agg(F.count("*").alias("__n"), F.min("line").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = found.select("__file", "__start", "__first", before.alias("__before"))
+    placed = lines.select("*", *stretch).join(F.broadcast(places), ["__file", "__start"])
+    return placed.withColumn(name, F.col("__before") + F.col("line") - F.col("__first")).drop("__file", "__start", "__first", "__before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.operators.lists import with_values
+from clickloom.operators.lists import filled, to_pages, values_of_lists, written_lists
 from clickloom.operators.models import ATTRACT, SATISFY
 from clickloom.operators.score import measures, perplexity_by_rank, score_cases
 from clickloom.plans.em import Fitted
@@ -23,12 +23,15 @@ def public_export(fitted: Fitted, exact: bool = False) -> DataFrame:
 def private_export(fitted: Fitted, kind: int = ATTRACT, train: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """(query, document, value) with six decimals: one row per pair, or per training impression if ``train`` is given."""
     name = {ATTRACT: "attractiveness", SATISFY: "satisfaction"}[kind]
-    rows = fitted.private(kind)
-    if train is not None:
-        shown = train.select("query_id", F.explode("docs").alias("doc_id"))
-        rows = shown.join(rows, ["query_id", "doc_id"])
-    more = ["num", "den"] if exact else []
-    return rows.select(F.col("query_id").alias("query"), F.col("doc_id").alias("document"), F.format_string(SIX, "value").alias(name), *more)
+    rows, more = fitted.private(kind), ["num", "den"] if exact else []
+    shown = [F.col("doc_id").alias("document"), F.format_string(SIX, "value").alias(name), *more]
+    if train is None:
+        return rows.select(F.col("query_id").alias("query"), *shown)
+    # impressions of a list are put together once, and pages get them from there; impressions themselves are never joined
+    lists = written_lists(train)
+    cells = lists.select("list_id", "query_id", F.posexplode("docs").alias("rank", "doc_id")).join(rows.hint("merge"), ["query_id", "doc_id"])
+    values = lists.join(cells.groupBy("list_id").agg(F.collect_list(F.struct(*shown)).alias("shown")).hint("merge"), "list_id")
+    return to_pages(train, lists, values, "shown").select(F.col("query_id").alias("query"), F.inline("shown"))
 
 
 def write_parameters(fitted: Fitted, prefix: str, train: DataFrame | None = None, exact: bool = False, in_order: bool = False) -> list[str]:
@@ -58,9 +61,11 @@ def write_in_order(fitted: Fitted, train: DataFrame, path: str, kind: int = ATTR
     more than a range.
     """
     name = {ATTRACT: "attractiveness", SATISFY: "satisfaction"}[kind]
-    values = F.arrays_zip("docs", F.col("a" if kind == ATTRACT else "s").alias("v"))
     line = lambda x: F.concat_ws(", ", F.col("query_id"), x["docs"], F.format_string(SIX, x["v"]))
-    pages = with_values(train.select("serp_id", "query_id", "docs"), fitted.theta).select("serp_id", F.transform(values, line).alias("lines"))
+    lists = written_lists(train)
+    values = filled(values_of_lists(lists, fitted.theta)).withColumn("v", F.col("a" if kind == ATTRACT else "s"))
+    values = values.withColumn("lines", F.transform(F.arrays_zip("docs", "v"), line))  # once for each list
+    pages = to_pages(train, lists, values, "lines").select("serp_id", "lines")
     head = train.sparkSession.createDataFrame([(None, [f"query, document, {name}"])], "serp_id long, lines array<string>")
     ordered = head.unionByName(pages).repartitionByRange(F.asc_nulls_first("serp_id")).sortWithinPartitions(F.asc_nulls_first("serp_id"))
     ordered.select(F.explode("lines").alias("value")).write.mode("overwrite").text(path)

@@ -13,9 +13,11 @@ from clickloom.operators.models import make_model
 from clickloom.operators.score import log_likelihood, perplexity_by_rank, score, score_cases
 from clickloom.plans import em
 from clickloom.plans.em import fit, fit_replicas, initial, merge
+from clickloom.plans.numbering import in_reading_order
 from clickloom.plans.storage import fresh, written
+from clickloom.sources.click_log import numbered_lines
 from clickloom.sources.parameters import read_parameters
-from clickloom.sources.sinks import write_in_order, write_parameters
+from clickloom.sources.sinks import private_export, write_in_order, write_parameters
 
 SCHEMA = "serp_id long, query_id int, docs array<int>, clicks array<int>"
 KINDS = ["pbm", "ubm", "ccm", "dbn"]
@@ -241,6 +243,35 @@ def test_lines_of_the_ordered_export(spark, pages):
         assert lines == [f"query, document, {name}"] + [f"{r['query_id']}, {d}, {known.get((r['query_id'], d), 0.5):.6f}" for r in rows for d in r["docs"]]
 
 
+@pytest.mark.parametrize("few", [lists.FEW, 0])
+def test_an_export_by_impression_broadcasts_no_impressions(spark, pages, few, monkeypatch):
+    """Pages lie in a small file, but their impressions are what a broadcast of them would hold; pairs that training lacks have no line."""
+    monkeypatch.setattr(lists, "FEW", few)
+    fitted, shown = fit(make_model("pbm"), pages.where("serp_id < 60"), 1), written(pages, "pages")
+    export = private_export(fitted, train=shown, exact=True)
+    assert "BuildLeft" not in export._jdf.queryExecution().toString()
+    known = {(r["query_id"], r["doc_id"]): (f"{r['value']:.6f}", r["num"], r["den"]) for r in fitted.private().collect()}
+    want = [(r["query_id"], d, *known[r["query_id"], d]) for r in pages.collect() for d in r["docs"] if (r["query_id"], d) in known]
+    assert sorted(map(tuple, export.collect())) == sorted(want)
+
+
+def test_lines_keep_their_places(spark, tmp_path):
+    """Several files, read in stretches and cut into blocks: places are those of the files joined by name, and no line is shuffled."""
+    want = []
+    for i, n in enumerate((700, 0, 1, 2500)):
+        own = [f"{i} {k} {'x' * (k % 50)}" for k in range(n)]
+        (tmp_path / f"part-{i}.txt").write_text("".join(f"{line}\n" for line in own))
+        want += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        placed = in_reading_order(numbered_lines(spark, str(tmp_path), 100), "place").select("place", "value")
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().toString()
+        found = placed.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in sorted(found)] == list(enumerate(want))
+
+
 def test_batches_may_be_slices(spark, pages):
     rows = list_values(written(page_lists(pages), "statistics"), initial(make_model("ccm"), pages)).coalesce(1).toArrow().combine_chunks().to_batches()[0]
     whole, tail = ListBlock(rows), ListBlock(rows.slice(5))
