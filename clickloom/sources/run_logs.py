@@ -28,9 +28,17 @@ PATH = {
 }
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log below ``path``: what the path tells, and the last number after each label (null without one)."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+def read_run_logs(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """One row per log below ``path``: what the path tells, and the last number after each label (null without one).
+
+    A log is a file.  With ``packed`` files hold many logs, as a file each is too dear for many short runs: a line is the path of its log, a tab and
+    the log's line, and the lines of a log stand in order in one file.  Lines without a tab belong to no log.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("line")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), place)
+    if packed:
+        tab = F.instr("value", "\t")
+        lines = lines.where(tab > 0).select(F.substring("value", tab + 1, F.length("value")).alias("value"), F.substring("value", F.lit(1), tab - 1).alias("file"), "line")
     found = [
         F.max_by(
             F.regexp_extract("value", "\\Q" + label + "\\E\\s*" + NUMBER, 1).try_cast("double"),
@@ -38,7 +46,7 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
         ).alias(name)
         for name, label in LABELS.items()
     ]
-    decoded = F.url_decode(F.regexp_replace("file", r"\+", "%2B"))
+    decoded = F.col("file") if packed else F.url_decode(F.regexp_replace("file", r"\+", "%2B"))
     keys = [F.regexp_extract(decoded, pattern, 1).alias(name) for name, pattern in PATH.items()]
     numbers = [F.col(n).try_cast("long").alias(n) if n != "device" else F.col(n) for n in PATH]
     return lines.groupBy("file").agg(*found).select("*", *keys).select("file", *numbers, *LABELS)

@@ -54,3 +54,26 @@ def test_stream(spark, tmp_path):
     score_stream(spark.readStream.schema(serps.schema).parquet(str(tmp_path / "in")), fitted, "scored_pages", str(tmp_path / "check")).awaitTermination(120)
     assert spark.table("scored_pages").count() == 100 and spark.table("scored_pages").where("log_likelihood < 0").count() == 100
     spark.sql("drop table scored_pages")
+
+
+def test_packed_run_logs(spark, tmp_path):
+    """Logs packed into files give the rows that a file for each gives, also where a file is read in several stretches; the last number after a label counts."""
+    logs = {}
+    for i in range(40):
+        path = f"model_{i % 4}/GPU +{i % 3}/nodes_{1 << i % 2}/sessions_1000/partitioning_2/run_{i}.txt"
+        logs[path] = ["start", f"Total time of training: {i}", "Perplexity is: none" if i % 5 else "Perplexity is: 1.5", f"Total time of training: {i + 0.5} s", "a\tb"]
+        (tmp_path / "apart" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "apart" / path).write_text("".join(f"{line}\n" for line in logs[path]))
+    (tmp_path / "packed").mkdir()
+    for k in range(2):
+        own = [f"{path}\t{line}\n" for path, lines in list(logs.items())[k::2] for line in lines]
+        (tmp_path / "packed" / f"{k}.txt").write_text("".join(["no log\n", *own]))
+    rows = lambda runs: sorted(map(tuple, runs.drop("file").fillna(-1).collect()))
+    want = rows(read_run_logs(spark, str(tmp_path / "apart")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = read_run_logs(spark, str(tmp_path / "packed"), packed=True)
+        assert rows(found) == want and len(want) == 40
+        assert {r["file"] for r in found.collect()} == set(logs)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
