@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.operators.lists import to_pages, written_lists
 from clickloom.plans.numbering import numbered
 from clickloom.plans.storage import written
 
@@ -89,13 +90,13 @@ def dense_ids(serps: DataFrame) -> DataFrame:
 def filter_test(train: DataFrame, test: DataFrame) -> DataFrame:
     """Test pages that show at least one document which training saw under the same query.
 
-    A page of an unseen query shows none, so it goes as well.  Pairs decide by a semi-join of
-    exploded pages; the pages themselves are shuffled once, by their number.
+    A page of an unseen query shows none, so it goes as well.  Pairs decide, by a semi-join, about the
+    distinct lists of documents, and these about the pages that show them.
     """
-    seen = query_doc_pairs(train)
-    shown = test.select("serp_id", "query_id", F.explode("docs").alias("doc_id"))
-    kept = shown.join(seen, ["query_id", "doc_id"], "left_semi").select("serp_id").distinct()
-    return test.join(kept, "serp_id", "left_semi")
+    lists = written_lists(test)
+    shown = lists.select("list_id", "query_id", F.explode("docs").alias("doc_id"))
+    kept = shown.join(query_doc_pairs(train), ["query_id", "doc_id"], "left_semi").select("list_id").distinct()
+    return to_pages(test, lists, lists.join(kept, "list_id", "left_semi")).select(*test.columns)
 
 
 def bucket_statistics(train: DataFrame, test: DataFrame, buckets: int = 8) -> DataFrame:

@@ -75,21 +75,22 @@ def to_serps(actions: DataFrame, max_sessions: int = -1) -> DataFrame:
     log) give each block its first number.
     """
     is_query = F.col("query_id").isNotNull().cast("long")
-    counts = actions.groupBy("block").agg(F.sum(is_query).alias("n"))
+    counts = actions.groupBy("block").agg(F.sum(is_query).alias("n"), F.min("line").alias("first"))  # a block's first line is its number
     before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("block", before.alias("before"))
-    within = Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = actions.join(offsets, "block").withColumn("serp_id", F.col("before") + F.sum(is_query).over(within))
+    offsets = counts.select("block", "first", before.alias("before"))
+    within = Window.partitionBy("first").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = actions.join(F.broadcast(offsets), "block").select("first", "line", "query_id", "docs", "doc_id", "before")
+    numbered = numbered.withColumn("serp_id", F.col("before") + F.sum(is_query).over(within))
     emitted = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) - 1).alias("n")).first()["n"]
     limit = emitted if max_sessions == -1 else min(emitted, max_sessions)
     numbered = numbered.where((F.col("serp_id") >= 1) & (F.col("serp_id") <= limit))
-    pages = numbered.where("query_id is not null").select("serp_id", "query_id", "docs")
-    clicked = numbered.where("query_id is null").groupBy("serp_id").agg(F.collect_set("doc_id").alias("clicked"))
+    page = F.max(F.when(F.col("query_id").isNotNull(), F.struct("query_id", "docs"))).alias("page")  # one of each number
+    pages = numbered.groupBy("serp_id").agg(page, F.collect_set("doc_id").alias("clicked")).select("serp_id", "page.*", "clicked")
     flags = F.transform(
         "docs",
-        lambda d, i: (F.array_contains(F.coalesce("clicked", F.array().cast("array<int>")), d) & (F.array_position("docs", d) == i + 1)).cast("int"),
+        lambda d, i: (F.array_contains("clicked", d) & (F.array_position("docs", d) == i + 1)).cast("int"),
     )
-    return pages.join(clicked, "serp_id", "left").select("serp_id", "query_id", "docs", flags.alias("clicks"))
+    return pages.select("serp_id", "query_id", "docs", flags.alias("clicks"))
 
 
 def read_click_log(spark: SparkSession, path: str, max_sessions: int = -1, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +135,7 @@ def as_lines(serps: DataFrame) -> DataFrame:
     page = F.concat_ws(" ", "serp_id", F.lit(0), F.lit("Q"), "query_id", F.lit(0), F.array_join(F.transform("docs", lambda d: d.cast("string")), " "))
     hits = F.filter(F.transform("docs", lambda d, i: F.when(F.get("clicks", i) == 1, d)), lambda d: d.isNotNull())
     clicks = F.transform(hits, lambda d: F.concat_ws(" ", F.col("serp_id"), F.lit(1), F.lit("C"), d))
-    rows = serps.select("serp_id", F.posexplode(F.concat(F.array(page), clicks)).alias("at", "value"))
-    return rows.orderBy("serp_id", "at").select("value")
+    return serps.orderBy("serp_id").select(F.explode(F.concat(F.array(page), clicks)).alias("value"))  # pages are sorted, not their lines
 
 
 def write_click_log(serps: DataFrame, path: str, compression: str = "none") -> str:

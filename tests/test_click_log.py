@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from clickloom.config import RunOptions
 from clickloom.functions.clicks import last_click, previous_clicks, slot, value
 from clickloom.operators import prepare
-from clickloom.sources.click_log import impressions, numbered_lines, parse, read_click_log, to_serps
+from clickloom.plans.storage import written
+from clickloom.sources.click_log import impressions, numbered_lines, parse, read_click_log, serps_from_orders, to_serps, write_click_log
 
+SF = "/root/testdata/sf0.001"
 LOG = """1 0 Q 7 0 10 11 12 13 14 15 16 17 18 19
 1 5 C 12
 2 0 Q 7 0 10 10 12 13 14 15 16 17 18 19
@@ -125,3 +127,12 @@ def test_options_are_checked():
     for wrong in ({"model": "xyz"}, {"partition_type": 6}, {"test_share": 1.5}, {"iterations": 0}):
         with pytest.raises(ValueError):
             RunOptions(**wrong)
+
+
+def test_lines_and_pages_are_moved_once(spark, tmp_path):
+    """Clicks meet their pages in one group, and pages of the test are told by their lists: neither is joined by the pages' number."""
+    path = write_click_log(serps_from_orders(spark, SF).where("serp_id < 200"), str(tmp_path / "log"))
+    serps, _ = read_click_log(spark, path)
+    assert serps._jdf.queryExecution().executedPlan().toString().count("Join") == 1  # the first numbers of blocks
+    train, test = prepare.split(written(serps, "serps"))
+    assert "hashpartitioning(serp_id" not in prepare.filter_test(train, test)._jdf.queryExecution().executedPlan().toString()
