@@ -19,8 +19,8 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edge table (a, b); component is the least node reachable.
 
-    Each round is a grouped minimum and a join, both of which Spark splits where a
-    node is hot, and is written to the shared folder.  The number of rounds grows
+    Each round is a grouped minimum and a sort-merge join, both of which Spark splits where a
+    node is hot, so that no edges pass through the driver, and is written to the shared folder.  The number of rounds grows
     with the logarithm of the longest path.  Self links and repeated links are
     allowed; an empty table gives an empty result.
     """
@@ -30,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = _both(now)
-        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = both.join(_least(both).hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = large.where("a <> b").distinct()
-        small = large.join(_least(large), "a")
+        small = large.join(_least(large).hint("merge"), "a")
         now = staged(
             small.select(F.col("b").alias("a"), F.col("least").alias("b"))
             .union(small.select("a", F.col("least").alias("b")))

@@ -17,7 +17,9 @@ in four byte positions at least: that is the guaranteed minimum number of matche
 * A list longer than ``long_list`` (a dense family of near copies) isn't paired.
   Two fingerprints differ in at most four bits exactly when both lie within two bits of a
   common word, so each member posts its 2,081 words at two bits or fewer, and each word links
-  its members to the least of them: the same links, in a number that is linear in the list.
+  its members (2,081 at most) to the least of them: the same links, in a number that is linear in the list.
+* Joins are sort-merge joins by hint. Spark takes an exploded table for little larger than the one it is made of, and a
+  written one for as large as its compressed files, and would broadcast millions of such rows through the driver.
 
 Links are between distinct fingerprints; components are taken over those, and
 every document gets the component of its fingerprint.
@@ -109,13 +111,13 @@ def links(fingerprints: DataFrame, long_list: int = 256) -> DataFrame:
         "fp", "set", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes")
     )
     sizes = postings.groupBy("set", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    listed = staged(postings.join(sizes, ["set", "bytes"]), "postings")
+    listed = staged(postings.join(sizes.hint("merge"), ["set", "bytes"]), "postings")
     short = listed.where(F.col("n") <= long_list)
     left = short.select("set", "bytes", F.col("fp").alias("a"))
     right = short.select("set", "bytes", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     paired = (
-        left.join(right, ["set", "bytes"])
+        left.join(right.hint("merge"), ["set", "bytes"])
         .where("a < b")
         .where(shared_bytes(x) >= 8 - DISTANCE)
         .where(F.bit_count(x) <= DISTANCE)
@@ -125,8 +127,7 @@ def links(fingerprints: DataFrame, long_list: int = 256) -> DataFrame:
     near_by = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i, j in combinations(range(BITS), 2))]
     words = F.array(*[F.lit(_signed(x)) for x in near_by])
     near = dense.select("fp", F.explode(words).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-    least = near.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
-    starred = near.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    starred = near.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("word")).alias("b")).where("a <> b")
     return paired.union(starred)
 
 
@@ -137,16 +138,16 @@ def _components(prints: DataFrame) -> DataFrame:
     """
     least = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     found = components(links(least.select("fp")))
-    named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    named = least.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     named = staged(named.select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(names, "component").select("fp", F.col("component").alias("family"), "component_id")
+    return named.join(names.hint("merge"), "component").select("fp", F.col("component").alias("family"), "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs`` (doc_id, text)."""
     prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(F.col("text")).alias("fp")), "prints")
-    return prints.join(_components(prints), "fp").select(
+    return prints.join(_components(prints).hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
