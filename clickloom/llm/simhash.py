@@ -167,7 +167,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     named = _components(prints.select("fp", F.when(~F.col("none"), F.col("id")).alias("doc_id")))
     # the least key of each fingerprint first, so that a hot fingerprint is one row before the join
     least = prints.groupBy("fp").agg(F.min(F.struct("none", "id", "hash")).alias("key"))
-    kept = least.join(named, "fp").groupBy("family").agg(F.min("key").alias("key")).select("key.*")
+    kept = least.join(named.hint("merge"), "fp").groupBy("family").agg(F.min("key").alias("key")).select("key.*")
     first = Window.partitionBy("id", "none", "hash").orderBy(F.lit(0))
     return (
         rows.join(kept, ["id", "none", "hash"], "left_semi")

@@ -45,3 +45,25 @@ def test_documents_meet_their_components_without_a_broadcast(spark):
     found = simhash.near_duplicates(documents(spark, ["one two three four five"] * 3 + ["six seven eight"]))
     assert [r["component_id"] for r in sorted(found.collect(), key=lambda r: r["doc_id"])] == [0, 0, 0, 3]
     assert joined_apart(found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_the_near_dedup_stage_broadcasts_no_fingerprints(spark, plans):
+    stage = dict(pytest.importorskip("corpus_pipeline").STAGES)["near_dedup"]
+    kept = stage(spark, documents(spark, ["one two three four five"] * 3 + ["six seven eight", None, ""]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
+    assert all(joined_apart(p) for p in plans if "Join" in p)
+    assert "SortMergeJoin [fp" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_nodes_meet_their_least_below_the_shuffle_of_the_join(spark, plans):
+    """Spark splits a skewed join only where both of its sorts stand on its own shuffles."""
+    star = spark.createDataFrame([(0, i) for i in range(1, 50)], "a long, b long")
+    assert {r["component"] for r in components.components(star).collect()} == {0}
+    joins = 0
+    for plan in plans:
+        lines = [line.lstrip(" :+-*()0123456789") for line in plan.split("== Initial Plan ==")[0].splitlines()]
+        for i, line in enumerate(lines):
+            if line.startswith("Sort [a#"):
+                joins += 1
+                assert [x.split()[0] for x in lines[i + 1 : i + 4]][-2:] == ["ShuffleQueryStage", "Exchange"] or lines[i + 2].startswith(("ReusedExchange", "ShuffleQueryStage"))
+    assert joins >= 4
