@@ -3,9 +3,8 @@
 1. Passages are stretches of ``BLOCK`` words; their words are hashed into ``CELLS`` cells.
    Inverse passage frequencies come from all passages of all documents.
 2. A randomised SVD of the TF-IDF passage matrix gives a ``rank``-dimensional latent
-   space.  Its products (A'AQ) run as Spark jobs over a passage table: those of about
-   ``fit_documents`` documents (by a hash of the id) and all benchmark
-   passages, the latter weighted to the same total.  Only cell-by-rank matrices, whose size
+   space.  Its products (A'AQ) run as Spark jobs over a passage table: all passages of all documents, as two bytes a word,
+   and all benchmark passages, the latter weighted to the same total.  Only cell-by-rank matrices, whose size
    does not depend on the data, come to the driver, for a QR step.
 3. Every document is searched whole: windows of neighbouring passages (``WIDTHS``: two for benchmark passages of at most
    20 words, three up to 33, four for longer ones) are projected and compared by cosine with all
@@ -32,7 +31,7 @@ benchmark or table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -50,6 +49,12 @@ PASSAGE = 48
 #: Passages in a window, and up to how many words a benchmark passage is compared with it.
 WIDTHS = ((2, 20), (3, 33), (4, PASSAGE + 1))
 SPLITS = 64
+#: Passages in a row of the passage table, words that are cut into passages at once, and passages of which products are taken at once.
+ROW, CUT, STEP = 256, 1 << 16, 1 << 14
+#: Cells that occur more often among these are added up by themselves.
+FREQUENT = 32
+#: Words of a row of benchmark passages.
+ITEM = PASSAGE + 1
 GAP = 3
 #: Words of neighbouring short texts that are searched at once; a longer text is searched by itself.
 GROUP_WORDS = 30_000
@@ -65,8 +70,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def cells(words: list[bytes]) -> np.ndarray:
-    crc = zlib.crc32
-    return (np.array([crc(w) for w in words], np.uint32) & (CELLS - 1)).astype(np.int64)
+    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & (CELLS - 1)).astype(np.int64)
 
 
 def _parts(total: np.ndarray) -> pa.RecordBatch:
@@ -76,43 +80,69 @@ def _parts(total: np.ndarray) -> pa.RecordBatch:
 
 
 def _summed(parts: DataFrame, kind) -> np.ndarray:
-    """The tasks' sums added up by block in Spark; what reaches the driver has the size of one task's."""
+    """The tasks' sums added up by block in Spark, one part after another; what reaches the driver has the size of one task's."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), kind) for x in table.column("sums"))
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = 0, 0
+        for batch in batches:
+            for at, x in zip(batch.column(0), batch.column(1)):
+                block, total = at.as_py(), total + np.frombuffer(x.as_buffer(), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
+    add.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     rows = parts.groupBy("block").applyInArrow(add, PARTS).collect()
     return np.concatenate([np.frombuffer(r["sums"], kind) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(CELLS + 1, kind)
 
 
-def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages of all documents each cell occurs, and how many passages there are."""
+def _rows(passages: list[np.ndarray], width: int) -> list[bytes]:
+    """Stretches of cells as rows of passages of ``width`` cells: each stretch begins a passage, CELLS fills its last one, cells are sorted."""
+    lengths = np.array([len(c) for c in passages])
+    sizes = -(-lengths // width) * width
+    found = np.full(sizes.sum(), CELLS, np.uint16)
+    found[np.arange(lengths.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(lengths) + lengths, lengths)] = np.concatenate(passages)
+    found = found.reshape(-1, width)
+    found.sort(axis=1)
+    return [found[at : at + ROW].tobytes() for at in range(0, len(found), ROW)]
+
+
+def _of_rows(rows: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in rows), np.uint16).reshape(-1, width)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(CELLS + 1, np.int64), 0
 
-        def add(parts: list[np.ndarray]) -> None:
-            keys = np.unique(np.concatenate(parts))
-            total[:CELLS] += np.bincount(keys & (CELLS - 1), minlength=CELLS)
+def passage_table(docs: DataFrame) -> DataFrame:
+    """(cells): all passages of all documents, ``ROW`` of them in a row as sorted 16-bit cells, whatever the length of a text."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, held = [], 0
             for text in batch.column(0):
                 c = cells(tokens(text.as_py()))
-                if len(c):
-                    parts.append((n + np.arange(len(c)) // BLOCK) * CELLS + c)
-                    n += -(-len(c) // BLOCK)
-                    held += len(c)
-                if held > 1 << 18:
-                    add(parts)
-                    parts, held = [], 0
+                for at in range(0, len(c), CUT):
+                    parts.append(c[at : at + CUT])
+                    held += len(parts[-1])
+                    if held >= CUT:
+                        yield pa.RecordBatch.from_arrays([pa.array(_rows(parts, BLOCK), pa.binary())], names=["cells"])
+                        parts, held = [], 0
             if parts:
-                add(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(_rows(parts, BLOCK), pa.binary())], names=["cells"])
+
+    return staged(docs.select(F.col("text").cast("string")).mapInArrow(cut, "cells binary"), "passages")
+
+
+def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many rows of the passage table's passages each cell occurs, and how many passages there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(CELLS + 1, np.int64), 0
+        for batch in batches:
+            found = _of_rows(batch.column(0), BLOCK)
+            total += np.bincount(found[:, 0], minlength=CELLS + 1)
+            total += np.bincount(found[:, 1:][found[:, 1:] != found[:, :-1]], minlength=CELLS + 1)
+            n += len(found)
         total[CELLS] = n
         yield _parts(total)
 
-    found = _summed(docs.select(F.col("text").cast("string")).mapInArrow(count, PARTS), np.int64)
+    found = _summed(passages.mapInArrow(count, PARTS), np.int64)
     return found[:CELLS], int(found[CELLS])
 
 
@@ -137,17 +167,58 @@ def _item_passages(items: DataFrame) -> list[tuple[int, list[bytes], list[bytes]
     return sorted(found)
 
 
-def _products(passages: DataFrame, q: np.ndarray) -> np.ndarray:
-    """A'(A q) over the rows (cells, weights) of ``passages``: summed by cell blocks in Spark, CELLS x rank to the driver."""
-    shared = passages.sparkSession.sparkContext.broadcast(q)
+def _weights(passages: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Each passage's TF-IDF weights at length 1, where a cell first occurs; 0 elsewhere."""
+    first = np.ones(passages.shape, bool)
+    first[:, 1:] = passages[:, 1:] != passages[:, :-1]
+    at = np.flatnonzero(first)
+    found = np.zeros(passages.size, np.float32)
+    found[at] = np.diff(at, append=passages.size) * idf[passages.ravel()[at]]
+    found = found.reshape(passages.shape)
+    return found / np.maximum(np.sqrt(np.einsum("ij,ij->i", found, found)), 1e-12)[:, None]
+
+
+def _add(out: np.ndarray, passages: np.ndarray, weights: np.ndarray, y: np.ndarray) -> None:
+    """Adds A'y: for each cell the weighted rows of ``y`` of the passages that hold it."""
+    width, flat, w = passages.shape[1], passages.ravel(), weights.ravel()
+    used = np.flatnonzero(w)
+    used = used[np.argsort(flat[used], kind="stable")]
+    own = flat[used]
+    start = np.flatnonzero(np.diff(own, prepend=np.uint16(CELLS + 1)))
+    times = np.diff(start, append=len(own))
+    frequent = times > FREQUENT
+    for i in range(FREQUENT):  # the i-th occurrence of each cell: no cell twice
+        at = start[~frequent & (times > i)]
+        chosen = used[at + i]
+        out[own[at]] += y[chosen // width] * w[chosen][:, None]
+    for at, n in zip(start[frequent].tolist(), times[frequent].tolist()):
+        chosen = used[at : at + n]
+        out[own[at]] += w[chosen] @ y[chosen // width]
+
+
+def _products(passages: DataFrame, q: np.ndarray, idf: np.ndarray, scale: float) -> np.ndarray:
+    """A'(A q) over ``passages`` (cells, width), those of the benchmark times ``scale``: summed by cell blocks in Spark, CELLS x rank to the driver."""
+    shared = passages.sparkSession.sparkContext.broadcast((q, idf))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, out = shared.value, np.zeros(shared.value.shape, np.float32)
+        q, idf = shared.value
+        q, idf = np.vstack([q, np.zeros((1, q.shape[1]), np.float32)]), np.append(idf, 0).astype(np.float32)  # the last cell pads
+        out = np.zeros(q.shape, np.float32)
         for batch in batches:
-            for c, w in zip(batch.column(0), batch.column(1)):
-                c, w = c.values.to_numpy(), w.values.to_numpy().astype(np.float32)
-                out[c] += np.outer(w, w @ q[c])  # the cells of a row are distinct
-        yield _parts(out)
+            widths = batch.column(1).to_numpy()
+            for width in np.unique(widths).tolist():
+                rows = _of_rows(batch.column(0).take(pa.array(np.flatnonzero(widths == width))), width)
+                room = np.empty((64, width, q.shape[1]), np.float32)
+                for at in range(0, len(rows), STEP):
+                    part = rows[at : at + STEP]
+                    w = _weights(part, idf) * np.float32(scale if width == ITEM else 1.0)
+                    y = np.empty((len(part), q.shape[1]), np.float32)
+                    for i in range(0, len(part), 64):
+                        held = room[: len(part) - i]
+                        np.take(q, part[i : i + 64], axis=0, out=held, mode="clip")
+                        np.einsum("ij,ijk->ik", w[i : i + 64], held, out=y[i : i + 64])
+                    _add(out, part, w, y)
+        yield _parts(out[:CELLS])
 
     found = _summed(passages.mapInArrow(multiply, PARTS), np.float32).reshape(CELLS, -1)
     shared.destroy()
@@ -191,9 +262,11 @@ class LatentIndex:
         lengths = np.array([len(w) for w in texts])
         c[np.arange(len(own)) + np.repeat(first[:-1] * BLOCK - np.cumsum(lengths) + lengths, lengths)] = own
         ones, found = np.ones((1, BLOCK), np.float32), np.empty((first[-1], self.weights.shape[1]), np.float32)
-        for at in range(0, first[-1], 256):
-            part = self.weights[c[at * BLOCK : (at + 256) * BLOCK]].reshape(-1, BLOCK, self.weights.shape[1])
-            found[at : at + 256] = np.matmul(ones, part)[:, 0]
+        c, room = c.reshape(-1, BLOCK), np.empty((64, BLOCK, self.weights.shape[1]), np.float32)
+        for at in range(0, len(c), 64):
+            part = room[: len(c) - at]
+            np.take(self.weights, c[at : at + 64], axis=0, out=part, mode="clip")
+            found[at : at + 64] = np.matmul(ones, part)[:, 0]
         return found, first
 
     def near(self, texts: list[list[bytes]], cosine: float, query_block: int = 4096) -> Iterator[tuple[int, int, int, int, float]]:
@@ -225,52 +298,27 @@ class LatentIndex:
         return float(x @ self.latent[j] / max(float(np.linalg.norm(x)), 1e-12))
 
 
-def fit_indexes(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, rounds: int = 2, seed: int = 11, block_bytes: int = 8 << 20
-) -> Iterator[LatentIndex]:
+def fit_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = 64, rounds: int = 2, seed: int = 11, block_bytes: int = 8 << 20) -> Iterator[LatentIndex]:
     """A latent space with each block of the benchmark in it, one after another; none without a benchmark.
 
-    Passage frequencies are those of all documents; the space is fitted on about ``fit_documents`` rows, however often an id is repeated.
+    Passage frequencies and the space are those of all documents.
     A block is read when its turn comes, so the driver holds one block's passages and space.
     """
     found = filter(None, map(_item_passages, query_blocks(benchmark, block_bytes)))
     first = next(found, None)
     if first is None:
         return
-    frequency, n = passage_frequencies(docs)
+    passages = passage_table(docs)
+    frequency, n = passage_frequencies(passages)
     idf = np.log((n + 1) / (frequency + 1)) + 0.1
-    n_docs = max(1, docs.count())
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[np.ndarray] = []
-            for text in batch.column(0):
-                c = cells(tokens(text.as_py()))
-                found += [c[at : at + BLOCK] for at in range(0, len(c), BLOCK)]
-            out = [np.unique(c, return_counts=True) for c in found]
-            weighted = [(u, k * idf[u]) for u, k in out]
-            weighted = [(u, w / np.linalg.norm(w)) for u, w in weighted]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([u.tolist() for u, _ in weighted], kinds[0]), pa.array([w.tolist() for _, w in weighted], kinds[1])], names=["cells", "weights"]
-            )
-
-    row = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
-    chosen = docs.where(F.pmod(row, F.lit(n_docs)) < fit_documents).select(F.col("text").cast("string"))
-    schema = "cells array<long>, weights array<double>"
-    sample = staged(chosen.mapInArrow(rows, schema), "passages")
-    n_sample = max(1, sample.count())
+    passages = passages.withColumn("width", F.lit(BLOCK))
 
     def fit(items: list[tuple[int, list[bytes], list[bytes]]]) -> LatentIndex:
-        queries, scale = [], float(np.sqrt(n_sample / len(items)))
-        for _, w, _ in items:
-            u, k = np.unique(cells(w), return_counts=True)
-            x = k * idf[u]
-            queries.append((u.tolist(), (scale * x / np.linalg.norm(x)).tolist()))
-        passages = staged(sample.union(docs.sparkSession.createDataFrame(queries, schema)).coalesce(8), "passages")
+        queries = [(x, ITEM) for x in _rows([cells(w) for _, w, _ in items], ITEM)]
+        every = passages.union(docs.sparkSession.createDataFrame(queries, "cells binary, width int").coalesce(1))
         q = np.random.default_rng(seed).standard_normal((CELLS, min(rank, CELLS)), np.float32)
         for _ in range(rounds):
-            q = orthonormal(_products(passages, q))
+            q = orthonormal(_products(every, q, idf, float(np.sqrt(max(1, n) / len(items)))))
         q *= idf[:, None].astype(np.float32)
         return LatentIndex(q, items, idf)
 
@@ -285,17 +333,21 @@ def _masks(words: list[bytes]) -> dict[bytes, int]:
     return found
 
 
-def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
-    """Length of the longest common subsequence of ``words`` and the n words that ``masks`` holds, bit-parallel."""
+def _length(masks: Iterable[int | None], n: int) -> int:
+    """Length of the longest common subsequence of n words and of words given by their masks, bit-parallel."""
     full = (1 << n) - 1
     v = full
-    for w in words:
-        if m := masks.get(w):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, masks):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
+def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
+    """Length of the longest common subsequence of ``words`` and the n words that ``masks`` holds."""
+    return _length(map(masks.get, words), n)
+
+
 class _Query:
     """What the exact check needs of a benchmark passage."""
 
@@ -311,10 +363,10 @@ class _Query:
         """
         masks, n = (self.answer_masks, self.n_answer) if answer else (self.masks, self.n)
         size, best, need = n + n // 4 + 2, 0, max(1, _least_words(n, least))
-        there = [w in masks for w in stretch]
+        there = list(map(masks.get, stretch))
         for at, here in enumerate(there):
-            if here and sum(there[at : at + size]) >= max(need, best + 1):
-                best = max(best, common_subsequence(masks, n, stretch[at : at + size]))
+            if here and len(part := there[at : at + size]) - part.count(None) >= max(need, best + 1):
+                best = max(best, _length(part, n))
                 if best == n:
                     break
         return best / n
@@ -389,17 +441,16 @@ def _search(index: LatentIndex, cosine: float, exact: float, paraphrase: float):
             low, high = begin + low, begin + high
             low, done = max(low, done + 1), max(done, high)
             masks, known = q.masks, best[k].get(q.item_id)
-            there = [w in masks for w in words[low : high + size]]
+            there = list(map(masks.get, words[low : high + size]))
             for i in range(high - low + 1):
-                if not there[i] or sum(there[i : i + size]) < needs[j]:
+                if not there[i] or len(part := there[i : i + size]) - part.count(None) < needs[j]:
                     continue
-                stretch = words[low + i : low + i + size]
-                covered = common_subsequence(masks, q.n, stretch) / q.n
+                covered = _length(part, q.n) / q.n
                 if covered < shares[j] or (known is not None and covered <= known["lcs"]):
                     continue
                 answer = q.covered(words[max(0, low + i - PASSAGE) : low + i + size + MARGIN + PASSAGE], answer=True)
                 if covered >= exact or answer >= 0.6:
-                    known = {"item_id": q.item_id, "cosine": index.cosine(stretch, j), "lcs": covered, "answer": answer, "word": low + i, "by_cosine": bool(known and known["by_cosine"])}
+                    known = {"item_id": q.item_id, "cosine": index.cosine(words[low + i : low + i + size], j), "lcs": covered, "answer": answer, "word": low + i, "by_cosine": bool(known and known["by_cosine"])}
                     best[k][q.item_id] = known
 
     def search(texts: list[list[bytes]]) -> list[list[dict]]:
@@ -446,11 +497,11 @@ def leaks(text: Column, shared: Broadcast, cosine: float = 0.68, exact: float =
     return F.arrow_udf(found, HITS)(text.cast("string"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, block_bytes: int = 8 << 20, **search) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, block_bytes: int = 8 << 20, **search) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, word, by_cosine): one row per document id and benchmark item found in it."""
     spark = docs.sparkSession
     hits = spark.createDataFrame([], f"doc_id long, hit {HITS[6:-1]}")
-    for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, fit_documents, block_bytes=block_bytes):
+    for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, block_bytes=block_bytes):
         shared = spark.sparkContext.broadcast(index)
         hits = hits.union(staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(F.col("text"), shared, **search)).alias("hit")), "leaks"))
         shared.destroy()
@@ -460,13 +511,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_docu
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_documents: int = 2_000, block_bytes: int = 8 << 20, **search) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, block_bytes: int = 8 << 20, **search) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay.
 
     Rows are written between the blocks of a benchmark of several; the last block's search is left to whoever reads the result.
     """
     rows, shared = docs.select(F.struct("*").alias("row")), None
-    for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, fit_documents, block_bytes=block_bytes):
+    for index in fit_indexes(docs.select("doc_id", "text"), benchmark, rank, block_bytes=block_bytes):
         if shared is not None:
             rows = staged(rows, "clean")
             shared.destroy()

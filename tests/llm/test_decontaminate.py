@@ -136,3 +136,36 @@ def test_basis_is_orthonormal():
     q = decontaminate.orthonormal(y)
     assert q.shape == (5000, 7) and np.allclose(q.T @ q, np.eye(7), atol=1e-4)
     assert np.allclose(q @ (q.T @ y), y, atol=1e-3)
+
+
+def test_the_space_is_fitted_on_all_passages_of_all_documents(spark):
+    rng = np.random.default_rng(37)
+    vocabulary = ["".join(rng.choice(list("aeioubdglmnrst"), int(n))) for n in rng.integers(3, 9, 400)]
+    words = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
+    texts, items = [words(int(n)) for n in rng.integers(0, 40, 3000)], [words(int(n)) for n in rng.integers(5, 120, 9)]
+    texts[7] = words(decontaminate.CUT + 100)
+    docs = documents(spark, [*(" ".join(t) for t in texts), None, ""])
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    index = next(decontaminate.fit_indexes(docs, benchmark))
+
+    def counted(w):
+        return np.unique(decontaminate.cells([x if isinstance(x, bytes) else x.encode() for x in w]), return_counts=True)
+
+    block = decontaminate.BLOCK
+    passages = [counted(t[at : at + block]) for t in texts for at in range(0, len(t), block)]
+    frequency = np.bincount(np.concatenate([c for c, _ in passages]), minlength=decontaminate.CELLS)
+    idf = np.log((len(passages) + 1) / (frequency + 1)) + 0.1
+    assert np.allclose(index.idf, idf)
+    rows = [(c, k * idf[c] / np.linalg.norm(k * idf[c])) for c, k in passages]
+    scale = np.sqrt(len(passages) / len(index.items))
+    rows += [(c, scale * k * idf[c] / np.linalg.norm(k * idf[c])) for c, k in (counted(w) for _, w, _ in index.items)]
+    q = np.random.default_rng(11).standard_normal((decontaminate.CELLS, 64), np.float32)
+    for _ in range(2):
+        out = np.zeros(q.shape)
+        for c, w in rows:
+            out[c] += np.outer(w, w @ q[c])
+        q = decontaminate.orthonormal(out.astype(np.float32))
+    given, plain = index.weights[:-1], q * idf[:, None]
+    # the same space, in whatever basis: cosines between words are equal
+    some = np.flatnonzero(frequency)[::7]
+    assert np.allclose(given[some] @ given[some].T, plain[some] @ plain[some].T, atol=1e-2 * np.abs(plain[some] @ plain[some].T).max())
